@@ -169,3 +169,8 @@ def question_text(attribute: Column, narrow: Column, seed: Column, variety: bool
 def first_tokens(phrase: Column, n: Column) -> Column:
     """First n tokens of a space-joined phrase, n varying by row."""
     return F.call_function("substring_index", phrase, F.lit(" "), n)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times in `body`."""
+    return F.transform(F.array(value), body)[0]

@@ -33,34 +33,35 @@ def catalogue_ids(items: DataFrame) -> DataFrame:
 
 def disclosable_values(items: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Per item: cleaned title, the two hard values, the two soft values and their ordered union."""
-    corpus = searchable_text(items)
     base = F.concat(tx.flatten_values(field_entries(items, "features")),
                     tx.flatten_values(field_entries(items, "details")))
-    staged = items.select(
-        "item_id", F.col("title"), F.col("price"), base.alias("base"),
-        tx.first_word(corpus, fixed.MATERIALS).alias("material"),
-        tx.first_word(corpus, fixed.COLOURS).alias("colour"))
-    with_material = F.when(F.col("material").isNotNull(), F.concat(F.array("material"), F.col("base"))
-                           ).otherwise(F.col("base"))
-    staged = staged.withColumn("base", with_material)
-    with_colour = F.when(F.col("colour").isNotNull(), F.concat(
-        F.slice("base", 1, 1), F.array(F.concat(F.lit("color: "), F.col("colour"))),
-        F.slice("base", 2, 1_000_000))).otherwise(F.col("base"))
-    price = F.col("price").cast("string")
-    with_price = F.when(price.isNotNull() & (price != ""), F.concat(
-        F.col("base"), F.array(F.concat(F.lit("budget around $"), price)))).otherwise(F.col("base"))
-    clean = F.filter(F.transform(F.col("base"), lambda v: tx.clean_value(v, cfg.value_chars)),
-                     lambda v: v != "")
+    price = F.nullif(F.col("price").cast("string"), F.lit(""))
     title = tx.clean_value(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("product")), cfg.value_chars)
-    staged = (staged.withColumn("base", with_colour).withColumn("base", with_price)
-              .withColumn("clean", F.array_distinct(clean)).withColumn("card_title", title)
-              .withColumn("clean", F.when(F.size("clean") > 0, F.col("clean"))
-                          .otherwise(F.array("card_title"))))
-    hard = F.slice("clean", 1, cfg.hard_values)
-    soft = F.slice("clean", cfg.hard_values + 1, cfg.soft_values)
-    soft = F.when(F.size(soft) > 0, soft).otherwise(F.slice("clean", 1, 1))
-    return staged.select("item_id", "card_title", hard.alias("hard"), soft.alias("soft"),
-                         F.array_distinct(F.concat(hard, soft)).alias("vals"))
+    null = F.lit(None).cast("string")
+
+    def cards(listed):
+        hard = F.slice(listed, 1, cfg.hard_values)
+        soft = F.slice(listed, cfg.hard_values + 1, cfg.soft_values)
+        return F.struct(hard.alias("hard"), F.when(F.size(soft) > 0, soft).otherwise(
+            F.slice(listed, 1, 1)).alias("soft"))
+
+    def ordered(words_):
+        # absent parts are inserted as nulls, which the cleaning below drops
+        listed = F.when(words_["material"].isNotNull(), F.concat(F.array(words_["material"]), base)).otherwise(base)
+        listed = F.array_insert(listed, 2, F.concat(F.lit("color: "), words_["colour"]))
+        listed = F.concat(listed, F.array(F.concat(F.lit("budget around $"), price)))
+        clean = F.array_distinct(F.filter(
+            F.transform(listed, lambda v: tx.clean_value(v, cfg.value_chars)),
+            lambda v: v.isNotNull() & (v != "")))
+        return tx.let(clean, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(title)))
+
+    found = tx.let(searchable_text(items), lambda text: F.struct(
+        F.coalesce(tx.first_word(text, fixed.MATERIALS), null).alias("material"),
+        F.coalesce(tx.first_word(text, fixed.COLOURS), null).alias("colour")))
+    card = tx.let(tx.let(found, ordered), cards)
+    return items.select("item_id", title.alias("card_title"), card.alias("card")).select(
+        "item_id", "card_title", "card.hard", "card.soft",
+        F.array_distinct(F.concat("card.hard", "card.soft")).alias("vals"))
 
 
 def intent_cards(items: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:

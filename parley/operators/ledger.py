@@ -210,3 +210,20 @@ def last_good(rankings: DataFrame) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     value = F.when(F.size("ranked") > 0, F.col("ranked"))
     return rankings.select("session_id", "turn", F.last(value, ignorenulls=True).over(w).alias("ranked"))
+
+
+def add_recovered(evidence: DataFrame, recovered: DataFrame, indexed: DataFrame,
+                  proposals: DataFrame | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Rescue answers join the ledger after everything their turn said, at tier `sem`."""
+    rows = recovered.select("session_id", "turn", (F.col("i") + LATE + GROUP).cast("int").alias("seq"),
+                            ms.value_phrase(F.col("phrase"), cfg.resolve_tokens).alias("phrase"),
+                            F.lit("sem").alias("tier"), F.lit(True).alias("deparaphrase"))
+    rows = scale.keep(rows.filter("phrase <> ''"))
+    wanted = rows.select("phrase")
+    if proposals is not None:
+        wanted = wanted.unionByName(proposals.select(F.col("proposal").alias("phrase")))
+    freq = scale.keep(ph.document_frequency(indexed, wanted, 1, cfg.resolve_tokens, cfg))
+    got = ph.admit(rows, freq, proposals, cfg).select(*evidence.columns)
+    return evidence.unionByName(got).groupBy("session_id", "phrase").agg(
+        F.min(F.struct("turn", "seq", "tier", "df")).alias("e")).select(
+        "session_id", "e.turn", "e.seq", "phrase", "e.tier", "e.df")

@@ -73,3 +73,38 @@ def attribute_payout(values: DataFrame) -> DataFrame:
     total = values.agg(F.count("*").alias("n"))
     return fams.groupBy("family").agg(F.count("*").alias("n_items")).withColumn(
         "share", F.col("n_items") / total.scalar())
+
+
+def replay_questions(turns: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """(session_id, turn, expected map) -> the question of every turn, each typed one asked once.
+
+    `expected` maps attribute -> (pool_size, expected); null means an empty pool. The choice of a turn
+    depends on the questions before it, so a session (at most `max_turns` turns) folds in one row.
+    """
+    options = [a for a in fixed.QUESTION_ORDER if a not in fixed.NEVER_ASKED]
+    fallback = [a for a in fixed.FALLBACK_ORDER if a not in fixed.NEVER_ASKED]
+
+    def choice(asked, expected):
+        def free(a):
+            return F.lit(True) if a == fixed.REPEATABLE else ~F.array_contains(asked, a)
+
+        small = F.coalesce(F.try_element_at(expected, F.lit(fixed.REPEATABLE))["pool_size"], F.lit(0)) < 2
+        scored = F.array_min(F.array(*[F.when(free(a), F.struct(
+            F.round(F.try_element_at(expected, F.lit(a))["expected"], cfg.score_digits).alias("e"),
+            F.lit(i).alias("i"), F.lit(a).alias("a"))) for i, a in enumerate(options)]))["a"]
+        first = F.coalesce(*[F.when(free(a), F.lit(a)) for a in fallback])
+        return F.when(small, first).otherwise(scored)
+
+    state = "struct<asked:array<string>,out:array<struct<turn:int,ask:string>>>"
+    zero = F.expr(f"cast(named_struct('asked', array(), 'out', array()) as {state})")
+
+    def step(acc, t):
+        return tx.let(choice(acc["asked"], t["expected"]), lambda a: F.struct(
+            F.array_union(acc["asked"], F.array(a)).alias("asked"),
+            F.concat(acc["out"], F.array(F.struct(t["turn"].cast("int").alias("turn"), a.alias("ask")))).alias("out")
+        )).cast(state)
+
+    per = turns.filter(F.col("turn") <= cfg.max_turns).groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "expected")), lambda a, b: a["turn"] - b["turn"]).alias("ts"))
+    return per.select("session_id", F.inline(F.aggregate("ts", zero, step, lambda a: a["out"]))).withColumnRenamed(
+        "ask", "ask_attribute")

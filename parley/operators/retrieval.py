@@ -77,6 +77,21 @@ def cfg_digits() -> int:
     return DEFAULTS.score_digits
 
 
+def distinct_queries(evidence: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Equal evidence states are searched once: (keys -> query_id) and the queries themselves.
+
+    `evidence` holds (keys, phrase, tier, df, rnk). Equality is that of the ordered evidence.
+    """
+    entry = F.struct("rnk", "phrase", "tier", "df")
+    lists = evidence.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("ev"))
+    text = F.array_join(F.transform("ev", lambda e: F.concat_ws("|", e["phrase"], e["tier"], e["df"])), ";")
+    lists = scale.keep(lists.withColumn("digest", F.sha2(text, 256)))
+    ids = scale.dense_ids(lists, "digest", "query_id")
+    queries = (lists.groupBy("digest").agg(F.any_value("ev").alias("ev")).join(ids, "digest")
+               .select("query_id", F.inline("ev")))
+    return lists.join(ids, "digest").select(*keys, "query_id"), queries
+
+
 def rank_evidence(evidence: DataFrame, keys: list[str]) -> DataFrame:
     """Rarity order of evidence, stable on insertion: rnk 1 is the rarest. Sessions are bounded."""
     w = Window.partitionBy(*keys).orderBy("df", "turn", "seq")
@@ -183,7 +198,8 @@ def broad_lists(marked: DataFrame, scored: DataFrame, cfg: Settings = DEFAULTS):
         F.sort_array(F.collect_list(F.struct("phrase", "tier", "w"))).alias("members"))
     key = F.sha2(F.array_join(F.transform("members", lambda m: F.concat_ws(
         "|", m["phrase"], m["tier"], m["w"].cast("string"))), ";"), 256)
-    sets = scale.keep(sets.withColumn("set_id", key))
+    sets = scale.keep(sets.withColumn("digest", key))
+    sets = sets.join(scale.dense_ids(sets, "digest", "set_id"), "digest").drop("digest")
     members = sets.groupBy("set_id").agg(F.any_value("members").alias("members")).select(
         "set_id", F.inline("members"))
     lists = (members.select("set_id", "phrase", "w")
@@ -195,42 +211,54 @@ def broad_lists(marked: DataFrame, scored: DataFrame, cfg: Settings = DEFAULTS):
 
 def _candidates(marked: DataFrame, matches: DataFrame, scored: DataFrame,
                 cfg: Settings = DEFAULTS) -> DataFrame:
-    """Items of the last disjunction (the `or_phrases` rarest of all evidence) that can be returned.
+    """(query, item): every item some rung can return, with its strong scores, the score of the last
+    disjunction (the `or_phrases` rarest of all evidence), coverage and popularity.
 
     Scores add up over phrases, so an item without any strong phrase is ordered by its broad score
     alone. Its place in the query's list is at least its place among the set's items minus the number
     of items with strong phrases. Reading the first pool + n_strong entries of the shared list is
-    therefore enough to fill the pool; strong items get their broad part by an equi-join.
+    therefore enough to fill the pool; strong items get their broad part by an equi-join. A query thus
+    has at most pool + 2 * strong_phrases * strong_df rows. Everything after the one shuffle by query
+    stays in place.
     """
     per_query, lists = broad_lists(marked, scored, cfg)
     lists = scale.keep(lists)
     depth = cfg.pool + cfg.strong_phrases * cfg.strong_df
     ranked = top(lists.filter("bs > 0").withColumn("bsr", F.round("bs", cfg.score_digits)),
                  ["set_id"], [F.desc("bsr"), F.asc("item_id")], depth)
-    strong8 = F.round(_score_at(F.lit(cfg.or_phrases), cfg), cfg.score_digits + 6)
-    m = matched(matches).join(per_query, "query_id", "left").join(
-        lists.select("set_id", "item_id", "bs", "bcov"), ["set_id", "item_id"], "left")
-    with_strong = m.select(
-        "query_id", "item_id",
-        F.round(strong8 + F.coalesce("bs", F.lit(0.0)), cfg.score_digits).alias("score"),
-        (F.col("cov") + F.coalesce("bcov", F.lit(0.0))).alias("cov"), "pop", F.lit(True).alias("has_strong"))
-    n_strong = matched(matches).groupBy("query_id").agg(F.count("*").alias("n_strong"))
-    reach = per_query.join(n_strong, "query_id", "left").select(
-        "query_id", "set_id", (F.coalesce("n_strong", F.lit(0)) + cfg.pool).alias("reach"))
-    only_broad = (reach.join(ranked, "set_id").filter(F.col("rk") <= F.col("reach"))
-                  .join(matches.select("query_id", "item_id", "total", F.col("cov").alias("scov")),
-                        ["query_id", "item_id"], "left")
-                  .filter(F.coalesce("total", F.lit(0.0)) == 0)
-                  .select("query_id", "item_id", F.round("bs", cfg.score_digits).alias("score"),
-                          (F.col("bcov") + F.coalesce("scov", F.lit(0.0))).alias("cov"),
-                          F.col("bpop").alias("pop"), F.lit(False).alias("has_strong")))
-    return with_strong.unionByName(only_broad)
+    strong8 = _score_at(F.lit(cfg.or_phrases), cfg)
+    stops = backoff_stops(matched(matches), marked, cfg)
+    zero, none = F.lit(0.0), F.lit(0)
+    strong = (matches.join(stops.select("query_id", "stop"), "query_id", "left")
+              .join(per_query, "query_id", "left")
+              .join(lists.select("set_id", "item_id", "bs", "bcov"), ["set_id", "item_id"], "left"))
+    strong = strong.select(
+        "query_id", "item_id", "total", "prefix",
+        F.round(_score_at(F.coalesce("stop", none), cfg), cfg.score_digits).alias("at_stop"),
+        F.round(_score_at(F.col("prefix"), cfg), cfg.score_digits).alias("at_prefix"),
+        strong8.alias("s8"), F.coalesce("bs", zero).alias("bs"), F.col("cov").alias("scov"),
+        F.coalesce("bcov", zero).alias("bcov"), "pop")
+    reach = per_query.join(stops.select("query_id", "n_strong"), "query_id", "left").select(
+        "query_id", "set_id", (F.coalesce("n_strong", none) + cfg.pool).alias("reach"))
+    broad = (reach.join(ranked, "set_id").filter(F.col("rk") <= F.col("reach"))
+             .select("query_id", "item_id", zero.alias("total"), none.alias("prefix"), zero.alias("at_stop"),
+                     zero.alias("at_prefix"), zero.alias("s8"), "bs", zero.alias("scov"), "bcov",
+                     F.col("bpop").alias("pop")))
+    # an item found by both ways has equal broad values in both rows, so maxima merge them
+    names = [c for c in broad.columns if c not in ("query_id", "item_id")]
+    merged = strong.unionByName(broad).repartition("query_id").groupBy("query_id", "item_id").agg(
+        *[F.max(c).alias(c) for c in names])
+    return merged.select(
+        "query_id", "item_id", "total", "prefix", "at_stop", "at_prefix", "pop",
+        F.round(F.col("s8") + F.col("bs"), cfg.score_digits).alias("score8"),
+        (F.col("scov") + F.col("bcov")).alias("cov"))
 
 
 def rung_or8(marked: DataFrame, matches: DataFrame, scored: DataFrame,
              cfg: Settings = DEFAULTS) -> DataFrame:
     """Items holding any of the rarest `or_phrases` phrases of all evidence."""
-    rows = _candidates(marked, matches, scored, cfg).filter("score > 0")
+    rows = _candidates(marked, matches, scored, cfg).filter("score8 > 0").select(
+        "query_id", "item_id", F.col("score8").alias("score"))
     return top(rows, ["query_id"], [F.desc("score"), F.asc("item_id")], cfg.pool)
 
 
@@ -251,26 +279,36 @@ def candidate_pool(queries: DataFrame, scored: DataFrame, cfg: Settings = DEFAUL
     """
     marked = scale.keep(roles(queries, cfg))
     matches = scale.keep(strong_matches(marked, scored, cfg))
-    narrow = rung_backoff(matched(matches), marked, cfg)
-    wide = rung_or(matched(matches), cfg).select("query_id", "item_id", F.lit(RUNG_OR).alias("rung"), "score")
-    filled = (matched(matches).groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= cfg.pool)
-              .select("query_id"))
-    cands = scale.keep(_candidates(marked, matches, scored, cfg))
-    last = (top(cands.filter("score > 0").join(filled, "query_id", "left_anti"), ["query_id"],
-                [F.desc("score"), F.asc("item_id")], cfg.pool)
-            .select("query_id", "item_id", F.lit(RUNG_OR8).alias("rung"), "score"))
-    first = (narrow.unionByName(wide).unionByName(last).groupBy("query_id", "item_id")
-             .agg(F.min(F.struct("rung", "score")).alias("r")))
-    w = Window.partitionBy("query_id").orderBy("rung", F.desc("score"), "item_id")
-    pool = (first.join(cands.select("query_id", "item_id", "cov", "pop"), ["query_id", "item_id"])
-            .select("query_id", "item_id", "r.rung", "r.score", "cov", "pop")
-            .withColumn("pos", F.row_number().over(w)))
+    stops = backoff_stops(matched(matches), marked, cfg)
+    rows = _candidates(marked, matches, scored, cfg).join(
+        scale.broadcast_checked(stops, cfg.broadcast_rows), "query_id", "left")
+
+    def place(*order):
+        return F.row_number().over(Window.partitionBy("query_id").orderBy(*order, F.asc("item_id")))
+
+    hit = F.col("total") > 0
+    total = F.round("total", cfg.score_digits)
+    at_stop = F.when(hit & (F.col("prefix") >= F.col("stop")), F.col("at_stop"))
+    rows = (rows.withColumn("p_stop", place(at_stop.desc_nulls_last()))
+            .withColumn("p_or", place(total.desc()))
+            .withColumn("p_8", place(F.desc("score8"))))
+    narrow = at_stop.isNotNull() & ((F.col("prefix") > F.col("stop")) | (F.col("p_stop") <= cfg.pool))
+    wide = hit & (F.col("p_or") <= cfg.pool)
+    last = ((F.coalesce("n_strong", F.lit(0)) < cfg.pool) & (F.col("score8") > 0)
+            & (F.col("p_8") <= cfg.pool))
+    rows = rows.select(
+        "query_id", "item_id", "cov", "pop",
+        F.when(narrow, F.col("k") - F.col("prefix")).when(wide, RUNG_OR).when(last, RUNG_OR8).alias("rung"),
+        F.when(narrow, F.col("at_prefix")).when(wide, total).otherwise(F.col("score8")).alias("score"))
+    pool = rows.filter("rung is not null").withColumn("pos", place(F.asc("rung"), F.desc("score")))
     return add_leftover_coverage(pool, marked, scored)
 
 
 def add_leftover_coverage(pool: DataFrame, marked: DataFrame, scored: DataFrame) -> DataFrame:
     """Evidence outside both roles adds to coverage; looked up only for items already in the pool."""
     rest = marked.filter(~F.col("strong") & ~F.col("broad")).select("query_id", "phrase", "w")
+    if rest.isEmpty():
+        return pool
     extra = (pool.select("query_id", "item_id").join(rest, "query_id")
              .join(scored.select("phrase", "item_id"), ["phrase", "item_id"])
              .groupBy("query_id", "item_id").agg(F.sum("w").alias("more")))
