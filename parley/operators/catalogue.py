@@ -89,11 +89,14 @@ def value_ids(values: DataFrame) -> DataFrame:
 
 def values_by_attribute(values: DataFrame) -> DataFrame:
     """(item, attribute) -> the item's values of that family, in order; the repeatable one takes all."""
-    rows = F.array(*[F.struct(
-        F.lit(a).alias("attribute"),
-        (F.col("vals") if a == fixed.REPEATABLE else
-         F.filter("vals", lambda v, a=a: tx.family(v) == a)).alias("vals"))
-        for a in fixed.QUESTION_ORDER])
+    def of(tagged, attribute):
+        kept = F.filter(tagged, lambda t: t["family"] == attribute)
+        return F.transform(kept, lambda t: t["value"])
+
+    tagged = F.transform("vals", lambda v: F.struct(v.alias("value"), tx.family(v).alias("family")))
+    rows = tx.let(tagged, lambda t: F.array(*[F.struct(
+        F.lit(a).alias("attribute"), (F.col("vals") if a == fixed.REPEATABLE else of(t, a)).alias("vals"))
+        for a in fixed.QUESTION_ORDER]))
     return values.select("item_id", F.inline(rows)).filter(F.size("vals") > 0)
 
 

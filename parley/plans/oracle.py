@@ -164,24 +164,35 @@ MESSAGES = dict(
  FROM (SELECT *, unnest(range(1, len(cons) + 1)) AS i FROM said) b
  UNION ALL SELECT t.user_message, 800000, {value_phrase('tail')}, 'con', NULL
  FROM tails t JOIN said USING (user_message) WHERE len({tok('tail')}) > 0""",
-    # exact short values in messages of unknown wording (no category phrase occurs in them)
+    # exact category phrases and short values in messages of unknown wording
     vocab=f"""SELECT DISTINCT {join(tok('v'))} AS phrase FROM (SELECT unnest(vals) AS v FROM pvals) z
  WHERE len({tok('v')}) BETWEEN 1 AND 3 AND {join(tok('v'))} NOT IN ({', '.join(lit(f) for f in fixed.FACET_NAMES)})""",
-    utoks=f"SELECT user_message, {tok('user_message')} AS toks FROM said WHERE NOT known",
-    ugrams=f"""SELECT user_message, i, n, {join('toks[i:i + n - 1]')} AS phrase, len(toks) AS m FROM (
- SELECT user_message, toks, i, unnest([1, 2, 3]) AS n FROM (
- SELECT user_message, toks, unnest(range(1, len(toks) + 1)) AS i FROM utoks) x) y WHERE i + n - 1 <= len(toks)""",
-    uattr="""SELECT user_message, phrase, min(500000 + i * 4 + n) AS seq FROM ugrams
- WHERE phrase IN (SELECT phrase FROM vocab) GROUP BY user_message, phrase""",
+    cats=f"SELECT DISTINCT {join(tok('p_type || chr(32) || noun'))} AS phrase FROM fx_products",
+    stoks=f"SELECT user_message, {tok('user_message')} AS toks FROM said WHERE NOT known",
+    cgrams="""SELECT user_message, i, array_to_string(toks[i:i + 1], ' ') AS phrase FROM (
+ SELECT user_message, toks, unnest(range(1, len(toks))) AS i FROM stoks) x""",
+    chit="SELECT user_message, min(phrase) AS category FROM cgrams WHERE phrase IN (SELECT phrase FROM cats) GROUP BY user_message",
+    cat1="""SELECT c.user_message, c.category, min(g.i) AS at_tok FROM chit c JOIN cgrams g
+ ON c.user_message = g.user_message AND c.category = g.phrase GROUP BY c.user_message, c.category""",
+    rest="""SELECT t.user_message, c.category, CASE WHEN c.category IS NULL THEN t.toks
+ ELSE list_concat(t.toks[1:c.at_tok - 1], t.toks[c.at_tok + 2:]) END AS toks FROM stoks t LEFT JOIN cat1 c ON t.user_message = c.user_message""",
+    agrams="""SELECT user_message, i, n, array_to_string(toks[i:i + n - 1], ' ') AS phrase FROM (
+ SELECT user_message, toks, i, unnest([1, 2, 3]) AS n FROM (SELECT user_message, toks, unnest(range(1, len(toks) + 1)) AS i
+ FROM rest) x) y WHERE i + n - 1 <= len(toks)""",
+    ahit="""SELECT user_message, phrase, n, min(i) AS start FROM agrams WHERE phrase IN (SELECT phrase FROM vocab)
+ GROUP BY user_message, phrase, n""",
+    spans="""SELECT user_message, 300000 AS seq, category AS phrase, 'cat' AS tier FROM cat1
+ UNION ALL SELECT user_message, 400000 + i, string_split(category, ' ')[i + 1], 'cat' FROM (SELECT *, unnest([0, 1]) AS i FROM cat1) z
+ UNION ALL SELECT user_message, 500000 + start * 4 + n, phrase, 'mined' FROM ahit""",
     wanted="""SELECT phrase FROM stated WHERE phrase <> '' UNION SELECT needs FROM stated WHERE needs IS NOT NULL
- UNION SELECT phrase FROM uattr""",
+ UNION SELECT phrase FROM spans""",
     pdf=f"""SELECT w.phrase, least(count(DISTINCT t.item_id), {C.df_cap + 1}) AS df FROM wanted w
  LEFT JOIN ptext t ON contains(t.ftext, ' ' || w.phrase || ' ') GROUP BY w.phrase""",
     tev="""SELECT user_message, phrase, min(seq) AS seq, min_by(tier, seq) AS tier, min_by(df, seq) AS df FROM (
  SELECT s.user_message, s.seq, s.phrase, s.tier, d.df FROM stated s JOIN pdf d ON s.phrase = d.phrase
  LEFT JOIN pdf n ON s.needs = n.phrase WHERE d.df > 0 AND (s.needs IS NULL OR n.df > 0)
- UNION ALL SELECT a.user_message, a.seq, a.phrase, 'mined', CASE WHEN d.df > 0 THEN d.df ELSE 5430 END
- FROM uattr a JOIN pdf d ON a.phrase = d.phrase) q GROUP BY user_message, phrase""",
+ UNION ALL SELECT a.user_message, a.seq, a.phrase, a.tier, CASE WHEN d.df > 0 THEN d.df ELSE 5430 END
+ FROM spans a JOIN pdf d ON a.phrase = d.phrase) q GROUP BY user_message, phrase""",
     rows0="""SELECT m.session_id, m.turn, e.seq, e.phrase, e.tier, e.df FROM fx_messages m
  JOIN tev e ON m.user_message = e.user_message""",
     ledger="""SELECT session_id, phrase, turn, seq, tier, df FROM (SELECT *, row_number() OVER (

@@ -420,22 +420,8 @@ def mine_phrases(spark, d):
     return m.join(mined, "user_message").select("message_id", big("start").alias("start"), big("n").alias("n"), "phrase", "df")
 
 
-_span = dict(o.VALUES, vocab=o.MESSAGES["vocab"],
-             cats=f"SELECT DISTINCT {o.join(o.tok('p_type || chr(32) || noun'))} AS phrase FROM fx_products",
-             texts="SELECT DISTINCT user_message FROM fx_messages",
-             stoks=f"SELECT user_message, {o.tok('user_message')} AS toks FROM texts",
-             cgrams="""SELECT user_message, i, array_to_string(toks[i:i + 1], ' ') AS phrase FROM (
- SELECT user_message, toks, unnest(range(1, len(toks))) AS i FROM stoks) x""",
-             chit="""SELECT user_message, min(phrase) AS category FROM cgrams WHERE phrase IN (SELECT phrase FROM cats) GROUP BY user_message""",
-             cat1="""SELECT c.user_message, c.category, min(g.i) AS at FROM chit c JOIN cgrams g
- ON c.user_message = g.user_message AND c.category = g.phrase GROUP BY c.user_message, c.category""",
-             rest="""SELECT t.user_message, c.category, CASE WHEN c.category IS NULL THEN t.toks
- ELSE list_concat(t.toks[1:c.at - 1], t.toks[c.at + 2:]) END AS toks FROM stoks t LEFT JOIN cat1 c ON t.user_message = c.user_message""",
-             agrams="""SELECT user_message, i, n, array_to_string(toks[i:i + n - 1], ' ') AS phrase FROM (
- SELECT user_message, toks, i, unnest([1, 2, 3]) AS n FROM (SELECT user_message, toks, unnest(range(1, len(toks) + 1)) AS i
- FROM rest) x) y WHERE i + n - 1 <= len(toks)""",
-             ahit="""SELECT user_message, phrase, n, min(i) AS start FROM agrams WHERE phrase IN (SELECT phrase FROM vocab)
- GROUP BY user_message, phrase, n""")
+_span = {**o.VALUES, **{n: o.MESSAGES[n] for n in ("vocab", "cats", "texts", "cgrams", "chit", "cat1", "rest", "agrams", "ahit")}}
+_span = {"texts": _span.pop("texts"), "stoks": f"SELECT user_message, {o.tok('user_message')} AS toks FROM texts", **_span}
 
 
 def _spans(spark, d):
@@ -610,11 +596,12 @@ def usage_delta(spark, d):
         F.col("prompt_total") - F.coalesce("before", F.lit(0)), F.lit(0)).cast("bigint").alias("spent"))
 
 
-@query("dedupe_requests", o.sql("fx_messages", """SELECT k.request_key, k.n_requests, count(*) AS n_calls,
- k.n_requests - count(*) AS n_hits, coalesce(k.first_success, -1) AS first_success FROM keys k JOIN reqs r ON k.request_key = r.request_key
- WHERE k.first_success IS NULL OR r.at <= k.first_success GROUP BY ALL""",
-    reqs="""SELECT sha256(user_message) AS request_key, session_id * 16 + turn AS at, (session_id + turn) % 5 <> 0 AS ok FROM fx_messages""",
-    keys="SELECT request_key, count(*) AS n_requests, min(CASE WHEN ok THEN at END) AS first_success FROM reqs GROUP BY request_key"))
+@query("dedupe_requests", o.sql("fx_messages", """SELECT request_key, n_requests, n_calls, n_requests - n_calls AS n_hits,
+ coalesce(first_success, -1) AS first_success FROM (SELECT k.request_key, k.n_requests, k.first_success, count(*) AS n_calls
+ FROM keys k JOIN reqs r ON k.request_key = r.request_key WHERE k.first_success IS NULL OR r.sent <= k.first_success
+ GROUP BY k.request_key, k.n_requests, k.first_success) x""",
+    reqs="""SELECT sha256(user_message) AS request_key, session_id * 16 + turn AS sent, (session_id + turn) % 5 <> 0 AS ok FROM fx_messages""",
+    keys="SELECT request_key, count(*) AS n_requests, min(CASE WHEN ok THEN sent END) AS first_success FROM reqs GROUP BY request_key"))
 def dedupe_requests(spark, d):
     m = tb.messages(spark, d).select(F.col("user_message").alias("body"), (F.col("session_id") * 16 + F.col("turn")).alias("request_order"),
                                      ((F.col("session_id") + F.col("turn")) % 5 != 0).alias("ok"))

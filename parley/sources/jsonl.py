@@ -26,17 +26,29 @@ def _number_text(v: Column, path: str) -> Column:
     return F.when(plain, _text(v, path)).otherwise(F.try_variant_get(v, path, "double").cast("string"))
 
 
+FLAT_FIELDS = ("features", "description", "categories", "details")
+
+
 def catalogue_from_lines(raw: DataFrame, id_field: str = "parent_asin") -> DataFrame:
     """Catalogue table from a `value` column of JSON objects.
 
-    Text fields may be null, string, list or object in any row, so each line is parsed once to VARIANT
-    and every list-like field becomes a list of (key, value). Lines without an id are dropped.
+    Text fields may be null, string, list or object in any row. VARIANT tells which; objects are read
+    from their source text, because their key order decides the order of values. Every such field
+    becomes a list of (key, value). Lines without an id are dropped.
     """
-    v = raw.select(F.try_parse_json("value").alias("v"))
-    rows = v.select(
+    texts = F.from_json("value", ", ".join(f"{f} string" for f in FLAT_FIELDS))
+    rows = raw.select(F.try_parse_json("value").alias("v"), texts.alias("t"))
+
+    def flat(name):
+        v = F.try_variant_get("v", f"$.{name}", "variant")
+        keyed = F.from_json(F.col(f"t.{name}"), "map<string,string>")
+        return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.transform(
+            F.map_entries(keyed), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+        ).otherwise(tx.variant_entries(v)).cast(tx.ENTRY)
+
+    rows = rows.select(
         _text(F.col("v"), f"$.{id_field}").alias("item_id"), _text(F.col("v"), "$.title").alias("title"),
-        *[tx.variant_entries(F.try_variant_get("v", f"$.{f}", "variant")).alias(f)
-          for f in ("features", "description", "categories", "details")],
+        *[flat(f).alias(f) for f in FLAT_FIELDS],
         _text(F.col("v"), "$.store").alias("store"),
         F.try_variant_get("v", "$.average_rating", "double").alias("average_rating"),
         _text(F.col("v"), "$.rating_number").alias("rating_number"),
