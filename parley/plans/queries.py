@@ -1099,3 +1099,27 @@ def compare_runs(spark, d):
  / greatest(rating_number, 1) AS key FROM fx_products) x ORDER BY key, item_id LIMIT 800"""))
 def weighted_sample(spark, d):
     return ev.weighted_sample(tb.products(spark, d), 1.0, 800).select("item_id", big("rating_number").alias("rating_number"))
+
+
+# ---------------------------------------------------------------- streaming ledger
+@query("stream_ledger")
+def stream_ledger(spark, d):
+    """Messages arrive as one file per turn; the final state equals the batch ledger."""
+    from parley.streaming import ledger as st
+    import uuid
+    base = f"{scale.work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = tb.messages(spark, d).join(tb.session_lines(spark, d, 10).select(
+        "session_id", "turn", F.array("item_id").alias("shown")), ["session_id", "turn"])
+    rows = rows.withColumn("asked", F.lit(None).cast("string"))
+    rows.repartition("turn").write.partitionBy("turn").parquet(f"{base}/in")
+    source = spark.readStream.schema("session_id bigint, user_message string, shown array<bigint>, asked string, turn int").option(
+        "maxFilesPerTrigger", 5).parquet(f"{base}/in")
+    # one state store per task slot; the number is fixed for the life of a stateful query
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    st.analyse(source, tb.products(spark, d), f"{base}/said", f"{base}/c1").awaitTermination()
+    out = st.ledger_stream(st.read_analysed(spark, f"{base}/said"), gap_ms=None)
+    (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/c2")
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    return spark.read.schema(st.OUTPUT).parquet(f"{base}/out").drop("added")
