@@ -104,3 +104,12 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     return part.join(F.broadcast(shift), "_part").select(
         column, (F.col("_at") + F.col("_shift") + 1).alias(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all task slots when a scan has fewer splits than slots; larger inputs stay where they are.
+
+    Text operators cost far more per row than the scan, so one shuffle of a small input pays off.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

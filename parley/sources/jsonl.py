@@ -82,11 +82,11 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 def lookup_session(sessions: DataFrame, sample_id, column: str = "session_id") -> DataFrame:
     """The session with this id; the query fails when there is none. The id filter reaches the scan."""
     found = sessions.filter(F.col(column) == F.lit(sample_id))
-    n = found.agg(F.count("*").alias("n")).scalar()
-    wanted = sessions.sparkSession.range(1).select(
-        F.when(n == 0, F.raise_error(F.lit(f"unknown session: {sample_id}")))
-        .otherwise(F.lit(sample_id)).cast(sessions.schema[column].dataType).alias("_id"))
-    return wanted.join(found, F.col("_id") == F.col(column), "left").drop("_id")
+    kind = sessions.schema[column].dataType
+    wanted = sessions.sparkSession.range(1).select(F.lit(sample_id).cast(kind).alias("_id"))
+    unknown = F.raise_error(F.lit(f"unknown session: {sample_id}")).cast(kind)
+    return wanted.join(found, F.col("_id") == F.col(column), "left").select(
+        *[F.coalesce(c, unknown).alias(c) if c == column else F.col(c) for c in sessions.columns])
 
 
 def read_attribute_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley import fixed
 from parley.operators.retrieval import top
+from parley.plans import scale
 
 ROOT_CATEGORY = "Clothing, Shoes & Jewelry"
 
@@ -33,7 +35,8 @@ MESSAGE = """CASE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scale.spread(df) if name == "documents" else df
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +106,6 @@ def free_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def act_scores(spark: SparkSession, d: str) -> DataFrame:
-    from parley import fixed
     labels = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("label")) for i, a in enumerate(fixed.ACTS)])
     return table(spark, d, "events").select(
         F.col("event_id").alias("message_id"), (1 + F.col("event_id") % 10).cast("int").alias("turn"),
@@ -113,7 +115,6 @@ def act_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def token_usage(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative token totals per user, accumulated over hourly slices."""
-    from parley.plans import scale
     ev = table(spark, d, "events").select(F.col("user_id").alias("session_id"), "event_id", "ts")
     run = scale.running(ev, ["session_id"], ["ts", "event_id"], hour_of(), {"prompt_total": F.col("event_id") % 17})
     return run
