@@ -12,6 +12,8 @@ need. That is exact, see `_candidates`.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,12 @@ def roles(queries: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
         "w", weight(F.col("phrase"), F.col("df"), F.col("tier"), cfg))
 
 
+def narrowed(marked: DataFrame, cfg: Settings = DEFAULTS) -> Settings:
+    """Settings with `strong_phrases` lowered to the most any query really has: fewer score columns."""
+    most = marked.filter("strong").agg(F.max("rnk")).first()[0]
+    return replace(cfg, strong_phrases=max(1, min(cfg.strong_phrases, most or 1)))
+
+
 def strong_matches(marked: DataFrame, scored: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """(query, item) with one score column per strong phrase rank, coverage and popularity.
 
@@ -113,7 +121,9 @@ def strong_matches(marked: DataFrame, scored: DataFrame, cfg: Settings = DEFAULT
     no search; `matched` drops them.
     """
     rows = (marked.filter("strong").select("query_id", "rnk", "phrase", "w")
-            .join(scored.select("phrase", "item_id", "s", "pop"), "phrase"))
+            .join(scored.select("phrase", "item_id", "s", "pop"), "phrase")
+            # few items match twice, so narrow rows are shuffled once and summed where they land
+            .select("query_id", "item_id", "rnk", "w", "s", "pop").repartition("query_id"))
     sums = [F.sum(F.when(F.col("rnk") == i, F.col("s")).otherwise(0.0)).alias(f"s{i}")
             for i in range(1, cfg.strong_phrases + 1)]
     got = rows.groupBy("query_id", "item_id").agg(*sums, F.sum("w").alias("cov"), F.max("pop").alias("pop"))
@@ -278,6 +288,7 @@ def candidate_pool(queries: DataFrame, scored: DataFrame, cfg: Settings = DEFAUL
     `cov` is the summed weight of the query's evidence the item covers, over every phrase.
     """
     marked = scale.keep(roles(queries, cfg))
+    cfg = narrowed(marked, cfg)
     matches = scale.keep(strong_matches(marked, scored, cfg))
     stops = backoff_stops(matched(matches), marked, cfg)
     rows = _candidates(marked, matches, scored, cfg).join(
