@@ -6,13 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import exact_dedup, mixing, sharding
+from parley.llm import exact_dedup, langid, mixing, packing, sharding, toxicity
+from parley.llm.common import fold
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 tokens."""
+    return packing.pack(_table(spark, folder, "documents"))
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    docs = _table(spark, folder, "documents")
+    net = langid.train(langid.samples(docs))
+    return langid.identify(docs.select("doc_id", "text"), net).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Exact dedup of all documents."""
     return exact_dedup.exact_dedup(_table(spark, folder, "documents"))
@@ -28,7 +46,8 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents")).drop("map_version")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_exact_dedup, op6_mixing, op9_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op2_packing, op3_language_id, op4_toxicity, op5_exact_dedup, op6_mixing, op9_sharding)}
 
 #: Checking SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
