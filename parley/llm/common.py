@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bits of the bitmap in front of a wide shuffle: 2**17 words of 64 bits, about 2 MB whatever the input.
@@ -118,3 +118,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def lowest(rows: DataFrame, group: str, most: int, seed: str) -> DataFrame:
+    """At most `most` rows (group, doc_id) of each group, those whose ids hash lowest.
+
+    A first cut by the groups' counts keeps a few times `most` rows of each, so that no task ranks a whole group.
+    """
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = rows.join(counts, group).withColumn("_chance", chance).where(F.col("_chance") * F.col("_n") <= 2 * most + 200)
+    order = Window.partitionBy(group).orderBy("_chance", "doc_id")
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select(group, "doc_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import exact_dedup, langid, mixing, packing, sharding, toxicity
+from parley.llm import edit_embedding, exact_dedup, html_blocks, jaccard_join, langid, mixing, packing, pii, sharding, toxicity
 from parley.llm.common import fold
 
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of near copies of every document."""
+    return jaccard_join.jaccard_join(_table(spark, folder, "documents"))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Place of every piece of every document in sequences of 2048 tokens."""
     return packing.pack(_table(spark, folder, "documents"))
@@ -41,13 +46,29 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find(_table(spark, folder, "documents"))
+
+
+def op8_edit_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every document, and its likeness to the edited and the next one."""
+    return edit_embedding.describe(_table(spark, folder, "documents"))
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and place of every document."""
     return sharding.shard(_table(spark, folder, "documents")).drop("map_version")
 
 
+def op10_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_blocks.extract(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_packing, op3_language_id, op4_toxicity, op5_exact_dedup, op6_mixing, op9_sharding)}
+    op1_jaccard_join, op2_packing, op3_language_id, op4_toxicity, op5_exact_dedup, op6_mixing, op7_pii, op8_edit_embedding,
+    op9_sharding, op10_html_blocks)}
 
 #: Checking SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
