@@ -17,17 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import fold, mix, text_of, texts
+from parley.llm.common import fold, lowest, text_of, texts
 
 GRAMS, BUCKETS = (4, 5), 1 << 18
 #: Fitted on at most so many labelled documents of a class, those whose ids hash lowest.
 SAMPLE = 1200
 #: An n-gram needs so many sampled documents; penalty, rounds of fitting, and score from which a text is toxic.
-LEAST, PENALTY, ROUNDS, TOXIC = 4, 1e-4, 150, 0.7
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+LEAST, PENALTY, ROUNDS, TOXIC = 4, 1e-3, 150, 0.7
+PIECE = 1 << 17
+_ODD, _ODD2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 @dataclass
@@ -41,24 +42,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (margins + self.bias) + self.shift, -30, 30)))
 
 
-def features(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and bucket of every n-gram occurrence of the texts."""
+def features(found: list[str], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and bucket of every n-gram occurrence of the texts, or of those whose bucket is used."""
     lowered = [f" {t.lower()} " for t in found]
-    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(t) for t in lowered], np.int64)
-    ends = np.cumsum(sizes)
-    row = np.repeat(np.arange(len(lowered), dtype=np.int32), sizes)
-    rows, buckets = [], []
-    value, done = np.zeros(len(codes), np.uint64), 0
-    for n in GRAMS:
-        for j in range(done, n):  # value[i] hashes the n characters from i on
-            value = value[:len(codes) - j] * _ODD + codes[j:] + np.uint64(1)
-        done = n
-        bucket = (mix(value + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int32)
-        whole = np.arange(len(value)) + n <= ends[row[:len(value)]]
-        rows.append(row[:len(value)][whole])
-        buckets.append(bucket[whole])
-    return np.concatenate(rows), np.concatenate(buckets)
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) for t in lowered])
+    places, buckets = [], []
+    for at in range(0, len(codes), PIECE):  # pieces that stay in the processor's cache
+        piece = codes[at:at + PIECE + GRAMS[-1] - 1]
+        value, done = np.zeros(len(piece), np.uint32), 0
+        for n in GRAMS:
+            for j in range(done, n):  # value[i] hashes the n characters from i on
+                value = value[:max(0, len(piece) - j)] * _ODD + piece[j:]
+            done = n
+            bucket = (value[:PIECE] ^ (value[:PIECE] >> np.uint32(15))) * _ODD2
+            bucket >>= np.uint32(32 - BUCKETS.bit_length() + 1)
+            place = np.arange(len(bucket)) if used is None else np.flatnonzero(used[bucket])
+            bucket = bucket[place]
+            place = place + at
+            whole = place + n <= ends[np.searchsorted(ends, place, side="right")]
+            places.append(place[whole])
+            buckets.append(bucket[whole].astype(np.int64))
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.searchsorted(ends, np.concatenate(places), side="right"), np.concatenate(buckets)
 
 
 def _distinct(rows: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +144,7 @@ def _calibrated(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def samples(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """Labelled documents outside the held-out fold, at most SAMPLE of a class."""
     told = labels.where(F.col("toxic").isNotNull() & (fold(3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id")
-    chosen = told.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE).select("doc_id", "toxic")
+    chosen = lowest(told, "toxic", SAMPLE, "toxicity")
     # at most 2 * SAMPLE ids are broadcast
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
     ordered = sorted({(r["doc_id"], r["text"], int(r["toxic"] > 0)) for r in rows})
@@ -147,9 +153,7 @@ def samples(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
 
 def margins(model: Model, found: list[str]) -> np.ndarray:
     """Sum of the weights of each text's distinct n-grams."""
-    rows, buckets = features(found)
-    used = model.weights[buckets] != 0
-    rows, buckets = _distinct(rows[used], buckets[used])
+    rows, buckets = _distinct(*features(found, model.weights != 0))
     return np.bincount(rows, weights=model.weights[buckets], minlength=len(found))
 
 
