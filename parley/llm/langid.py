@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import fold, strings_bytes, texts
+from parley.llm.common import fold, lowest, strings_bytes, texts
 
 #: Hidden units of a direction, bytes of a window, windows scored at once.
 UNITS, WINDOW, LANES = 8, 256, 2048
@@ -203,10 +203,11 @@ def probabilities(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 def samples(docs: DataFrame) -> list[tuple[str, str]]:
     """The documents to learn from: outside the held-out fold, at most SAMPLE a language."""
-    ranked = (docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(4) != 2))
-              .select("lang", "text", F.xxhash64(F.lit("langid"), "doc_id").alias("_h"), "doc_id")
-              .withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text"))).where(F.col("_r") <= SAMPLE))
-    return sorted((r["text"], r["lang"]) for r in ranked.select("text", "lang").collect())
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(4) != 2))
+    chosen = lowest(known.select("lang", "doc_id"), "lang", SAMPLE, "langid").distinct()
+    # at most SAMPLE ids a language are broadcast
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang").collect()
+    return sorted((r["text"], r["lang"]) for r in rows)
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
