@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import lowest, text_of, texts
+from parley.llm.common import fold, lowest, text_of, texts
 
 #: Fitted on at most so many pages, those whose ids hash lowest, and on blocks up to SPAN of each.
 SAMPLE, SPAN, UNITS, EPOCHS, BATCH, RATE = 300, 64, 16, 10, 48, 0.01
@@ -355,7 +355,7 @@ def _states(net: Labeller, way: int, x: np.ndarray) -> np.ndarray:
 def sample(pages: DataFrame) -> list[str]:
     """At most SAMPLE pages, those whose ids hash lowest."""
     known = pages.select(F.col("page_id").alias("doc_id"), "html").where("doc_id IS NOT NULL AND html IS NOT NULL")
-    chosen = lowest(known.select("doc_id").withColumn("_g", F.lit(0)), "_g", SAMPLE, "pages").select("doc_id").distinct()
+    chosen = lowest(known.select("doc_id").withColumn("_g", fold(1)), "_g", SAMPLE, "pages").select("doc_id").distinct()
     rows = known.join(F.broadcast(chosen), "doc_id").collect()
     return [r["html"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["html"]))][:2 * SAMPLE]
 

@@ -73,7 +73,8 @@ def apportion(parties: DataFrame, group: list[str], key: str, votes: str, seats:
 
 
 def laid(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (doc_id, source, size, and any others) -> with source_size, target and taken."""
+    """Rows (doc_id, source, size, and any others) -> with source_size, target and taken; the latter is `times` times the
+    document, its first `head_to` words, and its words from `run_from` to `run_to`."""
     cells = Window.partitionBy("source", "shard")
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes).withColumn("_seats", F.round(F.col("total") / block).cast("long")).withColumn("_all", F.lit(0)).withColumn("_place", F.row_number().over(Window.partitionBy().orderBy(F.col("source").isNull(), F.col("source").cast("binary"))))
@@ -92,14 +93,14 @@ def laid(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     order = cells.orderBy("_hash", "doc_id", "size")
     lines = (rows.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
              .join(per, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")), "left"))
-    # the chosen blocks are one run on the circle: [first, first + rest), which may wrap once
-    lo, hi = F.col("_end") - F.col("size"), F.col("_end")
-    run = lambda a, b: F.greatest(F.lit(0), F.least(hi, b * block) - F.greatest(lo, a * block))
-    last = F.col("_first") + F.col("_rest")
-    part = run(F.col("_first"), F.least(last, F.col("_blocks"))) + run(F.lit(0), F.greatest(F.lit(0), last - F.col("_blocks")))
-    return (lines.withColumn("taken", (F.col("_full") * F.col("size") + part).cast("long"))
-            .withColumn("_head", (run(F.lit(0), F.greatest(F.lit(0), last - F.col("_blocks")))).cast("long"))
-            .withColumn("_times", F.col("_full").cast("int")).drop("_s", "_h", "_words", "_blocks", "_full", "_rest", "_first", "_end", "_hash", "shard", "source_quota"))
+    # the chosen blocks are one run on the circle, [first, first + rest), which may wrap once
+    last, low = F.col("_first") + F.col("_rest"), F.col("_end") - F.col("size")
+    inside = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), at * block - low)).cast("long")
+    return (lines.withColumn("times", F.col("_full").cast("int"))
+            .withColumn("head_to", inside(F.greatest(F.lit(0), last - F.col("_blocks"))))
+            .withColumn("run_from", inside(F.col("_first"))).withColumn("run_to", inside(F.least(last, F.col("_blocks"))))
+            .withColumn("taken", (F.col("times") * F.col("size") + F.col("head_to") + F.col("run_to") - F.col("run_from")).cast("long"))
+            .drop("_s", "_h", "_words", "_blocks", "_full", "_rest", "_first", "_end", "_hash", "shard", "source_quota"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -107,3 +108,23 @@ def mix(docs: DataFrame) -> DataFrame:
     narrow = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                               words(text_of("text")).alias("size")), "sizes")
     return laid(narrow).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_texts(docs: DataFrame) -> DataFrame:
+    """The mix itself, in the columns of `docs`: whole documents as often as they are taken whole, and cut ones.
+
+    A cut text is its words joined by blanks. Rows equal in id, source and text are taken alike. n_chars follows the text.
+    """
+    key = ["doc_id", "_source", "_crc"]
+    told = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("_crc", F.crc32(text_of("text").cast("binary")))
+    narrow = keep(told.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "_source", "_crc", words(text_of("text")).alias("size")), "sizes")
+    share = (laid(narrow).groupBy(*key).agg(*[F.max(c).alias(f"_{c}") for c in ("times", "head_to", "run_from", "run_to")])
+             .where("_times > 0 OR _head_to > 0 OR _run_to > _run_from"))
+    share = share.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_times", "_head_to", "_run_from", "_run_to")
+    same = told["doc_id"].cast("long").eqNullSafe(F.col("_k0")) & (F.col("_source") == F.col("_k1")) & (F.col("_crc") == F.col("_k2"))
+    found = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
+    cut = lambda a, b: F.when(F.col(b) > F.col(a), F.when((F.col(a) == 0) & (F.col(b) == F.size(found)), F.col("text")).otherwise(F.array_join(F.slice(found, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), " ")))
+    parts = F.filter(F.array(cut("_zero", "_head_to"), cut("_run_from", "_run_to")), lambda t: t.isNotNull())
+    whole = told.join(share, same).withColumn("_zero", F.lit(0)).withColumn("_out", F.explode(F.concat(F.array_repeat("text", F.col("_times")), parts)))
+    columns = [F.col("_out").alias(c) if c == "text" else F.length("_out").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return whole.select(*columns)

@@ -66,9 +66,16 @@ def op10_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return html_blocks.extract(_table(spark, folder, "pages"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of corpus_pipeline."""
+    import corpus_pipeline  # it imports this subpackage
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_jaccard_join, op2_packing, op3_language_id, op4_toxicity, op5_exact_dedup, op6_mixing, op7_pii, op8_edit_embedding,
-    op9_sharding, op10_html_blocks)}
+    op9_sharding, op10_html_blocks, pipeline)}
 
 #: Checking SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
