@@ -7,9 +7,10 @@ list. The boundary is where counting subsets costs less than scanning lists, fro
 
 Work on large groups stays linear. Equal sets are one set. Shingles are ordered by how common they are (a bounded sketch
 of counts over all sets), so what many sets share is listed last. In a list every set is first compared with the list's
-head; only pairs that this leaves in different components, and that sizes, positions and distances to the head do not
-exclude, are compared then. Parity sketches exclude most pairs before their texts are looked at; every other pair is
-decided by its whole sets. Nothing is capped: order and sketches change the cost, never the links.
+head; in lists that then still hold several components, the sets outside the largest one are tried with a few sets of it,
+and in those that even then hold several, they meet all sets of other components.
+Sizes, positions and parity sketches exclude most pairs before their texts are looked at; every other pair is decided by
+its whole sets. Nothing is capped: order and sketches change the cost, never the links.
 
 Null texts are empty; empty sets link with nothing; a null id is never a component's name while another id is in it.
 Repeated rows are equal sets. An empty table gives an empty result. Extra columns are not read.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm import shingles
@@ -37,9 +38,9 @@ PERCENT = 80
 COUNTED, CELLS, COMMON = int(0.4 * 2 ** 64), 1 << 22, 32
 #: Positions of the counted range that are told apart (2**40), and the largest light size ever considered.
 _GRAIN, LIGHTEST = COUNTED >> 40, 16
-#: Sets compared with one head in a task.
-CHUNK = 500
-SETS = "doc_id long, n int, name binary, sketch binary"
+#: Sets compared with one head in a task, and sets of a list's largest component that one outside it is tried with first.
+CHUNK, TRIES = 500, 6
+SETS = "doc_id long, n int, name binary, sketch binary, bits array<long>"
 
 
 def overlap(m: int, n: int) -> int:
@@ -70,11 +71,12 @@ def boundary(sizes: dict[int, int]) -> int:
 def sized_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, name, sketch of every row's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in texts(batches, 8192, 2_000_000):
+        for batch in texts(batches, 8192, 1_000_000):
             found = shingles.sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array(shingles.set_ids(found), pa.binary()),
-                pa.array([shingles.parity(x) for x in found], pa.binary())], names=["doc_id", "n", "name", "sketch"])
+                pa.array([shingles.parity(x) for x in found], pa.binary()),
+                pa.array([shingles.short_parity(x) for x in found], pa.list_(pa.int64()))], names=["doc_id", "n", "name", "sketch", "bits"])
 
     return _narrow(docs).mapInArrow(run, SETS)
 
@@ -93,7 +95,7 @@ def common_cells(docs: DataFrame, rows: int) -> np.ndarray:
     shift = 40 - owners.bit_length() + 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in texts(batches, 8192, 4_000_000):
+        for batch in texts(batches, 8192, 1_000_000):
             found = [x[:np.searchsorted(x, np.uint64(COUNTED))] for x in shingles.sets(batch.column(1))]
             place = np.concatenate(found) // np.uint64(_GRAIN)
             place, times = np.unique(np.minimum(place, np.uint64((1 << 40) - 1)), return_counts=True)
@@ -140,7 +142,7 @@ def entries(docs: DataFrame, cells: np.ndarray, light: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         levels = spread.value
-        for batch in texts(batches, 8192, 2_000_000):
+        for batch in texts(batches, 8192, 1_000_000):
             found = shingles.sets(batch.column(1))
             gs, hs, metas = [], [], []
             for x, name in zip(found, shingles.set_ids(found)):
@@ -185,9 +187,13 @@ def _lists(rows: DataFrame) -> DataFrame:
                        (low.bitwiseAND(F.lit(1)) == 1).alias("flag"), "head")
 
 
+def _half(name) -> Column:
+    """First half of a set's name as a whole number."""
+    return F.conv(F.substring(F.hex(name), 1, 16), 16, -10).cast("long")
+
+
 def _compare(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of set names, a the head of many -> a, b, far (a lower bound of their Jaccard distance), near (their
-    distance, null where the sketches tell that they do not link)."""
+    """Pairs (a, b) of set names, a the head of many -> those that link, as u, v."""
     side = lambda k: reps.select(F.col("name").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
     told = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -195,12 +201,10 @@ def _compare(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             t = batch.to_pydict()
             least = [max(abs(m - n), shingles.least_difference(x, y)) for m, n, x, y in zip(t["n_a"], t["n_b"], t["s_a"], t["s_b"])]
-            far = [2 * d / (m + n + d) for d, m, n in zip(least, t["n_a"], t["n_b"])]
-            open_ = [100 * (m + n - d) >= PERCENT * (m + n + d) for d, m, n in zip(least, t["n_a"], t["n_b"])]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far, pa.float64()), pa.array(open_, pa.bool_())], names=["a", "b", "far", "open"])
+            near = [100 * (m + n - d) >= PERCENT * (m + n + d) for d, m, n in zip(least, t["n_a"], t["n_b"])]
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], names=["a", "b"])
 
-    bounded = keep(told.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(bound, "a binary, b binary, far double, open boolean"), "bounds")
-    left = bounded.where("open").select("a", "b")
+    left = keep(told.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(bound, "a binary, b binary"), "bounds")
     chunks = left.groupBy("a").agg((F.floor(F.count(F.lit(1)) / CHUNK) + 1).cast("int").alias("chunks"))
     members = left.join(chunks, "a").select("a", F.col("b").alias("name"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
     heads = chunks.select("a", F.col("a").alias("name"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
@@ -209,9 +213,9 @@ def _compare(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, current = (None, None), None
-        for batch in texts(batches, 1024, 2_000_000):
+        for batch in texts(batches, 1024, 1_000_000):
             sets = shingles.sets(batch.column("text"))
-            out = [[], [], []]
+            links: list[tuple[bytes, bytes]] = []
             for a, chunk, role, name, x, own in zip(batch.column("a").to_pylist(), batch.column("chunk").to_pylist(), batch.column("role").to_pylist(),
                                                     batch.column("name").to_pylist(), sets, shingles.set_ids(sets)):
                 if own != name:  # another text under the same id
@@ -221,26 +225,23 @@ def _compare(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 elif head == (a, chunk):
                     at = np.searchsorted(current, x)
                     common = int((current[np.minimum(at, len(current) - 1)] == x).sum())
-                    union = len(x) + len(current) - common
-                    for column, value in zip(out, (a, name, 1 - common / union if 100 * common >= PERCENT * union else 2.0)):
-                        column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], names=["a", "b", "near"])
+                    if 100 * common >= PERCENT * (len(x) + len(current) - common):
+                        links.append((a, name))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links)], names=["u", "v"])
 
     dealt = found.select("a", "chunk", "role", "name", "text").repartition(parts(docs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    decided = dealt.mapInArrow(decide, "a binary, b binary, near double").dropDuplicates(["a", "b"])
-    return bounded.join(decided, ["a", "b"], "left").select("a", "b", "far", F.when(F.col("near") < 1.5, F.col("near")).alias("near"))
+    return dealt.mapInArrow(decide, "u binary, v binary").distinct()
 
 
 def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct sets with one row's id each, and links (u, v) between them that make up all components."""
-    reps = keep(sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
+    reps = keep(sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "sketch", "bits")]), "sets")
     sizes = {r["n"]: r["c"] for r in reps.groupBy(F.least("n", F.lit(4 * LIGHTEST)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     light = boundary(sizes)
     cells = common_cells(docs, sum(sizes.values()))
     lists = keep(_lists(entries(docs, cells, light)), "lists")
-    half = F.conv(F.substring(F.hex("name"), 1, 16), 16, -10).cast("long")
-    names = keep(reps.select(half.alias("h"), "name"), "names")
+    names = keep(reps.select(_half("name").alias("h"), "name"), "names")
     # light sets: all sets of a subset link with the subset's first set of the smaller size
     subsets = lists.where("kind = 1").select("g", "h", "flag")
     first = subsets.where("flag").groupBy("g").agg(F.min("h").alias("head"))
@@ -251,28 +252,52 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = listed.select("head", "h").distinct().unionByName(tops).where("h <> head").distinct()
     head_names = names.select(F.col("h").alias("head"), F.col("name").alias("a"))
     by_name = lambda t: t.join(head_names, "head").join(names.select("h", F.col("name").alias("b")), "h").select("a", "b")
-    compared = keep(_compare(by_name(stars), reps, docs), "stars")
-    first_links = keep(by_name(sure).select(F.col("a").alias("u"), F.col("b").alias("v"))
-                       .unionByName(compared.where("near IS NOT NULL").select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
-    roots = components(first_links)
-    # lists that still hold two components: their pairs across components
-    placed = (listed.join(names, "h").join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
-              .withColumn("root", F.coalesce("root", "name"))
-              .join(head_names, "head").join(compared.select("a", F.col("b").alias("name"), "far", "near"), ["a", "name"], "left"))
-    placed = placed.select("g", "name", "n", "flag", "root", "a", F.when(F.col("a") == F.col("name"), 0.0).otherwise(F.col("far")).alias("far"),
-                           F.when(F.col("a") == F.col("name"), 0.0).otherwise(F.col("near")).alias("near"))
-    mixed = placed.groupBy("g").agg(F.min("root").alias("_r1"), F.max("root").alias("_r2")).where("_r1 < _r2").select("g")
-    rest = keep(placed.join(mixed, "g"), "mixed")
-    x, y = (rest.select("g", *[F.col(c).alias(f"{c}_{k}") for c in ("name", "n", "flag", "root", "a", "far", "near")]) for k in ("x", "y"))
-    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("name_x") < F.col("name_y")))
-    ahead = F.col("flag_x") | ((F.col("n_x") == F.col("n_y")) & F.col("flag_y"))
-    # the distance to a common head tells: |d(x, head) - d(y, head)| > 1 - 0.8 excludes a link
-    apart = (F.col("a_x") == F.col("a_y")) & ((F.col("far_x") - F.col("near_y") > 0.2000001) | (F.col("far_y") - F.col("near_x") > 0.2000001))
-    pairs = (x.join(y, "g").where(smaller & ahead & (F.col("root_x") != F.col("root_y")) & (100 * F.col("n_x") >= PERCENT * F.col("n_y")) & ~F.coalesce(apart, F.lit(False)))
-             .select(F.col("name_x").alias("a"), F.col("name_y").alias("b")).distinct())
-    done = compared.select("a", "b").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = _compare(keep(pairs.join(done, ["a", "b"], "left_anti"), "pairs"), reps, docs).where("near IS NOT NULL")
-    return reps, first_links.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    first_links = keep(by_name(sure).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(_compare(by_name(stars), reps, docs)), "links")
+    names_bits = reps.select("name", _half("name").alias("h"), "bits")
+    roots = keep(components(first_links), "roots")
+    mixed = keep(_mixed(listed.select("g", "h", "n", "flag"), names_bits, roots), "mixed")
+    # once more a star: sets outside a list's largest component with some set of that component, another in every list
+    some = mixed.where("root = main").groupBy("g").agg(F.min_by(F.struct("h", "n", "bits"), F.xxhash64("h", "g")).alias("y"))
+    met = (mixed.where("root <> main").join(some, "g").select("h", "n", "bits", F.col("y.h").alias("head"), F.col("y.n").alias("n_y"), F.col("y.bits").alias("bits_y"))
+           .withColumn("differ", _differ("bits", "bits_y")).where(_may_link("n", "n_y", "differ")))
+    closest = Window.partitionBy("h").orderBy("differ", "head")
+    tried = (met.groupBy("h", "head").agg(F.min("differ").alias("differ")).withColumn("_r", F.row_number().over(closest))
+             .where(F.col("_r") <= TRIES).select("head", "h"))
+    more = keep(_compare(by_name(tried), reps, docs), "links")
+    again = keep(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
+    # what is still apart: every set outside a list's largest component with all sets of other components
+    rest = keep(_mixed(mixed.select("g", "h", "n", "flag"), names_bits, again), "mixed")
+    stray, every = (rest.select("g", "main", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "n", "flag", "root", "bits")]) for k in ("x", "y"))
+    apart = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main_y")) | (F.col("h_x") < F.col("h_y")))
+    x_ahead = F.col("flag_x") & (F.col("n_x") <= F.col("n_y"))  # one of the two lists the shingle as the smaller set
+    y_ahead = F.col("flag_y") & (F.col("n_y") <= F.col("n_x"))
+    pairs = (stray.where("root_x <> main").drop("main").join(every.withColumnRenamed("main", "main_y"), "g")
+             .where(apart & (x_ahead | y_ahead) & _may_link("n_x", "n_y", _differ("bits_x", "bits_y"))).select(F.col("h_x").alias("head"), F.col("h_y").alias("h")).distinct())
+    last = _compare(by_name(keep(pairs, "pairs")), reps, docs)
+    return reps, again.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(last)
+
+
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two short sketches differ: at most the size of the sets' symmetric difference."""
+    bits = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(shingles.LONGS)]
+    return sum(bits[1:], bits[0])
+
+
+def _may_link(m: str, n: str, differ) -> Column:
+    """Whether sizes and sketches leave a link possible."""
+    fits = PERCENT * F.greatest(m, n) <= 100 * F.least(m, n)
+    return fits & ((100 + PERCENT) * (F.col(differ) if isinstance(differ, str) else differ) <= (100 - PERCENT) * (F.col(m) + F.col(n)))
+
+
+def _mixed(listed: DataFrame, names_bits: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries (g, h, n, flag) of lists that hold more than one component, with root, the list's largest component (main)
+    and the sets' short sketches."""
+    root_of = keep(names_bits.join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
+                   .select("h", _half(F.coalesce("root", "name")).alias("root"), "bits"), "placed")
+    placed = listed.join(root_of.select("h", "root"), "h")
+    share = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("c"))
+    several = share.groupBy("g").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("g", "main")
+    return placed.join(several, "g").join(root_of.select("h", "bits"), "h")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:

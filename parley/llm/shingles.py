@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from parley.llm.common import mix, strings_bytes
 
-WIDTH = 5
+WIDTH, LONGS = 5, 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
@@ -98,6 +98,12 @@ def parity(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def short_parity(found: np.ndarray) -> list[int]:
+    """The same sketch in LONGS 64-bit words for sets of any size: for large ones it excludes less."""
+    odd = np.bincount((found & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the size of the symmetric difference of two sets, from their sketches."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
