@@ -158,10 +158,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns. Rows of unique texts are not shuffled."""
     narrow = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text_of("text")).alias("text_sha256")), "digests")
-    groups = keep(copies(docs, narrow), "copies").select("text_sha256", "keep_id")
-    marked = flag_maybe(docs.withColumn("_sha", digest(text_of("text"))), F.col("_sha"), groups, "text_sha256")
-    kept = (marked.where("_maybe").join(groups.withColumnRenamed("text_sha256", "_sha"), "_sha", "left")
-            .where(F.col("keep_id").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))))
+    groups = keep(copies(docs, narrow), "copies").select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_copied"))
+    marked = flag_maybe(docs.withColumn("_sha", digest(text_of("text"))), F.col("_sha"), groups, "_sha")
+    kept = (marked.where("_maybe").join(groups, "_sha", "left")
+            .where(F.col("_copied").isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col("_keep"))))
     # repeated rows with the id that stays: a third of all rows may be one such text, so each task keeps one of them first
     single = kept.withColumn("_place", F.row_number().over(Window.partitionBy("_sha", "doc_id").orderBy("doc_id"))).where("_place = 1")
     return marked.where("NOT _maybe").select(docs.columns).unionByName(single.select(docs.columns))

@@ -13,7 +13,7 @@ read by `mix`; `mixed_texts` keeps them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import id_key, keep, text_of
@@ -22,7 +22,12 @@ BLOCK, SHARD_WORDS, MOST, SEED = 32, 1 << 24, 3, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def words(text) -> F.Column:
+def hashed(seed: str, text: Column) -> Column:
+    """60 bits of an MD5, as a whole number."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), text).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def words(text: Column) -> Column:
     """Number of words of a text."""
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
@@ -81,14 +86,14 @@ def laid(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     quotas = keep(apportion(goal, ["_all"], "_place", "target", "_seats").withColumnRenamed("quota", "source_quota").drop("_all", "_seats"), "source-quotas")
     told = quotas.select(F.col("source").alias("_s"), "source_size", "target", "source_quota")
     rows = (docs.join(told, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-            .withColumn("_hash", F.xxhash64(F.lit(SEED), id_key()))
-            .withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED + "/shard"), id_key()), (F.floor(F.col("source_size") / SHARD_WORDS) + 1).cast("long"))))
+            .withColumn("_hash", hashed(SEED, id_key()))
+            .withColumn("shard", F.pmod(hashed(SEED + "/shard", id_key()), (F.floor(F.col("source_size") / SHARD_WORDS) + 1).cast("long"))))
     shards = rows.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("_words"))
     per = (apportion(shards, ["source"], "shard", "_words", "source_quota")
            .withColumn("_blocks", F.ceil(F.col("_words") / block).cast("long")).withColumn("_quota", F.least("quota", F.col("_blocks") * MOST))
            .withColumn("_full", F.when(F.col("_blocks") > 0, F.floor(F.col("_quota") / F.col("_blocks"))).otherwise(0).cast("long"))
            .withColumn("_rest", (F.col("_quota") - F.col("_full") * F.col("_blocks")).cast("long"))
-           .withColumn("_first", F.when(F.col("_blocks") > 0, F.pmod(F.xxhash64(F.lit(SEED + "/first"), "source", "shard"), F.col("_blocks"))).otherwise(0).cast("long"))
+           .withColumn("_first", F.when(F.col("_blocks") > 0, F.pmod(hashed(SEED + "/first", F.concat(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), F.lit("|"), F.col("shard").cast("string"))), F.col("_blocks"))).otherwise(0).cast("long"))
            .select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "_words", "_blocks", "_full", "_rest", "_first"))
     order = cells.orderBy("_hash", "doc_id", "size")
     lines = (rows.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
