@@ -210,9 +210,9 @@ def samples(docs: DataFrame) -> list[tuple[str, str]]:
     return sorted((r["text"], r["lang"]) for r in rows)
 
 
-def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """`docs` with lang_pred and score."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def identify(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with the predicted language and its score, in columns of the given names."""
+    kept = [c for c in docs.columns if c not in names]
     order = [c for c in kept if c != "text"] + ["text"]
     source = docs.select(*order)
 
@@ -226,16 +226,16 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
             else:
                 p = probabilities(net, *strings_bytes(column))
                 best, score = p.argmax(axis=1), p.max(axis=1)
-            names = net.langs if net else ["und"]
-            pred = [names[b] if ok else "und" for b, ok in zip(best, known)]
+            langs = net.langs if net else ["und"]
+            pred = [langs[b] if ok else "und" for b, ok in zip(best, known)]
             value = np.where(known, np.clip(score, 0, 1).round(5), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(value, pa.float64())],
-                                             names=[*order, "lang_pred", "score"])
+                                             names=[*order, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", lang_pred string, score double"
-    return source.mapInArrow(run, schema).select(*kept, "lang_pred", "score")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + f", `{names[0]}` string, `{names[1]}` double"
+    return source.mapInArrow(run, schema).select(*kept, *names)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is known: those predicted `und` go."""
-    return identify(docs, train(samples(docs))).where("lang_pred <> 'und'").select(*docs.columns)
+    return identify(docs, train(samples(docs)), ("_lang_pred", "_score")).where("_lang_pred <> 'und'").select(*docs.columns)
