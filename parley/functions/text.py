@@ -30,6 +30,11 @@ def content_tokens(toks: Column) -> Column:
     return F.filter(toks, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
+def digest(text: Column) -> Column:
+    """16-byte key of a text: what rows of one text carry through shuffles in its place."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def phrase_of(toks: Column) -> Column:
     return F.array_join(toks, " ")
 

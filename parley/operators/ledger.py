@@ -6,7 +6,7 @@ larger (phrases, items, texts) is grouped with mergeable aggregates instead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley import fixed
@@ -16,9 +16,15 @@ from parley.operators import mining, phrases as ph
 from parley.plans import scale
 from parley.settings import DEFAULTS, Settings
 
-GROUP = 100_000  # room for the entries of one evidence source inside a turn's sequence numbers
+# Order of a text's evidence: source number * GROUP + place. A string has fewer than 2**31 bytes, so no place reaches GROUP.
+GROUP = 1 << 40
 LATE = 8 * GROUP
-EVIDENCE = "array<struct<seq:int,phrase:string,tier:string,df:bigint>>"
+EVIDENCE = "array<struct<seq:bigint,phrase:string,tier:string,df:bigint>>"
+
+
+def said_text() -> Column:
+    """The message text; a null message is an empty one, which says nothing and is of unknown wording."""
+    return F.coalesce("user_message", F.lit(""))
 
 
 def message_flags(texts: DataFrame) -> DataFrame:
@@ -28,8 +34,8 @@ def message_flags(texts: DataFrame) -> DataFrame:
                         ms.override(m).alias("override"), (F.size(ms.constraints(m)) > 0).alias("states_con"))
 
 
-def template_candidates(texts: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """(user_message, seq, phrase, tier, deparaphrase, needs) from the category clause, the constraint
+def template_candidates(texts: DataFrame, cfg: Settings = DEFAULTS, key: str = "user_message") -> DataFrame:
+    """(key, seq, phrase, tier, deparaphrase, needs) from the category clause, the constraint
     templates and the override opening. `needs` is a second phrase that must be attested too."""
     m = F.col("user_message")
     clause = ms.looking_for(m)
@@ -37,25 +43,25 @@ def template_candidates(texts: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame
     null = F.lit(None).cast("string")
 
     def entry(seq, phrase, tier, deparaphrase, needs=null):
-        return F.struct(seq.cast("int").alias("seq"), phrase.alias("phrase"), F.lit(tier).alias("tier"),
+        return F.struct(seq.cast("bigint").alias("seq"), phrase.alias("phrase"), F.lit(tier).alias("tier"),
                         F.lit(deparaphrase).alias("deparaphrase"), needs.alias("needs"))
 
     staged = texts.select(
-        "user_message", clause.alias("clause"), parts.alias("parts"),
+        key, clause.alias("clause"), parts.alias("parts"),
         ms.constraints(m).alias("cons"), ms.override_tail(m).alias("tail"))
     whole = F.when(F.col("clause").isNotNull(), F.array(entry(
         F.lit(0), ms.value_phrase(F.col("clause"), cfg.resolve_tokens), "cat", False,
         F.when(F.size("parts") >= 2, tx.phrase_of(F.col("parts"))))))
     split = F.when(F.col("clause").isNotNull(), F.transform(
-        "parts", lambda p, i: entry(i + GROUP, p, "cat", False)))
+        "parts", lambda p, i: entry(i + F.lit(GROUP), p, "cat", False)))
     cons = F.transform("cons", lambda c, i: entry(
-        i + 2 * GROUP, ms.value_phrase(c, cfg.resolve_tokens), "con", True))
+        i + F.lit(2 * GROUP), ms.value_phrase(c, cfg.resolve_tokens), "con", True))
     tail = F.when(F.col("tail").isNotNull(), F.array(entry(
         F.lit(LATE), ms.value_phrase(F.col("tail"), cfg.resolve_tokens), "con", False)))
-    none = F.expr("cast(array() as array<struct<seq:int,phrase:string,tier:string,"
+    none = F.expr("cast(array() as array<struct<seq:bigint,phrase:string,tier:string,"
                   "deparaphrase:boolean,needs:string>>)")
     rows = F.concat(*[F.coalesce(x, none) for x in (whole, split, cons, tail)])
-    return staged.select("user_message", F.inline(rows)).filter(F.col("phrase") != "")
+    return staged.select(key, F.inline(rows)).filter(F.col("phrase") != "")
 
 
 def text_evidence(messages: DataFrame, indexed: DataFrame, categories: DataFrame | None = None,
@@ -63,23 +69,23 @@ def text_evidence(messages: DataFrame, indexed: DataFrame, categories: DataFrame
                   cleaned: DataFrame | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
     """One row per distinct message text: its flags and its evidence in order.
 
-    Repeated texts are analysed once. `cleaned` holds (user_message, kept_text) of a tagger;
+    Repeated texts are analysed once, and what is derived from one carries its digest (text_id). `cleaned` holds (user_message, kept_text) of a tagger;
     `categories`/`attributes` switch span lookup on; `proposals` feed admission.
     """
-    texts = scale.keep(message_flags(messages.select("user_message").filter(
-        "user_message is not null").distinct()))
+    texts = scale.keep(message_flags(messages.select(said_text().alias("user_message")).distinct())
+                       .withColumn("text_id", tx.digest(F.col("user_message"))))
     said = texts.filter(~F.col("noinfo"))
-    stated = scale.keep(template_candidates(said, cfg))
+    stated = scale.keep(template_candidates(said, cfg, "text_id"))
     wanted = stated.select("phrase").unionByName(
         stated.filter("needs is not null").select(F.col("needs").alias("phrase")))
     if proposals is not None:
-        wanted = wanted.unionByName(proposals.select(F.col("proposal").alias("phrase")))
-    freq = scale.keep(ph.document_frequency(indexed, wanted, 1, cfg.resolve_tokens, cfg))
+        wanted = wanted.unionByName(proposals.select(ph.proposal_phrase().alias("phrase")))
+    freq = scale.keep(ph.document_frequency(indexed, wanted, 1, cfg))
     ok = freq.filter("df > 0").select(F.col("phrase").alias("needs"), F.lit(True).alias("_ok"))
     stated_ok = stated.join(ok, "needs", "left").filter("needs is null or _ok").drop("needs", "_ok")
-    parts = [ph.admit(stated_ok, freq, proposals, cfg).select("user_message", "seq", "phrase", "tier", "df")]
+    parts = [ph.admit(stated_ok, freq, proposals, cfg).select("text_id", "seq", "phrase", "tier", "df")]
 
-    base = said.select("user_message", "known", "states_con")
+    base = said.select("text_id", "user_message", "known", "states_con")
     if cleaned is not None:
         base = base.join(cleaned.select("user_message", "kept_text"), "user_message", "left")
     else:
@@ -88,34 +94,34 @@ def text_evidence(messages: DataFrame, indexed: DataFrame, categories: DataFrame
         F.coalesce("kept_text", "user_message")))
 
     if categories is not None and attributes is not None:
-        unknown = base.filter(~F.col("known")).select("user_message", tx.tokens(F.col("mine_text")).alias("toks"))
-        cats = scale.keep(mining.span_category(unknown, "user_message", categories, cfg=cfg))
+        unknown = base.filter(~F.col("known")).select("text_id", tx.tokens(F.col("mine_text")).alias("toks"))
+        cats = scale.keep(mining.span_category(unknown, "text_id", categories, cfg=cfg))
         attrs = mining.span_attributes(
-            cats.select("user_message", F.col("rest").alias("toks")), "user_message", attributes, cfg)
+            cats.select("text_id", F.col("rest").alias("toks")), "text_id", attributes, cfg)
         named = cats.filter("category is not null")
         toks = F.split("category", " ")
-        span = named.select("user_message", F.lit(3 * GROUP).alias("seq"), F.col("category").alias("phrase"),
+        span = named.select("text_id", F.lit(3 * GROUP).alias("seq"), F.col("category").alias("phrase"),
                             F.lit("cat").alias("tier"))
-        span = span.unionByName(named.select("user_message", F.posexplode(toks).alias("seq", "phrase"))
-                                .select("user_message", (F.col("seq") + 4 * GROUP).alias("seq"), "phrase",
+        span = span.unionByName(named.select("text_id", F.posexplode(toks).alias("seq", "phrase"))
+                                .select("text_id", (F.col("seq") + F.lit(4 * GROUP)).alias("seq"), "phrase",
                                         F.lit("cat").alias("tier")))
-        at = (5 * GROUP + F.col("start") * 4 + F.col("n")).cast("int").alias("seq")
-        span = scale.keep(span.unionByName(attrs.select("user_message", at, "phrase",
+        at = (F.lit(5 * GROUP) + F.col("start") * (cfg.attribute_tokens + 1) + F.col("n")).alias("seq")
+        span = scale.keep(span.unionByName(attrs.select("text_id", at, "phrase",
                                                         F.lit("mined").alias("tier"))))
-        sfreq = ph.document_frequency(indexed, span, 1, cfg.resolve_tokens, cfg)
+        sfreq = ph.document_frequency(indexed, span, 1, cfg)
         parts.append(span.join(sfreq.select("phrase", "df"), "phrase").select(
-            "user_message", "seq", "phrase", "tier", "df"))
+            "text_id", "seq", "phrase", "tier", "df"))
 
     # mining runs where the templates stated no constraint, attested or not
     free = base.filter(~F.col("states_con"))
-    both = free.select("user_message", F.col("mine_text").alias("text"), F.lit(6 * GROUP).alias("at"))
+    both = free.select("text_id", F.col("mine_text").alias("text"), F.lit(6 * GROUP).alias("at"))
     if cleaned is not None:
         both = both.unionByName(free.filter("mine_text <> user_message").select(
-            "user_message", F.col("user_message").alias("text"), F.lit(7 * GROUP).alias("at")))
-    both = scale.keep(both)
-    mined = mining.mined_rows(mining.mine(both.select(F.col("text").alias("user_message")), indexed, cfg))
-    parts.append(both.join(mined.withColumnRenamed("user_message", "text"), "text").select(
-        "user_message", (F.col("at") + F.col("i")).cast("int").alias("seq"), "phrase",
+            "text_id", F.col("user_message").alias("text"), F.lit(7 * GROUP).alias("at")))
+    both = scale.keep(both.withColumn("mined_id", tx.digest(F.col("text"))))
+    mined = mining.mined_rows(mining.mine(both.select(F.col("text").alias("user_message")), indexed, cfg), "text_id")
+    parts.append(both.select("text_id", "mined_id", "at").join(mined.withColumnRenamed("text_id", "mined_id"), "mined_id").select(
+        "text_id", (F.col("at") + F.col("i")).alias("seq"), "phrase",
         F.lit("mined").alias("tier"), "df"))
 
     rows = parts[0]
@@ -123,20 +129,21 @@ def text_evidence(messages: DataFrame, indexed: DataFrame, categories: DataFrame
         rows = rows.unionByName(p)
     stored = F.when(F.col("df") > 0, F.col("df")).otherwise(2 * cfg.df_cap).cast("bigint")
     # a phrase enters once per text, at its first place
-    first = rows.groupBy("user_message", "phrase").agg(
+    first = rows.groupBy("text_id", "phrase").agg(
         F.min(F.struct("seq", "tier", stored.alias("df"))).alias("e"))
-    lists = first.groupBy("user_message").agg(F.sort_array(F.collect_list(F.struct(
+    lists = first.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct(
         F.col("e.seq").alias("seq"), F.col("phrase"), F.col("e.tier").alias("tier"),
         F.col("e.df").alias("df")))).cast(EVIDENCE).alias("evidence"))
-    return texts.join(lists, "user_message", "left").withColumn(
+    return texts.join(lists, "text_id", "left").withColumn(
         "evidence", F.coalesce("evidence", F.expr(f"cast(array() as {EVIDENCE})")))
 
 
 def observe(messages: DataFrame, evidence: DataFrame, acts: DataFrame | None = None,
             cfg: Settings = DEFAULTS) -> DataFrame:
     """Messages of every session joined with what their text says. `acts` holds (session_id, turn, act)."""
-    rows = messages.filter(F.col("turn").between(1, cfg.max_turns)).select("session_id", "turn", "user_message")
-    rows = rows.join(scale.broadcast_checked(evidence, cfg.broadcast_rows // 10), "user_message", "left")
+    rows = messages.filter(F.col("turn").between(1, cfg.max_turns)).select(
+        "session_id", "turn", tx.digest(said_text()).alias("text_id"))
+    rows = rows.join(evidence.drop("user_message"), "text_id", "left")
     act = F.lit(None).cast("string")
     if acts is not None:
         rows = rows.join(acts.select("session_id", "turn", F.col("act").alias("_act")), ["session_id", "turn"], "left")
@@ -215,14 +222,14 @@ def last_good(rankings: DataFrame) -> DataFrame:
 def add_recovered(evidence: DataFrame, recovered: DataFrame, indexed: DataFrame,
                   proposals: DataFrame | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
     """Rescue answers join the ledger after everything their turn said, at tier `sem`."""
-    rows = recovered.select("session_id", "turn", (F.col("i") + LATE + GROUP).cast("int").alias("seq"),
+    rows = recovered.select("session_id", "turn", (F.col("i") + F.lit(LATE + GROUP)).alias("seq"),
                             ms.value_phrase(F.col("phrase"), cfg.resolve_tokens).alias("phrase"),
                             F.lit("sem").alias("tier"), F.lit(True).alias("deparaphrase"))
     rows = scale.keep(rows.filter("phrase <> ''"))
     wanted = rows.select("phrase")
     if proposals is not None:
-        wanted = wanted.unionByName(proposals.select(F.col("proposal").alias("phrase")))
-    freq = scale.keep(ph.document_frequency(indexed, wanted, 1, cfg.resolve_tokens, cfg))
+        wanted = wanted.unionByName(proposals.select(ph.proposal_phrase().alias("phrase")))
+    freq = scale.keep(ph.document_frequency(indexed, wanted, 1, cfg))
     got = ph.admit(rows, freq, proposals, cfg).select(*evidence.columns)
     return evidence.unionByName(got).groupBy("session_id", "phrase").agg(
         F.min(F.struct("turn", "seq", "tier", "df")).alias("e")).select(

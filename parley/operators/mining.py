@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
@@ -25,36 +25,44 @@ def _greedy(hits: Column) -> Column:
 
 
 def mine(messages: DataFrame, indexed: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """(user_message, picks): greedy longest-match segmentation of every distinct message text.
+    """(text_id, user_message, picks): greedy longest-match segmentation of every distinct message text.
 
-    At each position the longest n-gram with 0 < df <= cap is taken and its tokens are consumed.
-    Repeated texts are mined once. The fold sees only attested hits of one message.
+    At each position the longest n-gram with 0 < df <= cap is taken and its tokens are consumed. Repeated texts are mined
+    once. Grams carry the text's digest, not the text. A hit that starts where no earlier one reaches opens a new block;
+    blocks are independent, so the fold sees only hits that overlap in a chain.
     """
-    texts = scale.keep(messages.select("user_message").filter("user_message is not null").distinct())
-    grams = ph.message_grams(texts.withColumn("text", F.col("user_message")), "text",
-                             cfg.mine_min, cfg.mine_max)
-    freq = ph.document_frequency(indexed, grams, cfg.mine_min, cfg.mine_max, cfg)
+    texts = scale.keep(messages.select(F.coalesce("user_message", F.lit("")).alias("user_message")).distinct()
+                       .withColumn("text_id", tx.digest(F.col("user_message"))))
+    grams = ph.message_grams(texts, "text_id", cfg.mine_min, cfg.mine_max)
+    freq = ph.document_frequency(indexed, grams, cfg.mine_min, cfg)
     usable = scale.keep(freq.filter(F.col("df").between(1, cfg.df_cap)))
     longest = (grams.join(scale.broadcast_checked(usable.select("phrase", "df"), cfg.broadcast_rows), "phrase")
-               .groupBy("text", "start").agg(F.max(F.struct("n", "phrase", "df")).alias("h")))
-    hits = longest.groupBy(F.col("text").alias("user_message")).agg(F.sort_array(F.collect_list(
+               .groupBy("text_id", "start").agg(F.max(F.struct("n", "phrase", "df")).alias("h")))
+    own = Window.partitionBy("text_id").orderBy("start")
+    reach = F.max(F.col("start") + F.col("h.n")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = (longest.withColumn("opens", F.when(F.coalesce(F.col("start") >= reach, F.lit(True)), 1).otherwise(0))
+              .withColumn("block", F.sum("opens").over(own)))
+    hits = blocks.groupBy("text_id", "block").agg(F.sort_array(F.collect_list(
         F.struct("start", F.col("h.n").alias("n"), F.col("h.phrase").alias("phrase"),
                  F.col("h.df").alias("df")).cast(HIT))).alias("hits"))
-    return hits.select("user_message", _greedy(F.col("hits")).alias("picks"))
+    picks = hits.select("text_id", F.inline(_greedy(F.col("hits")))).groupBy("text_id").agg(
+        F.sort_array(F.collect_list(F.struct("start", "n", "phrase", "df"))).alias("picks"))
+    return texts.join(picks, "text_id")
 
 
-def mined_rows(mined: DataFrame) -> DataFrame:
-    return mined.select("user_message", F.posexplode("picks").alias("i", "p")).select(
-        "user_message", "i", "p.start", "p.n", "p.phrase", "p.df")
+def mined_rows(mined: DataFrame, key: str = "user_message") -> DataFrame:
+    return mined.select(key, F.posexplode("picks").alias("i", "p")).select(
+        key, "i", "p.start", "p.n", "p.phrase", "p.df")
 
 
-def span_category(texts: DataFrame, key: str, categories: DataFrame, max_n: int = 22,
-                  cfg: Settings = DEFAULTS) -> DataFrame:
+def span_category(texts: DataFrame, key: str, categories: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Longest category phrase per token list (ties: smallest phrase, then first place) and the rest.
 
     `texts` holds (key, toks). Result: key, category, at, width, rest; category is null when absent.
+    Windows are as wide as the longest category.
     """
     table = scale.keep(ph.phrase_table(categories, cfg))
+    max_n = ph.longest(table)
     win = ph.text_windows(texts, "toks", [key], max_n)
     found = ph.only(ph.occurrences(win, table, ph.head_sizes(cfg.category_min_tokens, max_n, cfg), cfg),
                     table, cfg)

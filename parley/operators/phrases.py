@@ -27,6 +27,11 @@ def phrase_table(phrases: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
             .withColumn("head", F.substring_index("phrase", " ", cfg.head_tokens)))
 
 
+def longest(table: DataFrame) -> int:
+    """Tokens of the longest phrase: windows of that width miss nothing."""
+    return table.agg(F.max("n")).first()[0] or 1
+
+
 def _spans(toks: Column, length: Column, max_n: int) -> Column:
     """One struct per token position: position, tokens left, window text."""
     return F.transform(F.sequence(F.lit(1), length), lambda i: F.struct(
@@ -98,14 +103,16 @@ def only(rows: DataFrame, table: DataFrame, cfg: Settings = DEFAULTS) -> DataFra
                      "phrase", "left_semi")
 
 
-def document_frequency(indexed: DataFrame, phrases: DataFrame, min_n: int = 1,
-                       max_n: int = DEFAULTS.resolve_tokens, cfg: Settings = DEFAULTS) -> DataFrame:
+def document_frequency(indexed: DataFrame, phrases: DataFrame, min_n: int = 1, cfg: Settings = DEFAULTS) -> DataFrame:
     """(phrase, n, df) for every distinct phrase; df counts items holding it inside one field, capped.
 
+    Phrases may be of any length: windows are as wide as the longest of them.
+
     An item contributes a phrase once: duplicates collapse inside the task that read the item, so the
     count shuffles one partial row per phrase and task, however common the phrase is.
     """
     table = scale.keep(phrase_table(phrases, cfg))
+    max_n = longest(table)
     found = (occurrences(item_windows(indexed, max_n), table, head_sizes(min_n, max_n, cfg), cfg)
              .filter(F.col("n") <= F.col("room")))
     counts = (only(found, table, cfg).select("phrase", "item_id").distinct()
@@ -114,10 +121,10 @@ def document_frequency(indexed: DataFrame, phrases: DataFrame, min_n: int = 1,
         "phrase", "n", F.least(F.coalesce("found", F.lit(0)), F.lit(cfg.df_cap + 1)).cast("bigint").alias("df"))
 
 
-def phrase_hits(indexed: DataFrame, phrases: DataFrame, min_n: int = 1,
-                max_n: int = DEFAULTS.resolve_tokens, cfg: Settings = DEFAULTS) -> DataFrame:
+def phrase_hits(indexed: DataFrame, phrases: DataFrame, min_n: int = 1, cfg: Settings = DEFAULTS) -> DataFrame:
     """(phrase, item, freq, len, pop): weighted in-field count; 0 when only the blob spans it."""
     table = scale.keep(phrase_table(phrases, cfg))
+    max_n = longest(table)
     found = occurrences(item_windows(indexed, max_n, across_fields=True), table,
                         head_sizes(min_n, max_n, cfg), cfg)
     per_item = found.groupBy("phrase", "item_id", "len", "pop").agg(
@@ -134,6 +141,11 @@ def message_grams(messages: DataFrame, key: str, min_n: int, max_n: int) -> Data
         key, "start", "n", tx.first_tokens(F.col("ctx"), F.col("n")).alias("phrase"))
 
 
+def proposal_phrase() -> Column:
+    """The tokens of column `proposal`: punctuation and hyphens separate, as in the catalogue."""
+    return tx.phrase_of(tx.tokens(F.col("proposal")))
+
+
 def attest(candidates: DataFrame, freq: DataFrame) -> DataFrame:
     """Candidates whose phrase occurs in the catalogue."""
     return candidates.join(freq.filter("df > 0").select("phrase"), "phrase", "left_semi")
@@ -144,13 +156,13 @@ def admit(candidates: DataFrame, freq: DataFrame, proposals: DataFrame | None =
     """Admission of stated values: (…, phrase, tier, deparaphrase) -> attested rows.
 
     An attested phrase keeps its tier; else a verified proposal enters at tier `sem`; else the value
-    is dropped. `proposals` holds (source_phrase, proposal).
+    is dropped. `proposals` holds (source_phrase, proposal); a proposal is attested by its tokens.
     """
     known = freq.filter("df > 0").select("phrase", "df")
     rows = candidates.join(known, "phrase", "left")
     if proposals is None:
         return rows.filter("df is not null").drop("deparaphrase")
-    p = (proposals.select(F.col("source_phrase").alias("phrase"), "proposal")
+    p = (proposals.select(F.col("source_phrase").alias("phrase"), proposal_phrase().alias("proposal"))
          .join(known.select(F.col("phrase").alias("proposal"), F.col("df").alias("p_df")), "proposal")
          .groupBy("phrase").agg(F.min_by(F.struct("proposal", "p_df"), "proposal").alias("p")))
     rows = rows.join(p, "phrase", "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parley import fixed
 from parley.functions import text as tx
+from parley.operators import phrases as ph
 from parley.settings import DEFAULTS, Settings
 
 
@@ -45,13 +46,16 @@ def decode_keep(messages: DataFrame, probabilities: DataFrame, cfg: Settings = D
 
 
 def verify_proposals(answers: DataFrame, freq: DataFrame) -> DataFrame:
-    """(source_phrase, raw) -> proposal and outcome: failed, abstained, unattested or accepted."""
-    rows = answers.withColumn("proposal", tx.normalise_proposal(F.col("raw"), "."))
-    known = freq.filter("df > 0").select(F.col("phrase").alias("proposal"), F.lit(True).alias("known"))
+    """(source_phrase, raw) -> proposal and outcome: failed, abstained, unattested or accepted.
+
+    `freq` holds the proposals' tokens as phrases (`proposal_phrase`).
+    """
+    rows = answers.withColumn("proposal", tx.normalise_proposal(F.col("raw"), ".")).withColumn("_toks", ph.proposal_phrase())
+    known = freq.filter("df > 0").select(F.col("phrase").alias("_toks"), F.lit(True).alias("known"))
     blank = F.col("raw").isNull() | (F.btrim(tx.collapse(F.col("raw"))) == "")
     outcome = (F.when(blank, "failed").when(F.col("proposal") == "none", "abstained")
                .when(F.col("known"), "accepted").otherwise("unattested"))
-    return rows.join(known, "proposal", "left").select("source_phrase", "proposal", outcome.alias("outcome"))
+    return rows.join(known, "_toks", "left").select("source_phrase", "proposal", outcome.alias("outcome"))
 
 
 def outcome_counts(verified: DataFrame) -> DataFrame:
@@ -89,11 +93,10 @@ def rescue_eligible(states: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
 
 
 def transcripts(messages: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """One text per session, a line per turn. A session never exceeds the turn cap."""
+    """One text per session, a line per turn; every message is in it."""
     line = F.concat(F.lit("Turn "), F.col("turn").cast("string"), F.lit(", shopper: "), F.col("user_message"))
     lines = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))
-    return (messages.filter(F.col("turn") <= cfg.max_turns).groupBy("session_id")
-            .agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript")))
+    return messages.groupBy("session_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
 
 
 def request_cache(requests: DataFrame) -> DataFrame:

@@ -55,18 +55,21 @@ VIEWS = {
  p.p_retailprice AS price, coalesce(c.n, 0) AS rating_number
  FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) c
  ON p.p_partkey = c.l_partkey""",
-    "fx_lines": """SELECT l_orderkey AS session_id, l_partkey AS item_id, l_extendedprice AS price,
+    "fx_lines": f"""SELECT CAST(l_orderkey + (line - 1) // {tb.TURNS} * {tb.PART} AS BIGINT) AS session_id, item_id, price,
+ (line - 1) % {tb.TURNS} + 1 AS turn FROM (SELECT l_orderkey, l_partkey AS item_id, l_extendedprice AS price,
  row_number() OVER (PARTITION BY l_orderkey
- ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity, l_shipdate) AS turn FROM lineitem""",
+ ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity, l_shipdate) AS line FROM lineitem) numbered""",
+    "fx_talks": """SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS turn,
+ text AS user_message FROM conversations WHERE role = 'user'""",
     "fx_sessions": f"""SELECT session_id, item_id AS target, {tb.SCENARIO} AS scenario_type,
  {tb.OVERRIDE_TURN} AS override_turn FROM (SELECT session_id, item_id,
  row_number() OVER (PARTITION BY session_id ORDER BY price DESC, item_id, turn) AS r FROM fx_lines) t WHERE r = 1""",
-    "fx_turns": """SELECT session_id, turn, 1 AS pos, CAST(-1 AS BIGINT) AS item_id FROM fx_lines WHERE turn <= 10
- UNION ALL SELECT session_id, turn, 2, item_id FROM fx_lines WHERE turn <= 10
- UNION ALL SELECT session_id, turn, 3, item_id FROM fx_lines WHERE turn <= 10
- UNION ALL SELECT session_id, turn - 1, 4, item_id FROM fx_lines WHERE turn BETWEEN 2 AND 11""",
+    "fx_turns": """SELECT session_id, turn, 1 AS pos, CAST(-1 AS BIGINT) AS item_id FROM fx_lines
+ UNION ALL SELECT session_id, turn, 2, item_id FROM fx_lines
+ UNION ALL SELECT session_id, turn, 3, item_id FROM fx_lines
+ UNION ALL SELECT session_id, turn - 1, 4, item_id FROM fx_lines WHERE turn >= 2""",
     "fx_messages": f"""SELECT session_id, turn, {tb.MESSAGE} AS user_message
- FROM fx_lines JOIN fx_sessions USING (session_id) JOIN part ON item_id = p_partkey WHERE turn <= 10""",
+ FROM fx_lines JOIN fx_sessions USING (session_id) JOIN part ON item_id = p_partkey""",
     "fx_free": "SELECT item_id AS message_id, text AS user_message FROM benchmark",
     # token lists of the index fields
     "pfields": " UNION ALL ".join(
@@ -158,11 +161,11 @@ MESSAGES = dict(
  FROM said WHERE len({tok('clause')}) >= 2""",
     stated=f"""SELECT user_message, 0 AS seq, {value_phrase('clause')} AS phrase, 'cat' AS tier,
  CASE WHEN len(parts) >= 2 THEN {join('parts')} END AS needs FROM parts0
- UNION ALL SELECT user_message, 100000 + i - 1, parts[i], 'cat', NULL
+ UNION ALL SELECT user_message, 1 * (1::BIGINT << 40) + i - 1, parts[i], 'cat', NULL
  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM parts0) a
- UNION ALL SELECT user_message, 200000 + i - 1, {value_phrase('cons[i]')}, 'con', NULL
+ UNION ALL SELECT user_message, 2 * (1::BIGINT << 40) + i - 1, {value_phrase('cons[i]')}, 'con', NULL
  FROM (SELECT *, unnest(range(1, len(cons) + 1)) AS i FROM said) b
- UNION ALL SELECT t.user_message, 800000, {value_phrase('tail')}, 'con', NULL
+ UNION ALL SELECT t.user_message, 8 * (1::BIGINT << 40), {value_phrase('tail')}, 'con', NULL
  FROM tails t JOIN said USING (user_message) WHERE len({tok('tail')}) > 0""",
     # exact category phrases and short values in messages of unknown wording
     vocab=f"""SELECT DISTINCT {join(tok('v'))} AS phrase FROM (SELECT unnest(vals) AS v FROM pvals) z
@@ -181,9 +184,9 @@ MESSAGES = dict(
  FROM rest) x) y WHERE i + n - 1 <= len(toks)""",
     ahit="""SELECT user_message, phrase, n, min(i) AS start FROM agrams WHERE phrase IN (SELECT phrase FROM vocab)
  GROUP BY user_message, phrase, n""",
-    spans="""SELECT user_message, 300000 AS seq, category AS phrase, 'cat' AS tier FROM cat1
- UNION ALL SELECT user_message, 400000 + i, string_split(category, ' ')[i + 1], 'cat' FROM (SELECT *, unnest([0, 1]) AS i FROM cat1) z
- UNION ALL SELECT user_message, 500000 + start * 4 + n, phrase, 'mined' FROM ahit""",
+    spans="""SELECT user_message, 3 * (1::BIGINT << 40) AS seq, category AS phrase, 'cat' AS tier FROM cat1
+ UNION ALL SELECT user_message, 4 * (1::BIGINT << 40) + i, string_split(category, ' ')[i + 1], 'cat' FROM (SELECT *, unnest([0, 1]) AS i FROM cat1) z
+ UNION ALL SELECT user_message, 5 * (1::BIGINT << 40) + start * 4 + n, phrase, 'mined' FROM ahit""",
     wanted="""SELECT phrase FROM stated WHERE phrase <> '' UNION SELECT needs FROM stated WHERE needs IS NOT NULL
  UNION SELECT phrase FROM spans""",
     pdf=f"""SELECT w.phrase, least(count(DISTINCT t.item_id), {C.df_cap + 1}) AS df FROM wanted w
@@ -200,7 +203,7 @@ MESSAGES = dict(
 )
 STATES = dict(
     obs="""SELECT m.session_id, m.turn, f.noinfo, f.known, f.override,
- CASE WHEN EXISTS (SELECT 1 FROM ledger l WHERE l.session_id = m.session_id AND l.turn = m.turn AND l.seq < 800000)
+ CASE WHEN EXISTS (SELECT 1 FROM ledger l WHERE l.session_id = m.session_id AND l.turn = m.turn AND l.seq < 8 * (1::BIGINT << 40))
  THEN 1 ELSE 0 END AS grew FROM fx_messages m JOIN flags f ON m.user_message = f.user_message""",
     isl="""SELECT *, sum(grew) OVER w AS island, CAST(sum(CASE WHEN NOT noinfo AND NOT known THEN 1 ELSE 0 END) OVER w AS BIGINT) AS lost,
  CAST(sum(CASE WHEN override THEN 1 ELSE 0 END) OVER w AS BIGINT) AS epoch FROM obs

@@ -70,25 +70,72 @@ def states_by_turn(evidence: DataFrame) -> DataFrame:
         "version", F.explode(F.filter("versions", lambda v: v >= F.col("turn")))).drop("versions")
 
 
-def top_items(messages: DataFrame, items: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Flagship: final top-k items of every session."""
-    indexed = scale.keep(cat.index_fields(items))
-    ledger = build_ledger(messages, items, cfg=cfg)
-    found = retrieve(ledger.evidence, ["session_id"], indexed, cfg)
-    ranked = rk.rank_items(found.pool, indexed.agg(F.max("pop").alias("m")).scalar(), cfg=cfg)
-    return found.links.join(ranked, "query_id").select("session_id", "item_id", "rank", "rank_score")
+def with_titles(found: Retrieval, indexed: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """The pool with column `title`: the weight of the evidence that an item's title covers."""
+    weighed = found.queries.withColumn("w", rt.weight(F.col("phrase"), F.col("df"), F.col("tier"), cfg))
+    pool = scale.keep(found.pool)
+    bonus = rk.title_bonus(pool, weighed, cat.blobs(indexed))
+    return pool.join(bonus, ["query_id", "item_id"], "left").withColumn("title", F.coalesce("title", F.lit(0.0)))
 
 
-def respond(messages: DataFrame, items: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Every turn of every session: shown items, asked attribute and message text.
+def population_weights(ledger: Ledger, arrivals: DataFrame, indexed: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """(session_id, w_pop): the popularity weight in force when a session is ranked.
+
+    `arrivals` holds (session_id, arrival) of every session. A session is observed at its first turn from `pop_turn` on that
+    has evidence, through the pool of the evidence claimed by then.
+    """
+    first = ledger.evidence.groupBy("session_id").agg(F.min("turn").alias("first"))
+    at = (ledger.states.select("session_id", "turn").join(first, "session_id")
+          .filter((F.col("turn") >= cfg.pop_turn) & (F.col("turn") >= F.col("first"))).groupBy("session_id").agg(F.min("turn").alias("at")))
+    early = scale.keep(ledger.evidence.join(at, "session_id").filter(F.col("turn") <= F.col("at")).drop("at"))
+    seen = retrieve(early, ["session_id"], indexed, cfg)
+    pools = (seen.links.join(seen.pool.filter(F.col("pos") <= cfg.pop_head), "query_id").join(arrivals, "session_id")
+             .select("session_id", "arrival", F.lit(cfg.pop_turn).alias("turn"), "pos", "pop"))
+    return rk.pop_calibration(pools, "arrival", cfg=cfg, sessions=arrivals).select("session_id", "w_pop")
+
+
+def top_items(messages: DataFrame, items: DataFrame, cfg: Settings = DEFAULTS, profiles: DataFrame | None = None,
+              arrivals: DataFrame | None = None, ledger: Ledger | None = None, **models: DataFrame | None) -> DataFrame:
+    """Flagship: final top-k items of every session.
+
+    `profiles` (session_id, tags) serve `w_profile`; `arrivals` (session_id, arrival) turn the popularity calibration on;
+    `models` (acts, cleaned, proposals, recovered) go to the ledger.
+    """
+    indexed = scale.keep(cat.index_fields(items))
+    ledger = ledger or build_ledger(messages, items, cfg=cfg, **models)
+    found = retrieve(ledger.evidence, ["session_id"], indexed, cfg)
+    max_pop = indexed.agg(F.max("pop").alias("m")).scalar()
+    pool = with_titles(found, indexed, cfg) if cfg.w_title else found.pool
+    if arrivals is None and not cfg.w_profile:  # equal evidence states rank alike
+        ranked = rk.rank_items(pool, max_pop, cfg=cfg)
+        return found.links.join(ranked, "query_id").select("session_id", "item_id", "rank", "rank_score")
+    rows = found.links.join(pool, "query_id")
+    if cfg.w_profile:
+        if profiles is None:
+            raise ValueError("w_profile is set, but no profiles are given")
+        rows = scale.keep(rows)
+        share = rk.profile_overlap(rows.select(F.col("session_id").alias("query_id"), "item_id"),
+                                   profiles.select(F.col("session_id").alias("query_id"), "tags"), cat.blobs(indexed))
+        share = share.select(F.col("query_id").alias("session_id"), "item_id", "profile")
+        rows = rows.join(share, ["session_id", "item_id"], "left").withColumn("profile", F.coalesce("profile", F.lit(0.0)))
+    prior = None
+    if arrivals is not None:
+        rows = rows.join(population_weights(ledger, arrivals, indexed, cfg), "session_id", "left")
+        prior = F.coalesce("w_pop", F.lit(cfg.w_pop))
+    ranked = rk.rank_items(rows, max_pop, w_pop=prior, cfg=cfg, by="session_id")
+    return ranked.select("session_id", "item_id", "rank", "rank_score")
+
+
+def respond(messages: DataFrame, items: DataFrame, cfg: Settings = DEFAULTS, **models: DataFrame | None) -> DataFrame:
+    """Every turn of every session: shown items, asked attribute and message text. `models` go to the ledger.
 
     Rankings and expected pools depend only on evidence, so they are computed once per distinct
     evidence state; what is shown and asked depends on earlier turns and is folded per session.
     """
     indexed = scale.keep(cat.index_fields(items))
-    ledger = build_ledger(messages, items, cfg=cfg)
+    ledger = build_ledger(messages, items, cfg=cfg, **models)
     found = retrieve(states_by_turn(ledger.evidence), ["session_id", "version"], indexed, cfg)
-    pool = scale.keep(found.pool)
+    pool = scale.keep(with_titles(found, indexed, cfg) if cfg.w_title else found.pool)
     max_pop = indexed.agg(F.max("pop").alias("m")).scalar()
     ranked = rk.rank_items(pool, max_pop, cfg=cfg).groupBy("query_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias("ranked"))

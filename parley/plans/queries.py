@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +88,15 @@ def lookup_session(spark, d):
     return jsonl.lookup_session(s, 7)
 
 
+@query("attribute_dictionary", f"SELECT DISTINCT lower(p_type) AS phrase FROM part WHERE lower(p_type) NOT IN ({', '.join(o.lit(f) for f in fixed.FACET_NAMES)})")
+def attribute_dictionary(spark, d):
+    path = f"{scale.work_folder(spark)}/dictionary-{uuid.uuid4().hex}"
+    names = tb.table(spark, d, "part").select(F.lower("p_type").alias("canonical"))
+    facets = spark.range(1).select(F.explode(tx.words(fixed.FACET_NAMES)).alias("canonical"))
+    names.unionByName(facets).write.json(path)
+    return jsonl.read_attribute_dictionary(spark, path)
+
+
 @query("catalogue_ids", o.sql("fx_products fx_items", f"""SELECT item_id, {o.lit(tb.ROOT_CATEGORY)} || '|' || p_type
  || '|' || noun AS categories FROM fx_products UNION ALL SELECT item_id + 1000000000, categories FROM fx_items"""))
 def catalogue_ids(spark, d):
@@ -222,7 +233,7 @@ _attr_cycle = list(fixed.QUESTIONS) + ["anything"]
  SELECT session_id, turn, turn < 10 AS narrow, ({o.strings(_attr_cycle)})[(session_id + turn) % {len(_attr_cycle)} + 1] AS attribute
  FROM fx_lines WHERE turn <= 10) a) b"""))
 def variant_assign(spark, d):
-    t = tb.session_lines(spark, d, 10)
+    t = tb.session_lines(spark, d)
     attr = tx.words(_attr_cycle)[((F.col("session_id") + F.col("turn")) % len(_attr_cycle)).cast("int")]
     return t.select("session_id", big("turn").alias("turn"), tx.question_text(
         attr, F.col("turn") < 10, F.concat_ws("|", F.col("session_id"), F.col("turn"))).alias("message"))
@@ -330,7 +341,7 @@ def _free_grams(spark, d):
 
 @query("phrase_df", o.sql("fx_items dfields fx_free", "SELECT phrase, CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df FROM freq", **MINING))
 def phrase_df(spark, d):
-    f = ph.document_frequency(cat.index_fields(tb.items(spark, d)), _free_grams(spark, d), 4, 12)
+    f = ph.document_frequency(cat.index_fields(tb.items(spark, d)), _free_grams(spark, d), 4)
     return f.select("phrase", big("n").alias("n"), "df")
 
 
@@ -348,7 +359,7 @@ def _sentences(spark, d):
 @query("long_phrase_df", o.sql("dtext fx_free", """SELECT w.phrase, count(DISTINCT t.item_id) AS df FROM wanted w
  LEFT JOIN dtext t ON contains(t.ftext, ' ' || w.phrase || ' ') GROUP BY w.phrase""", **_long))
 def long_phrase_df(spark, d):
-    return ph.document_frequency(cat.index_fields(tb.items(spark, d)), _sentences(spark, d), 5, 22).select("phrase", "df")
+    return ph.document_frequency(cat.index_fields(tb.items(spark, d)), _sentences(spark, d), 5).select("phrase", "df")
 
 
 @query("corpus_stats", o.sql("fx_items dfields", """SELECT count(*) AS n_items, round(avg(n), 6) AS mean_len,
@@ -365,7 +376,7 @@ def corpus_stats(spark, d):
  WHERE EXISTS (SELECT 1 FROM dtext t WHERE contains(t.ftext, ' ' || w.phrase || ' '))""", **_long))
 def attest(spark, d):
     wanted = scale.keep(_sentences(spark, d))
-    freq = ph.document_frequency(cat.index_fields(tb.items(spark, d)), wanted, 5, 22)
+    freq = ph.document_frequency(cat.index_fields(tb.items(spark, d)), wanted, 5)
     return ph.attest(wanted, freq)
 
 
@@ -393,10 +404,10 @@ def resolve_values(spark, d):
 
 @query("admit_values", o.sql("fx_messages fx_products pfields ptext", """SELECT v, CASE WHEN d.df > 0 THEN v ELSE q.phrase END AS phrase,
  CASE WHEN d.df > 0 THEN 'con' ELSE 'sem' END AS tier, CAST(CASE WHEN d.df > 0 THEN d.df ELSE q.df END AS BIGINT) AS df
- FROM stated2 s JOIN pdf d ON s.v = d.phrase LEFT JOIN pdf q ON q.phrase = s.proposal WHERE d.df > 0 OR q.df > 0""",
+ FROM stated2 s JOIN pdf d ON s.v = d.phrase LEFT JOIN pdf q ON q.phrase = """ + o.join(o.tok("s.proposal")) + """ WHERE d.df > 0 OR q.df > 0""",
     stated2="""SELECT DISTINCT lower(p_name) || CASE WHEN item_id % 2 = 0 THEN ' kind' ELSE '' END AS v,
- CASE WHEN item_id % 2 = 0 THEN CASE WHEN noun = 'ring' THEN 'no such thing' ELSE lower(p_name) END END AS proposal FROM fx_products""",
-    wanted="SELECT v AS phrase FROM stated2 UNION SELECT proposal FROM stated2 WHERE proposal IS NOT NULL",
+ CASE WHEN item_id % 2 = 0 THEN CASE WHEN noun = 'ring' THEN 'no such thing' ELSE replace(lower(p_name), ' ', '-') || '!' END END AS proposal FROM fx_products""",
+    wanted=f"SELECT v AS phrase FROM stated2 UNION SELECT {o.join(o.tok('proposal'))} FROM stated2 WHERE proposal IS NOT NULL",
     pdf=o.MESSAGES["pdf"]))
 def admit_values(spark, d):
     p = tb.products(spark, d)
@@ -404,9 +415,9 @@ def admit_values(spark, d):
     noun = F.split_part("title", F.lit(" "), F.lit(2))
     s = scale.keep(p.select(
         F.when(even, F.concat(name, F.lit(" kind"))).otherwise(name).alias("phrase"),
-        F.when(even, F.when(noun == "ring", F.lit("no such thing")).otherwise(name)).alias("proposal")).distinct())
+        F.when(even, F.when(noun == "ring", F.lit("no such thing")).otherwise(F.concat(F.replace(name, F.lit(" "), F.lit("-")), F.lit("!")))).alias("proposal")).distinct())
     props = s.filter("proposal is not null").select(F.col("phrase").alias("source_phrase"), "proposal")
-    wanted = s.select("phrase").unionByName(props.select(F.col("proposal").alias("phrase")))
+    wanted = s.select("phrase").unionByName(props.select(ph.proposal_phrase().alias("phrase")))
     freq = ph.document_frequency(cat.index_fields(p), wanted)
     cand = s.select(F.col("phrase"), F.col("phrase").alias("v"), F.lit("con").alias("tier"), F.lit(True).alias("deparaphrase"))
     return ph.admit(cand, freq, props).select("v", "phrase", "tier", "df")
@@ -426,10 +437,12 @@ _span = {"texts": _span.pop("texts"), "stoks": f"SELECT user_message, {o.tok('us
 
 def _spans(spark, d):
     p = tb.products(spark, d)
-    texts = scale.keep(tb.messages(spark, d).select("user_message").distinct()).withColumn("toks", tx.tokens(F.col("user_message")))
+    said = scale.keep(tb.messages(spark, d).select("user_message").distinct().withColumn("text_id", tx.digest(F.col("user_message"))))
+    texts = said.select("text_id", tx.tokens(F.col("user_message")).alias("toks"))
     cats, attrs = cat.category_vocabulary(p), cat.attribute_vocabulary(cat.disclosable_values(p))
-    found = scale.keep(mining.span_category(texts, "user_message", cats))
-    hits = mining.span_attributes(found.select("user_message", F.col("rest").alias("toks")), "user_message", attrs)
+    found = scale.keep(mining.span_category(texts, "text_id", cats))
+    hits = mining.span_attributes(found.select("text_id", F.col("rest").alias("toks")), "text_id", attrs)
+    found, hits = said.join(found, "text_id"), said.join(hits, "text_id")
     return cats, attrs, found, hits
 
 
@@ -472,6 +485,26 @@ def paraphrase_rate(spark, d):
         "rate", F.round(F.when(F.col("messages") > 0, F.col("unrecognised") / F.col("messages")).otherwise(0.0), 6))
 
 
+@query("talk_flags", o.sql("fx_talks", f"SELECT session_id, turn, {o.NOINFO} AS noinfo, {o.KNOWN} AS known, {o.OVERRIDE} AS override FROM fx_talks"))
+def talk_flags(spark, d):
+    return lg.message_flags(tb.conversations(spark, d)).select("session_id", big("turn").alias("turn"), "noinfo", "known", "override")
+
+
+@query("talk_transcripts", o.sql("fx_talks", """SELECT session_id, md5(string_agg('Turn ' || turn || ', shopper: ' || user_message, chr(10)
+ ORDER BY turn)) AS transcript_md5 FROM fx_talks GROUP BY session_id"""))
+def talk_transcripts(spark, d):
+    return sc.transcripts(tb.conversations(spark, d)).select("session_id", F.md5("transcript").alias("transcript_md5"))
+
+
+@query("talk_mining", o.sql("fx_items dfields fx_talks", """SELECT message_id, i AS start, CAST(n AS BIGINT) AS n, phrase,
+ CAST(df AS BIGINT) AS df FROM picked""", fx_free="SELECT session_id * 1000 + turn AS message_id, user_message FROM fx_talks", **MINING, **PICKS))
+def talk_mining(spark, d):
+    talks = scale.keep(tb.conversations(spark, d).select((F.col("session_id") * 1000 + F.col("turn")).alias("message_id"), "user_message"))
+    mined = mining.mined_rows(mining.mine(talks, cat.index_fields(tb.items(spark, d))), "text_id")
+    keyed = talks.select("message_id", tx.digest(F.col("user_message")).alias("text_id"))
+    return keyed.join(mined, "text_id").select("message_id", big("start").alias("start"), big("n").alias("n"), "phrase", "df")
+
+
 @query("extract_category", o.sql("fx_messages fx_products pfields ptext", """SELECT s.user_message, CAST(s.seq AS BIGINT) AS seq, s.phrase,
  CAST(d.df AS BIGINT) AS df FROM stated s JOIN pdf d ON s.phrase = d.phrase LEFT JOIN pdf n ON s.needs = n.phrase
  WHERE s.tier = 'cat' AND d.df > 0 AND (s.needs IS NULL OR n.df > 0)""", **dict(
@@ -543,23 +576,25 @@ def decode_keep(spark, d):
 
 
 _props = """SELECT DISTINCT p_name AS source_phrase, p_name || '.' AS raw FROM part
+ UNION SELECT 'z' || p_name, replace(p_name, ' ', '-') || ', ' || p_type || '.' FROM part
  UNION SELECT p_brand, upper(p_brand) FROM part UNION SELECT p_type, 'None.' FROM part
  UNION SELECT 'x' || p_type, 'gold plated ' || p_type FROM part UNION SELECT 'y' || p_type, '' FROM part"""
 
 
 @query("verify_proposals", o.sql("fx_products pfields ptext", """SELECT source_phrase, prop AS proposal,
  CASE WHEN raw = '' THEN 'failed' WHEN prop = 'none' THEN 'abstained' WHEN EXISTS (SELECT 1 FROM ptext
- WHERE contains(ftext, ' ' || prop || ' ')) THEN 'accepted' ELSE 'unattested' END AS outcome FROM norm""",
-    props=_props, norm="SELECT source_phrase, raw, trim(lower(raw), '.') AS prop FROM props"))
+ WHERE contains(ftext, ' ' || toks || ' ')) THEN 'accepted' ELSE 'unattested' END AS outcome FROM norm""",
+    props=_props, norm=f"SELECT source_phrase, raw, trim(lower(raw), '.') AS prop, {o.join(o.tok('raw'))} AS toks FROM props"))
 def verify_proposals(spark, d):
     p = tb.table(spark, d, "part")
     rows = p.select(F.inline(F.array(*[F.struct(a.alias("source_phrase"), b.alias("raw")) for a, b in (
         (F.col("p_name"), F.concat("p_name", F.lit("."))), (F.col("p_brand"), F.upper("p_brand")),
+        (F.concat(F.lit("z"), "p_name"), F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(", "), "p_type", F.lit("."))),
         (F.col("p_type"), F.lit("None.")),
         (F.concat(F.lit("x"), F.col("p_type")), F.concat(F.lit("gold plated "), F.col("p_type"))),
         (F.concat(F.lit("y"), F.col("p_type")), F.lit("")))]))).distinct()
     rows = scale.keep(rows)
-    wanted = rows.select(tx.normalise_proposal(F.col("raw")).alias("phrase"))
+    wanted = rows.select(tx.phrase_of(tx.tokens(F.col("raw"))).alias("phrase"))
     freq = ph.document_frequency(cat.index_fields(tb.products(spark, d)), wanted)
     return sc.verify_proposals(rows, freq)
 
@@ -629,7 +664,14 @@ def _ledger(spark, d) -> pipeline.Ledger:
 
 
 _LEDGER_IN = "fx_messages fx_products pfields ptext"
-_LEDGER = {**o.VALUES, **o.MESSAGES}
+# mining joins the ledger where a text states no constraint; its tables keep their names in a scope of their own
+_mined = ("WITH RECURSIVE fx_free AS (SELECT user_message AS message_id, user_message FROM said WHERE len(cons) = 0), "
+          "dfields AS (SELECT item_id, field, toks FROM pfields), "
+          + ", ".join(f"{k.removeprefix('recursive_')} AS ({v})" for k, v in {**MINING, **PICKS}.items())
+          + " SELECT message_id AS user_message, 6 * (1::BIGINT << 40) + row_number() OVER (PARTITION BY message_id ORDER BY i) - 1 AS seq, phrase, df FROM picked")
+_LEDGER = {**o.VALUES, **{k: v for k, v in o.MESSAGES.items() if k not in ("tev", "rows0", "ledger")}, "mined": _mined,
+           "tev": o.MESSAGES["tev"].replace(") q GROUP BY", "\n UNION ALL SELECT user_message, seq, phrase, 'mined', df FROM mined) q GROUP BY"),
+           "rows0": o.MESSAGES["rows0"], "ledger": o.MESSAGES["ledger"]}
 
 
 @query("ledger", o.sql(_LEDGER_IN, """SELECT session_id, turn, CAST(seq AS BIGINT) AS seq, phrase, tier, CAST(df AS BIGINT) AS df
@@ -648,6 +690,38 @@ def lost_counts(spark, d):
     return _ledger(spark, d).states.select("session_id", big("turn").alias("turn"), big("lost").alias("lost"))
 
 
+@query("buying_flag", o.sql(_LEDGER_IN, """SELECT s.session_id, s.turn, CAST(coalesce(b.first_turn, 0) AS BIGINT) AS buying FROM states s LEFT JOIN (
+ SELECT m.session_id, max(CASE WHEN len(f.cons) > 0 AND NOT f.noinfo THEN 1 ELSE 0 END) AS first_turn FROM fx_messages m JOIN flags f
+ ON m.user_message = f.user_message WHERE m.turn = 1 GROUP BY m.session_id) b ON b.session_id = s.session_id""", **_LEDGER, **o.STATES))
+def buying_flag(spark, d):
+    return _ledger(spark, d).states.select("session_id", big("turn").alias("turn"), big("buying").alias("buying"))
+
+
+# acts of messages with unknown wording: every third says nothing, every third clears the rejections
+_mute, _clear = fixed.ACT_WITHOUT_EVIDENCE, fixed.ACTS_CLEARING_REJECTIONS[0]
+_acted = {**_LEDGER, **o.STATES}
+_acted = {k: v for k, v in _acted.items() if k not in ("rows0", "ledger", "obs", "isl", "states")} | dict(
+    acts=f"""SELECT m.session_id, m.turn, f.noinfo, f.known, f.override, CASE WHEN f.known OR f.noinfo THEN NULL
+ WHEN (m.session_id + m.turn) % 3 = 0 THEN '{_mute}' WHEN (m.session_id + m.turn) % 3 = 1 THEN '{_clear}' END AS act, m.user_message
+ FROM fx_messages m JOIN flags f ON m.user_message = f.user_message""",
+    rows0=f"""SELECT m.session_id, m.turn, e.seq, e.phrase, e.tier, e.df FROM acts m JOIN tev e ON m.user_message = e.user_message
+ WHERE m.act IS DISTINCT FROM '{_mute}'""",
+    ledger=_LEDGER["ledger"],
+    obs=f"""SELECT a.session_id, a.turn, a.noinfo, a.known, a.override OR coalesce(a.act = '{_clear}', false) AS override,
+ NOT a.noinfo AND a.act IS DISTINCT FROM '{_mute}' AS counted, CASE WHEN EXISTS (SELECT 1 FROM ledger l WHERE l.session_id = a.session_id
+ AND l.turn = a.turn AND l.seq < 8 * (1::BIGINT << 40)) THEN 1 ELSE 0 END AS grew FROM acts a""",
+    isl=o.STATES["isl"], states=o.STATES["states"].replace("NOT noinfo AND grew = 0", "counted AND grew = 0"))
+
+
+@query("act_effects", o.sql(_LEDGER_IN, """SELECT session_id, turn, CAST(grew AS BIGINT) AS grew, lost, epoch, stale FROM states""", **_acted))
+def act_effects(spark, d):
+    m = tb.messages(spark, d)
+    turn = (F.col("session_id") + F.col("turn")) % 3
+    acts = m.select("session_id", "turn", F.when(turn == 0, _mute).when(turn == 1, _clear).alias("act")).filter("act is not null")
+    states = pipeline.build_ledger(m, tb.products(spark, d), acts=acts).states
+    return states.select("session_id", *[big(c).alias(c) for c in ("turn", "grew", "lost", "epoch", "stale")])
+
+
 @query("rescue_eligible", o.sql(_LEDGER_IN, """SELECT session_id, min(turn) AS rescue_turn FROM states
  WHERE turn >= 5 AND lost > 0 AND stale >= 2 GROUP BY session_id""", **_LEDGER, **o.STATES))
 def rescue_eligible(spark, d):
@@ -673,7 +747,7 @@ _rej = dict(
  GROUP BY e.session_id, e.turn""", **_rej))
 def rejected_asof(spark, d):
     turns = scale.keep(_epochs(spark, d))
-    spans = lg.rejected_intervals(tb.session_lines(spark, d, 10), turns)
+    spans = lg.rejected_intervals(tb.session_lines(spark, d), turns)
     per = spans.select("session_id", "item_id", F.explode(F.sequence("from_turn", "to_turn")).alias("turn"))
     got = per.groupBy("session_id", "turn").agg(F.count("*").alias("n"), F.sum("item_id").alias("s"))
     return turns.select("session_id", "turn").join(got, ["session_id", "turn"], "left").select(
@@ -686,7 +760,7 @@ _asked_attr = f"({o.strings(fixed.QUESTION_ORDER)})[(item_id + turn) % {len(fixe
 
 def _asked(spark, d):
     at = ((F.col("item_id") + F.col("turn")) % len(fixed.QUESTION_ORDER)).cast("int")
-    return tb.session_lines(spark, d, 10).select("session_id", "turn", tx.words(fixed.QUESTION_ORDER)[at].alias("attribute"))
+    return tb.session_lines(spark, d).select("session_id", "turn", tx.words(fixed.QUESTION_ORDER)[at].alias("attribute"))
 
 
 @query("askable", o.sql("fx_lines", f"""SELECT t.session_id, t.turn, a.attribute FROM fx_lines t
@@ -694,7 +768,7 @@ def _asked(spark, d):
  OR NOT EXISTS (SELECT 1 FROM asked k WHERE k.session_id = t.session_id AND k.attribute = a.attribute AND k.turn < t.turn))""",
     asked=f"SELECT session_id, turn, {_asked_attr} AS attribute FROM fx_lines WHERE turn <= 10"))
 def askable(spark, d):
-    turns = tb.session_lines(spark, d, 10).select("session_id", "turn")
+    turns = tb.session_lines(spark, d).select("session_id", "turn")
     return lg.askable(turns, _asked(spark, d)).withColumn("turn", big("turn"))
 
 
@@ -703,7 +777,7 @@ def askable(spark, d):
  CASE WHEN item_id % 3 <> 0 THEN item_id END AS v FROM fx_lines WHERE turn <= 10) x"""))
 def last_good(spark, d):
     none = F.expr("cast(array() as array<bigint>)")
-    r = tb.session_lines(spark, d, 10).select("session_id", "turn", F.when(
+    r = tb.session_lines(spark, d).select("session_id", "turn", F.when(
         F.col("item_id") % 3 != 0, F.array("item_id")).otherwise(none).alias("ranked"))
     return lg.last_good(r).select("session_id", big("turn").alias("turn"), F.coalesce(
         F.col("ranked")[0], F.lit(-1).cast("bigint")).alias("item_id"))
@@ -791,7 +865,7 @@ def bm25_search(spark, d):
     q = scale.keep(ph.message_grams(tb.free_messages(spark, d), "message_id", 2, 2).select(
         F.col("message_id").alias("query_id"), "phrase").distinct())
     indexed = cat.index_fields(tb.items(spark, d))
-    scored = rt.scored_hits(scale.keep(ph.phrase_hits(indexed, q, 2, 2)), indexed)
+    scored = rt.scored_hits(scale.keep(ph.phrase_hits(indexed, q, 2)), indexed)
     return rt.bm25_search(scored, q, 10).select(F.col("query_id").alias("message_id"), "item_id", "score", big("rk").alias("rk"))
 
 
@@ -879,12 +953,42 @@ def rank_items(spark, d):
 
 
 
+# the same search over the evidence that a session has at its first turn from the third on
+_early = dict(
+    firsts="SELECT session_id, min(turn) AS f FROM ledger GROUP BY session_id",
+    seen_at="""SELECT s.session_id, min(s.turn) AS at_turn FROM states s JOIN firsts f ON s.session_id = f.session_id
+ WHERE s.turn >= 3 AND s.turn >= f.f GROUP BY s.session_id""",
+    ledger_early="SELECT l.* FROM ledger l JOIN seen_at a ON l.session_id = a.session_id WHERE l.turn <= a.at_turn",
+    epool="WITH ledger AS (SELECT * FROM ledger_early), " + ", ".join(f"{k} AS ({v})" for k, v in SEARCH.items()) + " SELECT session_id, item_id, pos FROM pool",
+    eobs="SELECT e.session_id, avg(ln(1 + p.rating_number)) AS obs FROM epool e JOIN fx_products p ON e.item_id = p.item_id WHERE e.pos <= 100 GROUP BY e.session_id",
+    calib="""SELECT session_id, count(obs) OVER w AS seen, sum(obs) OVER w AS total FROM (SELECT s.session_id, x.obs FROM fx_sessions s
+ LEFT JOIN eobs x ON s.session_id = x.session_id) y WINDOW w AS (ORDER BY session_id ROWS UNBOUNDED PRECEDING)""",
+    wp=f"""SELECT session_id, CASE WHEN seen < 40 THEN CAST({rt.DEFAULTS.w_pop} AS DOUBLE) ELSE {rt.DEFAULTS.w_pop} * greatest(0.0, least(1.0,
+ (total / seen - 2.7) / CAST(3.1 - 2.7 AS DOUBLE))) END AS w_pop FROM calib""",
+    ptitle=f"SELECT item_id, ' ' || {o.join(o.tok('title'))} || ' ' AS t FROM fx_products",
+    thit="SELECT v.phrase, p.item_id FROM vocab2 v JOIN ptitle p ON contains(p.t, ' ' || v.phrase || ' ')",
+    titled="SELECT e.session_id, h.item_id, sum(e.w) AS title FROM wev e JOIN thit h ON e.phrase = h.phrase GROUP BY e.session_id, h.item_id",
+    fscored="""SELECT p.session_id, p.item_id, p.pos, round(c.cov + w.w_pop * o.pop / o.max_pop + CAST(0.6 AS DOUBLE) * coalesce(t.title, 0), 6) AS rank_score
+ FROM pool p JOIN cov c ON p.session_id = c.session_id AND p.item_id = c.item_id JOIN pops o ON p.item_id = o.item_id
+ JOIN wp w ON p.session_id = w.session_id LEFT JOIN titled t ON p.session_id = t.session_id AND p.item_id = t.item_id""",
+    franks="SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank_score DESC, pos) AS rank FROM fscored")
+
+
+@query("rank_full", o.sql(_SEARCH_IN + " fx_sessions", "SELECT session_id, item_id, rank, rank_score FROM franks WHERE rank <= 10",
+                          **_search_ledger, **o.STATES, **RANK, **_early))
+def rank_full(spark, d):
+    """Ranking with title bonus and calibrated popularity weight."""
+    arrivals = tb.sessions(spark, d).select("session_id", F.col("session_id").alias("arrival"))
+    ranked = pipeline.top_items(tb.messages(spark, d), tb.products(spark, d), replace(rt.DEFAULTS, w_title=0.6), arrivals=arrivals, ledger=_ledger(spark, d))
+    return ranked.select("session_id", "item_id", big("rank").alias("rank"), "rank_score")
+
+
 @query("rank_title_bonus", o.sql(_LEDGER_IN, f"""SELECT l.session_id, l.item_id, round(sum({_w}), 6) AS title FROM (
  SELECT DISTINCT session_id, item_id FROM fx_lines WHERE turn <= 10) l JOIN ledger e ON l.session_id = e.session_id
  JOIN fx_products p ON l.item_id = p.item_id WHERE contains(' ' || {o.join(o.tok('p.title'))} || ' ', ' ' || e.phrase || ' ')
  GROUP BY l.session_id, l.item_id""", **_LEDGER))
 def rank_title_bonus(spark, d):
-    pairs = tb.session_lines(spark, d, 10).select(F.col("session_id").alias("query_id"), "item_id").distinct()
+    pairs = tb.session_lines(spark, d).select(F.col("session_id").alias("query_id"), "item_id").distinct()
     e = _ledger(spark, d).evidence.select(F.col("session_id").alias("query_id"), "phrase", rt.weight(
         F.col("phrase"), F.col("df"), F.col("tier")).alias("w"))
     rows = rk.title_bonus(pairs, e, cat.blobs(cat.index_fields(tb.products(spark, d))))
@@ -900,7 +1004,7 @@ def profile_overlap(spark, d):
     p = tb.products(spark, d)
     tags = tb.sessions(spark, d).join(p.select(F.col("item_id").alias("target"), F.array(
         F.col("features")[1], F.split_part("title", F.lit(" "), F.lit(2)), F.lit("Comfort")).alias("tags")), "target")
-    pairs = tb.session_lines(spark, d, 10).select(F.col("session_id").alias("query_id"), "item_id").distinct()
+    pairs = tb.session_lines(spark, d).select(F.col("session_id").alias("query_id"), "item_id").distinct()
     rows = rk.profile_overlap(pairs, tags.select(F.col("session_id").alias("query_id"), "tags"), cat.blobs(cat.index_fields(p)))
     return rows.select(F.col("query_id").alias("session_id"), "item_id", F.round("profile", 6).alias("profile"))
 
@@ -913,7 +1017,7 @@ def profile_overlap(spark, d):
 def pop_calibration(spark, d):
     # the pool of a turn is what the session has looked at so far
     p = tb.products(spark, d).select("item_id", tx.popularity(F.col("rating_number")).alias("pop"))
-    lines = tb.session_lines(spark, d, 10).join(p, "item_id")
+    lines = tb.session_lines(spark, d).join(p, "item_id")
     last = lines.groupBy("session_id").agg(F.max("turn").alias("last"))
     pools = lines.join(last, "session_id").withColumn("pos", F.col("turn")).withColumn(
         "turn", F.explode(F.sequence("turn", "last")))
@@ -938,7 +1042,7 @@ def _normed(spark, d):
  PARTITION BY n.session_id, n.turn ORDER BY CASE WHEN r.item_id IS NULL THEN 0 ELSE 1 END, n.rank) AS final_rank FROM normed n
  LEFT JOIN rejected r ON n.session_id = r.session_id AND n.turn = r.turn AND n.item_id = r.item_id""", **_rej, **_NORM))
 def demote_rejected(spark, d):
-    spans = lg.rejected_intervals(tb.session_lines(spark, d, 10), scale.keep(_epochs(spark, d)))
+    spans = lg.rejected_intervals(tb.session_lines(spark, d), scale.keep(_epochs(spark, d)))
     return rk.demote_rejected(_normed(spark, d), spans).select(
         "session_id", big("turn").alias("turn"), "item_id", big("final_rank").alias("final_rank"))
 
@@ -953,7 +1057,7 @@ def disclose(spark, d):
 def _question_inputs(spark, d):
     """Pool of a session: the items it looked at; disclosed: the first value of its target."""
     vals = _values(spark, d)
-    pool = tb.session_lines(spark, d, 10).select(F.col("session_id").alias("query_id"), "item_id").distinct()
+    pool = tb.session_lines(spark, d).select(F.col("session_id").alias("query_id"), "item_id").distinct()
     told = tb.sessions(spark, d).join(vals.select(F.col("item_id").alias("target"), F.slice("vals", 1, 1).alias("vals")), "target")
     return pool, cat.values_by_attribute(vals), told.select(F.col("session_id").alias("query_id"), "vals")
 
@@ -1042,6 +1146,27 @@ def normalize_recs(spark, d):
     return _normed(spark, d).select("session_id", big("turn").alias("turn"), "item_id", big("rank").alias("rank"))
 
 
+@query("invalid_turns", o.sql("fx_lines", """SELECT session_id, turn, CAST(CASE WHEN (session_id + turn) % 4 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_valid,
+ CASE WHEN (session_id + turn) % 4 = 0 THEN '-' ELSE CAST(item_id AS VARCHAR) END AS first_item FROM fx_lines"""))
+def invalid_turns(spark, d):
+    item = F.col("item_id").cast("string")
+    recs = F.when((F.col("session_id") + F.col("turn")) % 4 != 0, F.array(F.lit("no such id"), F.lit(" "), F.concat(F.lit(" "), item), item))
+    t = scale.keep(tb.session_lines(spark, d).select("session_id", "turn", recs.alias("recommendations")))
+    ids = tb.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item_id"))
+    valid = ev.normalize_recommendations(ev.explode_recommendations(t), ids)
+    per = valid.groupBy("session_id", "turn").agg(F.count("*").alias("n"), F.min_by("item_id", "rank").alias("first"))
+    return t.select("session_id", "turn").join(per, ["session_id", "turn"], "left").select(
+        "session_id", big("turn").alias("turn"), big(F.coalesce("n", F.lit(0))).alias("n_valid"), F.coalesce("first", F.lit("-")).alias("first_item"))
+
+
+@query("result_tables", o.sql(_EVAL_IN, "SELECT * FROM grouped", **_RESULTS))
+def result_tables(spark, d):
+    path = f"{scale.work_folder(spark)}/results-{uuid.uuid4().hex}"
+    results = scale.keep(_results(spark, d))
+    jsonl.write_results(ev.summary(results, ["scenario_type"]), results, path)
+    return spark.read.schema("scenario_type string, sample_count bigint, hit_rate_at_10 double, mrr double, mttc double").json(f"{path}/summary")
+
+
 @query("first_hit", o.sql(_EVAL_IN, """SELECT session_id, scenario_type, hit, coalesce(first_hit_turn, -1) AS first_hit_turn,
  coalesce(best_rank, -1) AS best_rank, round(CAST(rr AS DOUBLE), 6) AS reciprocal_rank FROM results""", **_RESULTS))
 def first_hit(spark, d):
@@ -1102,24 +1227,28 @@ def weighted_sample(spark, d):
 
 
 # ---------------------------------------------------------------- streaming ledger
-@query("stream_ledger")
+@query("stream_ledger", o.sql(_LEDGER_IN + " fx_lines", """SELECT s.session_id, CAST(s.turn AS INTEGER) AS turn, CAST(s.grew AS INTEGER) AS grew,
+ CAST(s.stale AS INTEGER) AS stale, CAST(s.lost AS INTEGER) AS lost, CAST(s.epoch AS INTEGER) AS epoch, CAST(coalesce(e.n, 0) AS INTEGER) AS n_evidence,
+ CAST(coalesce(r.n, 0) AS INTEGER) AS n_rejected, CAST(0 AS INTEGER) AS n_asked, CAST(0 AS INTEGER) AS late FROM states s
+ LEFT JOIN (SELECT t.session_id, t.turn, count(*) AS n FROM states t JOIN ledger l ON l.session_id = t.session_id AND l.turn <= t.turn
+ GROUP BY t.session_id, t.turn) e ON e.session_id = s.session_id AND e.turn = s.turn
+ LEFT JOIN (SELECT t.session_id, t.turn, count(DISTINCT x.item_id) AS n FROM states t JOIN states y ON y.session_id = t.session_id AND y.epoch = t.epoch
+ AND y.turn < t.turn JOIN fx_lines x ON x.session_id = y.session_id AND x.turn = y.turn GROUP BY t.session_id, t.turn) r
+ ON r.session_id = s.session_id AND r.turn = s.turn""", **_LEDGER, **o.STATES))
 def stream_ledger(spark, d):
     """Messages arrive as one file per turn; the final state equals the batch ledger."""
     from parley.streaming import ledger as st
-    import uuid
     base = f"{scale.work_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows = tb.messages(spark, d).join(tb.session_lines(spark, d, 10).select(
+    rows = tb.messages(spark, d).join(tb.session_lines(spark, d).select(
         "session_id", "turn", F.array("item_id").alias("shown")), ["session_id", "turn"])
     rows = rows.withColumn("asked", F.lit(None).cast("string"))
-    rows.repartition("turn").write.partitionBy("turn").parquet(f"{base}/in")
+    rows.write.partitionBy("turn").parquet(f"{base}/in")
     source = spark.readStream.schema("session_id bigint, user_message string, shown array<bigint>, asked string, turn int").option(
         "maxFilesPerTrigger", 5).parquet(f"{base}/in")
-    # one state store per task slot; the number is fixed for the life of a stateful query
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     st.analyse(source, tb.products(spark, d), f"{base}/said", f"{base}/c1").awaitTermination()
     out = st.ledger_stream(st.read_analysed(spark, f"{base}/said"), gap_ms=None)
     (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/c2")
      .outputMode("append").trigger(availableNow=True).start().awaitTermination())
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    return spark.read.schema(st.OUTPUT).parquet(f"{base}/out").drop("added")
+    applied = spark.read.schema(st.OUTPUT).parquet(f"{base}/out")
+    said = spark.read.schema(st.OBSERVED).parquet(f"{base}/said/batch=*")
+    return applied.unionByName(st.flush(said, applied)).drop("added")

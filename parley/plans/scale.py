@@ -12,24 +12,31 @@ from pyspark.sql import Window
 from parley.settings import DEFAULTS
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = DEFAULTS.broadcast_rows) -> DataFrame:
-    """Broadcast hint only when the side is proven to hold at most `max_rows` narrow rows.
+def broadcast_checked(df: DataFrame, max_rows: int = DEFAULTS.broadcast_rows, max_bytes: int = DEFAULTS.broadcast_bytes) -> DataFrame:
+    """Broadcast hint only when the side is proven to hold at most `max_rows` rows and `max_bytes` characters.
 
     Beyond the bound the frame is returned without a hint and the join shuffles; the adaptive
     planner then splits hot partitions. Callers `keep` the frame first where the check would
     otherwise be a second computation.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-_fallback: dict[str, str] = {}
+    width = F.length(F.to_json(F.struct(*df.columns)))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is set, as in tests."""
+    """Shared folder named by the cluster in spark.checkpoint.dir.
+
+    Where it is unset, a session with one local JVM gets a temporary folder; on a cluster every executor would write to a
+    disk of its own, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = _fallback.setdefault("dir", tempfile.mkdtemp(prefix="parley-"))
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="parley-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/parley-{spark.sparkContext.applicationId}"
 
 

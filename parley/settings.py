@@ -60,6 +60,7 @@ class Settings:
     miss_turn: int = 11
     # scale
     broadcast_rows: int = 200_000
+    broadcast_bytes: int = 64_000_000
 
 
 DEFAULTS = Settings()

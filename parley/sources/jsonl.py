@@ -29,15 +29,35 @@ def _number_text(v: Column, path: str) -> Column:
 FLAT_FIELDS = ("features", "description", "categories", "details")
 
 
-def catalogue_from_lines(raw: DataFrame, id_field: str = "parent_asin") -> DataFrame:
+def _has_id(v: Column, id_field: str) -> Column:
+    return F.coalesce(_text(v, f"$.{id_field}").isNotNull(), F.lit(False))
+
+
+def rejected_lines(raw: DataFrame, id_field: str = "parent_asin") -> DataFrame:
+    """The lines (column `value`) that are no JSON object with an id."""
+    return raw.filter((F.btrim("value") != "") & ~_has_id(F.try_parse_json("value"), id_field))
+
+
+def _checked(rows: DataFrame, id_field: str, what: str, on_error: str) -> DataFrame:
+    """Rows with parsed column `v`: malformed ones fail the query when they are read, or are dropped on request."""
+    if on_error == "drop":
+        return rows.filter(_has_id(F.col("v"), id_field))
+    if on_error != "fail":
+        raise ValueError("on_error is 'fail' or 'drop'")
+    return rows.filter(F.when(_has_id(F.col("v"), id_field), True).otherwise(
+        F.raise_error(F.concat(F.lit(f"malformed {what} line: "), F.left("value", F.lit(200)))).cast("boolean")))
+
+
+def catalogue_from_lines(raw: DataFrame, id_field: str = "parent_asin", on_error: str = "fail") -> DataFrame:
     """Catalogue table from a `value` column of JSON objects.
 
     Text fields may be null, string, list or object in any row. VARIANT tells which; objects are read
     from their source text, because their key order decides the order of values. Every such field
-    becomes a list of (key, value). Lines without an id are dropped.
+    becomes a list of (key, value). A line that is no object with an id fails the query; with `on_error="drop"` it is
+    left out, and `rejected_lines` gives it.
     """
     texts = F.from_json("value", ", ".join(f"{f} string" for f in FLAT_FIELDS))
-    rows = raw.select(F.try_parse_json("value").alias("v"), texts.alias("t"))
+    rows = _checked(raw.filter(F.btrim("value") != "").select("value", F.try_parse_json("value").alias("v"), texts.alias("t")), id_field, "catalogue", on_error)
 
     def flat(name):
         v = F.try_variant_get("v", f"$.{name}", "variant")
@@ -46,18 +66,17 @@ def catalogue_from_lines(raw: DataFrame, id_field: str = "parent_asin") -> DataF
             F.map_entries(keyed), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
         ).otherwise(tx.variant_entries(v)).cast(tx.ENTRY)
 
-    rows = rows.select(
+    return rows.select(
         _text(F.col("v"), f"$.{id_field}").alias("item_id"), _text(F.col("v"), "$.title").alias("title"),
         *[flat(f).alias(f) for f in FLAT_FIELDS],
         _text(F.col("v"), "$.store").alias("store"),
         F.try_variant_get("v", "$.average_rating", "double").alias("average_rating"),
         _text(F.col("v"), "$.rating_number").alias("rating_number"),
         _number_text(F.col("v"), "$.price").alias("price"))
-    return rows.filter(F.col("item_id").isNotNull())
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    return catalogue_from_lines(lines(spark, path))
+def read_catalogue(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
+    return catalogue_from_lines(lines(spark, path), on_error=on_error)
 
 
 SESSION_SCHEMA = (
@@ -69,14 +88,15 @@ SESSION_SCHEMA = (
     "message:string>>")
 
 
-def sessions_from_lines(raw: DataFrame) -> DataFrame:
-    """Session table from a `value` column of JSON objects; blank lines are skipped."""
-    return raw.filter(F.btrim("value") != "").select(
+def sessions_from_lines(raw: DataFrame, on_error: str = "fail") -> DataFrame:
+    """Session table from a `value` column of JSON objects; blank lines are skipped, malformed ones as in the catalogue."""
+    rows = raw.filter(F.btrim("value") != "").select("value", F.try_parse_json("value").alias("v"))
+    return _checked(rows, "sample_id", "session", on_error).select(
         F.from_json("value", SESSION_SCHEMA).alias("s")).select("s.*")
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return sessions_from_lines(lines(spark, path))
+def read_sessions(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
+    return sessions_from_lines(lines(spark, path), on_error)
 
 
 def lookup_session(sessions: DataFrame, sample_id, column: str = "session_id") -> DataFrame:

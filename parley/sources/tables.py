@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley import fixed
-from parley.operators.retrieval import top
 from parley.plans import scale
 
 ROOT_CATEGORY = "Clothing, Shoes & Jewelry"
@@ -27,6 +26,8 @@ MESSAGE = """CASE
  WHEN scenario_type = 'boundary' AND turn = 2
   THEN 'I don''t have a preference for size; please use your judgment.'
  WHEN (session_id + turn) % 7 = 0 THEN 'I don''t have an additional preference for style.'
+ WHEN (session_id + turn) % 7 = 1 AND session_id % 2 = 0
+  THEN 'Maybe size ' || p_size || ' department ' || p_type || ' would do'
  WHEN (session_id + turn) % 7 = 1 THEN 'Could you show me a ' || p_name || ' perhaps'
  WHEN (session_id + turn) % 7 = 2 THEN 'Those options are not quite right yet. Ask me about one specific attribute.'
  WHEN (session_id + turn) % 7 = 3
@@ -64,42 +65,56 @@ def products(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce("n", F.lit(0)).alias("rating_number"))
 
 
-def session_lines(spark: SparkSession, d: str, last_turn: int = 11) -> DataFrame:
-    """One candidate item per session and turn. Turns beyond `last_turn` are pruned before the shuffle."""
+#: Turns of a session; an order with more lines becomes several sessions, PART apart.
+TURNS, PART = 10, 10 ** 15
+
+
+def session_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One candidate item per session and turn, from every order line."""
     rows = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("item_id"),
+        "l_orderkey", F.col("l_partkey").alias("item_id"),
         F.col("l_extendedprice").alias("price"), "l_linenumber", "l_quantity", "l_shipdate")
-    order = [F.asc(c) for c in ("l_linenumber", "item_id", "price", "l_quantity", "l_shipdate")]
-    return top(rows, ["session_id"], order, last_turn, "turn").select("session_id", "turn", "item_id", "price")
+    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "item_id", "price", "l_quantity", "l_shipdate")) - 1
+    rows = rows.withColumn("_line", line)
+    return rows.select((F.col("l_orderkey") + F.floor(F.col("_line") / TURNS) * F.lit(PART)).cast("bigint").alias("session_id"),
+                       (F.col("_line") % TURNS + 1).cast("int").alias("turn"), "item_id", "price")
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions with the 40/40/15/5 scenario mix; the target is the dearest line."""
-    best = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("session_id")).agg(
-        F.min_by("l_partkey", F.struct(-F.col("l_extendedprice"), F.col("l_partkey"))).alias("target"))
+    best = session_lines(spark, d).groupBy("session_id").agg(
+        F.min_by("item_id", F.struct(-F.col("price"), F.col("item_id"))).alias("target"))
     return best.select("session_id", "target", F.expr(SCENARIO).alias("scenario_type"),
                        F.expr(OVERRIDE_TURN).cast("int").alias("override_turn"))
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """Logged recommendations, one row each, with an unknown id and repeats for the normaliser."""
-    rows = session_lines(spark, d, 11)
+    rows = session_lines(spark, d)
     out = F.filter(F.array(
         F.struct(F.col("turn").alias("turn"), F.lit(1).alias("pos"), F.lit(-1).cast("bigint").alias("item_id")),
         F.struct(F.col("turn").alias("turn"), F.lit(2).alias("pos"), F.col("item_id").alias("item_id")),
         F.struct(F.col("turn").alias("turn"), F.lit(3).alias("pos"), F.col("item_id").alias("item_id")),
         F.struct((F.col("turn") - 1).alias("turn"), F.lit(4).alias("pos"), F.col("item_id").alias("item_id"))),
-        lambda r: (r["turn"] >= 1) & (r["turn"] <= 10))
+        lambda r: r["turn"] >= 1)
     return rows.select("session_id", F.inline(out))
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """One customer message per session and turn, covering every shape."""
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_type", "p_brand")
-    rows = session_lines(spark, d, 10).join(sessions(spark, d), "session_id").join(part, "item_id")
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_type", "p_brand", "p_size")
+    rows = session_lines(spark, d).join(sessions(spark, d), "session_id").join(part, "item_id")
     return rows.select("session_id", "turn", F.expr(MESSAGE).alias("user_message"))
 
 
+def conversations(spark: SparkSession, d: str) -> DataFrame:
+    """The customer's turns of the given conversations, numbered from 1."""
+    rows = table(spark, d, "conversations").filter("role = 'user'")
+    turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    return rows.select(F.col("conv_id").alias("session_id"), turn.alias("_turn"), "text").select(
+        "session_id", F.col("_turn").alias("turn"), F.col("text").alias("user_message"))
+
+
 def free_messages(spark: SparkSession, d: str) -> DataFrame:
     """Free text for mining."""
     return table(spark, d, "benchmark").select(F.col("item_id").alias("message_id"), F.col("text").alias("user_message"))

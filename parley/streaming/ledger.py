@@ -10,6 +10,9 @@ Two queries, connected by a folder:
 The ledger depends on turn order. A turn that arrives early waits in state until the turns before it are
 applied, or until a timer gives them up; a turn that arrives after a later one was applied is counted as
 late and not applied. Splitting the stream into micro-batches differently therefore gives the same ledger.
+
+State is typed and small. After the last turn only counters stay, so that repeats are still told apart, and a timer removes
+what no message has touched for `ttl_ms`. A finite log has no timers: `flush` gives the turns that still wait at its end.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -28,7 +32,8 @@ from parley.operators import ledger as lg
 from parley.plans import scale
 from parley.settings import DEFAULTS, Settings
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = ("last int, stale int, lost int, epoch int, late int, phrases array<string>, rejected array<bigint>, "
+         "asked array<string>, waiting array<string>")
 OBSERVED = ("session_id bigint, turn int, noinfo boolean, known boolean, override boolean, counted boolean, "
             f"states_con boolean, evidence {lg.EVIDENCE}, shown array<bigint>, asked string")
 OUTPUT = ("session_id bigint, turn int, grew int, stale int, lost int, epoch int, n_evidence int, n_rejected int, "
@@ -37,11 +42,11 @@ ADDED = lg.EVIDENCE
 
 
 def analyse(messages: DataFrame, items: DataFrame, folder: str, checkpoint: str, spans: bool = True,
-            cfg: Settings = DEFAULTS) -> StreamingQuery:
+            cfg: Settings = DEFAULTS, trigger: dict | None = None) -> StreamingQuery:
     """Stream of (session_id, turn, user_message[, shown, asked]) -> analysed rows under `folder`.
 
     Each micro-batch writes its own sub-folder once; a batch repeated after a failure is skipped when
-    its output is already complete.
+    its output is already complete. `trigger` goes to the writer; the default reads what is there and ends.
     """
     spark = messages.sparkSession
     indexed = scale.keep(cat.index_fields(items))
@@ -52,7 +57,7 @@ def analyse(messages: DataFrame, items: DataFrame, folder: str, checkpoint: str,
 
     def run(batch: DataFrame, batch_id: int) -> None:
         out = f"{folder}/batch={batch_id}"
-        if _complete(spark, out):
+        if _complete(spark, f"{folder}/done/{batch_id}"):
             return
         rows = scale.keep(batch)
         said = scale.keep(lg.text_evidence(rows, indexed, cats, attrs, cfg=cfg))
@@ -61,19 +66,22 @@ def analyse(messages: DataFrame, items: DataFrame, folder: str, checkpoint: str,
                  for c, t in (("shown", "array<bigint>"), ("asked", "string"))]
         seen = seen.join(rows.selectExpr("session_id", "turn", *extra), ["session_id", "turn"])
         seen.write.mode("overwrite").parquet(out)
+        spark.range(1).write.mode("overwrite").parquet(f"{folder}/done/{batch_id}")
 
     return (messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+    """Whether a mark says that a batch's folder was written to its end."""
+    try:
+        return not spark.read.schema("id bigint").parquet(path).isEmpty()
+    except AnalysisException:
+        return False
 
 
 def _empty() -> dict:
-    return dict(last=0, stale=0, lost=0, epoch=0, late=0, evidence={}, rejected=[], asked=[], waiting={})
+    return dict(last=0, stale=0, lost=0, epoch=0, late=0, phrases=set(), rejected=[], asked=[], waiting={})
 
 
 def _apply(session_id: int, s: dict, turn: int, body: dict) -> tuple:
@@ -83,8 +91,8 @@ def _apply(session_id: int, s: dict, turn: int, body: dict) -> tuple:
     n_rejected, n_asked = len(s["rejected"]), len(s["asked"])
     added = []
     for seq, phrase, tier, df in sorted(body["evidence"]):
-        if phrase not in s["evidence"]:
-            s["evidence"][phrase] = tier
+        if phrase not in s["phrases"]:
+            s["phrases"].add(phrase)
             added.append({"seq": seq, "phrase": phrase, "tier": tier, "df": df})
     grew = int(any(a["seq"] < lg.LATE for a in added))
     if body["counted"]:
@@ -94,7 +102,7 @@ def _apply(session_id: int, s: dict, turn: int, body: dict) -> tuple:
     if body["asked"] is not None and body["asked"] not in s["asked"]:
         s["asked"].append(body["asked"])
     s["last"] = turn
-    return (session_id, turn, grew, s["stale"], s["lost"], s["epoch"], len(s["evidence"]), n_rejected, n_asked,
+    return (session_id, turn, grew, s["stale"], s["lost"], s["epoch"], len(s["phrases"]), n_rejected, n_asked,
             s["late"], json.dumps(added))
 
 
@@ -106,47 +114,97 @@ def _body(r) -> dict:
                 shown=[] if r.shown is None else [int(i) for i in r.shown])
 
 
-def advance(gap_ms: int | None, max_turns: int):
-    """State function of one session. The state is one small JSON text: at most `max_turns` turns of it."""
-    names = [c.split()[0] for c in OUTPUT.split(", ")]
+def _load(state: GroupState) -> dict:
+    if not state.exists:
+        return _empty()
+    last, stale, lost, epoch, late, phrases, rejected, asked, waiting = state.get
+    return dict(last=last, stale=stale, lost=lost, epoch=epoch, late=late, phrases=set(phrases), rejected=list(rejected),
+                asked=list(asked), waiting={int(t): b for t, b in map(json.loads, waiting)})
+
+
+def _save(state: GroupState, s: dict) -> None:
+    state.update((s["last"], s["stale"], s["lost"], s["epoch"], s["late"], sorted(s["phrases"]), s["rejected"], s["asked"],
+                  [json.dumps([t, b]) for t, b in sorted(s["waiting"].items())]))
+
+
+def _take(s: dict, frame: pd.DataFrame, max_turns: int) -> None:
+    """Arrived rows wait until it is their turn; repeated, late and surplus ones are counted."""
+    for r in frame.itertuples(index=False):
+        turn = int(r.turn)
+        if turn <= s["last"] or turn in s["waiting"] or turn > max_turns:
+            s["late"] += 1
+        else:
+            s["waiting"][turn] = _body(r)
+
+
+def _release(session_id: int, s: dict, over_gaps: bool) -> list[tuple]:
+    """Apply waiting turns in order, up to the first missing one or over it."""
+    out = []
+    for turn in sorted(s["waiting"]):
+        if turn != s["last"] + 1 and not over_gaps:
+            break
+        out.append(_apply(session_id, s, turn, s["waiting"].pop(turn)))
+    return out
+
 
+NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
+
+
+def advance(gap_ms: int | None, max_turns: int, ttl_ms: int = 86_400_000):
+    """State function of one session."""
     def step(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else _empty()
-        waiting = s["waiting"]
+        s = _load(state)
+        if state.hasTimedOut and not s["waiting"]:
+            state.remove()
+            return
         for frame in frames:
-            for r in frame.itertuples(index=False):
-                turn = int(r.turn)
-                if turn <= s["last"] or str(turn) in waiting or turn > max_turns:
-                    s["late"] += 1
-                else:
-                    waiting[str(turn)] = _body(r)
-        out = []
-        for turn in sorted(int(t) for t in waiting):
-            if turn != s["last"] + 1 and not state.hasTimedOut:
-                break
-            out.append(_apply(key[0], s, turn, waiting.pop(str(turn))))
-        state.update((json.dumps(s),))
-        if waiting and gap_ms is not None:
-            state.setTimeoutDuration(gap_ms)
+            _take(s, frame, max_turns)
+        out = _release(key[0], s, state.hasTimedOut)
+        if s["last"] >= max_turns:
+            s |= dict(phrases=set(), rejected=[], asked=[], waiting={})
+        _save(state, s)
+        if gap_ms is not None:
+            state.setTimeoutDuration(gap_ms if s["waiting"] else ttl_ms)
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=NAMES)
 
     return step
 
 
-def ledger_stream(observed: DataFrame, gap_ms: int | None = 60_000, cfg: Settings = DEFAULTS) -> DataFrame:
+def ledger_stream(observed: DataFrame, gap_ms: int | None = 60_000, cfg: Settings = DEFAULTS,
+                  ttl_ms: int = 86_400_000) -> DataFrame:
     """Analysed rows (see `OBSERVED`) -> one row per applied turn. `added` is JSON of `ADDED`.
 
-    A session whose next turn is missing for `gap_ms` goes on without it. Pass None to replay a finite
-    log: a processing-time timer would keep an available-now query running.
+    A session whose next turn is missing for `gap_ms` goes on without it, and one that nothing has touched for `ttl_ms` is
+    forgotten. Pass None to replay a finite log, where timers never fire, and add what `flush` gives. The state store is the
+    session's; RocksDB suits many sessions.
     """
     timeout = GroupStateTimeout.NoTimeout if gap_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    observed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return observed.groupBy("session_id").applyInPandasWithState(
-        advance(gap_ms, cfg.max_turns), outputStructType=OUTPUT, stateStructType="body string",
+        advance(gap_ms, cfg.max_turns, ttl_ms), outputStructType=OUTPUT, stateStructType=STATE,
         outputMode="append", timeoutConf=timeout)
 
 
+def flush(observed: DataFrame, applied: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Turns of a finite log that still wait because an earlier one never came, applied over the gaps.
+
+    `observed` are all analysed rows, `applied` what the stream gave. Only sessions with waiting turns are replayed; each
+    has at most `max_turns` turns.
+    """
+    turns = observed.filter(F.col("turn").between(1, cfg.max_turns)).select("session_id", "turn")
+    open_ = turns.join(applied.select("session_id", "turn"), ["session_id", "turn"], "left_anti").select("session_id").distinct()
+
+    def replay(key, frame: pd.DataFrame) -> pd.DataFrame:
+        s = _empty()
+        _take(s, frame.sort_values("turn"), cfg.max_turns)
+        return pd.DataFrame(_release(key[0], s, True), columns=NAMES)
+
+    rows = observed.join(open_, "session_id", "left_semi").dropDuplicates(["session_id", "turn"])
+    done = applied.select("session_id", "turn", F.lit(True).alias("_done"))
+    return (rows.groupBy("session_id").applyInPandas(replay, OUTPUT).join(done, ["session_id", "turn"], "left")
+            .filter("_done is null").select(*NAMES))
+
+
 def read_analysed(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(OBSERVED)
     if files_per_trigger:

@@ -6,20 +6,20 @@ from parley.plans import scale
 
 
 def test_normalise_keeps_first_valid_unique(spark):
-    turns = spark.createDataFrame([("s", 1, ["A", "bad", " A ", "B", "", "C"]), ("s", 2, None)],
+    turns = spark.createDataFrame([("q4", 3, ["red", "?", "blue", " red", "", "tan", "blue"]), ("q4", 4, None)],
                                   "session_id string, turn int, recommendations array<string>")
-    ids = spark.createDataFrame([("A",), ("B",), ("C",)], "item_id string")
+    ids = spark.createDataFrame([("blue",), ("red",), ("tan",), ("white",)], "item_id string")
     got = ev.normalize_recommendations(ev.explode_recommendations(turns), ids).orderBy("rank").collect()
-    assert [r.item_id for r in got] == ["A", "B", "C"]
+    assert [r.item_id for r in got] == ["red", "blue", "tan"]
 
 
 RESULT = "session_id string, scenario_type string, hit boolean, first_hit_turn int, reciprocal_rank double"
 
 
 def test_miss_counts_as_turn_eleven(spark):
-    r = spark.createDataFrame([("a", "x", True, 2, 0.5), ("b", "x", False, None, 0.0)], RESULT)
+    r = spark.createDataFrame([("q1", "u", True, 4, 0.25), ("q2", "u", False, None, 0.0), ("q3", "u", True, 3, 1.0), ("q5", "u", False, None, 0.0)], RESULT)
     s = ev.summary(r).first()
-    assert (s.sample_count, s.hit_rate_at_10, s.mrr, s.mttc) == (2, 0.5, 0.25, 6.5)
+    assert (s.sample_count, s.hit_rate_at_10, s.mrr, s.mttc) == (4, 0.5, 0.3125, 7.25)
 
 
 def test_no_sessions(spark):

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from parley import fixed
 from parley.operators import catalogue as cat
 from parley.operators import mining, phrases as ph, ranking as rk, retrieval as rt
-from parley.plans import scale
+from parley.plans import pipeline, scale
+from parley.sources import tables as tb
 from parley.settings import DEFAULTS
 
 FIELDS = fixed.INDEX_FIELDS
@@ -52,51 +53,46 @@ def test_document_frequency_and_mining(spark, seed):
     texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 14))) for _ in range(15)]
     msgs = spark.createDataFrame([(t,) for t in texts + texts[:3]], "user_message string")
     indexed = scale.keep(cat.index_fields(items))
-    got = {r.user_message: [(p.phrase, p.df) for p in r.picks] for r in mining.mine(msgs, indexed, cfg).collect()}
-    df = lambda p: min(len(freq(fields, p)), cfg.df_cap + 1)
+    got = {r.user_message: [(p.start - 1, p.n, p.phrase, p.df) for p in r.picks] for r in mining.mine(msgs, indexed, cfg).collect()}
     for t in texts:
-        toks, i, want = t.split(), 0, []
-        while i < len(toks):
-            n = next((n for n in range(min(5, len(toks) - i), 1, -1) if 0 < df(" ".join(toks[i:i + n])) <= cfg.df_cap), 0)
-            if n:
-                p = " ".join(toks[i:i + n])
-                want.append((p, df(p)))
-            i += n or 1
-        assert got.get(t, []) == want
-
-
-def brute_pool(fields, evidence, cfg):
-    """The search ladder as a loop over separate searches."""
-    lens = {i: sum(map(len, fs.values())) for i, fs in fields.items()}
-    n, mean = len(fields), sum(lens.values()) / len(fields)
-    fr = {p: freq(fields, p) for p, _, _ in evidence}
-
-    def s(p, i):
-        f = fr[p].get(i, 0)
-        raw = math.log((n - len(fr[p]) + 0.5) / (len(fr[p]) + 0.5))
-        return (raw if raw > 0 else 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * lens[i] / mean)) if f else 0.0
-
-    def search(ps, every):
-        ids = [i for i in fields if (all if every else any)(i in fr[p] for p in ps)]
-        return sorted(ids, key=lambda i: (-round(sum(s(p, i) for p in ps), 6), i))[:cfg.pool]
-
-    ev = [p for p, df, _ in evidence]
-    strong = [p for p, df, _ in evidence if df <= cfg.strong_df][:cfg.strong_phrases]
-    pool = []
-
-    def add(ids):
-        pool.extend(i for i in ids if i not in pool)
+        toks = t.split()
+        counts = {(i, n): len(freq(fields, " ".join(toks[i:i + n]))) for n in range(2, 6) for i in range(len(toks) - n + 1)}
+        attested = {span for span, df in counts.items() if 0 < df <= cfg.df_cap}
+        picks = got.get(t, [])
+        covered = {i for start, n, _, _ in picks for i in range(start, start + n)}
+        assert len(covered) == sum(n for _, n, _, _ in picks)  # no overlap
+        for start, n, phrase, df in picks:
+            assert (phrase, df) == (" ".join(toks[start:start + n]), counts[start, n])
+            assert (start, n) in attested and not any((start, k) in attested for k in range(n + 1, 6))
+        # no attested gram starts in what is left over
+        assert not any(i not in covered for i, _ in attested)
+
+
+def expected_pool(fields, evidence, cfg):
+    """The pool by definition: a rung is a set of scored items, cut to its best `pool`. Conjunctions of the k rarest
+    strong phrases are open, for falling k, while the open ones before hold fewer than `pool` items; then any strong phrase;
+    then, below `pool` items, any of the first phrases. An item stands where its first open rung puts it."""
+    size = {i: sum(map(len, fs.values())) for i, fs in fields.items()}
+    mean = sum(size.values()) / len(size)
+    found = {p: freq(fields, p) for p, _, _ in evidence}
+    idf = {p: max(math.log((len(fields) - len(f) + 0.5) / (len(f) + 0.5)), 1e-6) for p, f in found.items()}
+    part = {p: {i: idf[p] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size[i] / mean)) for i, f in found[p].items()} for p in found}
+
+    def rung(phrases, least):
+        hits = {i: [part[p][i] for p in phrases if i in part[p]] for i in set().union(*(part[p] for p in phrases))} if phrases else {}
+        order = sorted((-round(sum(h), 6), i) for i, h in hits.items() if len(h) >= least)
+        return {i: k for k, (_, i) in enumerate(order[:cfg.pool])}
 
-    if strong:
-        add(search(strong, True))
-        for k in range(len(strong) - 1, 0, -1):
-            if len(pool) >= cfg.pool:
-                break
-            add(search(strong[:k], True))
-        add(search(strong, False))
-    if len(pool) < cfg.pool and ev:
-        add(search(ev[:cfg.or_phrases], False))
-    return pool
+    strong = [p for p, df, _ in evidence if df <= cfg.strong_df][:cfg.strong_phrases]
+    ladder = [rung(strong[:k], k) for k in range(len(strong), 0, -1)]
+    held = [len(set().union(*ladder[:k])) for k in range(len(ladder))]
+    opened = [r for r, n in zip(ladder, held) if n < cfg.pool or not n] + [rung(strong, 1)]
+    if len(set().union(*opened)) < cfg.pool:
+        opened.append(rung([p for p, _, _ in evidence][:cfg.or_phrases], 1))
+    places = {}
+    for k, r in reversed(list(enumerate(opened))):
+        places |= {i: (k, at) for i, at in r.items()}
+    return sorted(places, key=places.get)
 
 
 @pytest.mark.parametrize("pool,strong_df,or_phrases", [(5, 6, 3), (12, 10, 4), (60, 8, 3), (20, 0, 2)])
@@ -129,8 +125,13 @@ def test_pool_and_ranking(spark, pool, strong_df, or_phrases):
     ranked = rk.rank_items(found, F.lit(max_pop), cfg=cfg)
     for r in links.join(ranked, "query_id").orderBy("session_id", "rank").collect():
         tops.setdefault(r.session_id, []).append(r.item_id)
+    titled = replace(cfg, w_title=0.7)
+    with_title = {}
+    pooled = pipeline.with_titles(pipeline.Retrieval(links, qs, scored, found), indexed, titled)
+    for r in links.join(rk.rank_items(pooled, F.lit(max_pop), cfg=titled), "query_id").orderBy("session_id", "rank").collect():
+        with_title.setdefault(r.session_id, []).append(r.item_id)
     for q, ev in queries.items():
-        want = brute_pool(fields, ev, cfg)
+        want = expected_pool(fields, ev, cfg)
         assert got.get(q, []) == want, (q, ev)
 
         def weight(p, df, tier):
@@ -142,4 +143,39 @@ def test_pool_and_ranking(spark, pool, strong_df, or_phrases):
             blob = " " + " ".join(w for f in FIELDS for w in fields[i][f]) + " "
             return round(sum(weight(*e) for e in ev if f" {e[0]} " in blob) + cfg.w_pop * pops[i] / max_pop, 6)
 
+        def title(i):
+            blob = f" {' '.join(fields[i]['title'])} "
+            return sum(weight(*e) for e in ev if f" {e[0]} " in blob)
+
+        def more(i):
+            blob = " " + " ".join(w for f in FIELDS for w in fields[i][f]) + " "
+            return round(sum(weight(*e) for e in ev if f" {e[0]} " in blob) + cfg.w_pop * pops[i] / max_pop + 0.7 * title(i), 6)
+
         assert tops.get(q, []) == sorted(want, key=lambda i: (-score(i), want.index(i)))[:cfg.top_k]
+        assert with_title.get(q, []) == sorted(want, key=lambda i: (-more(i), want.index(i)))[:cfg.top_k]
+
+
+def test_a_weight_without_its_column_is_an_error(spark):
+    pool = spark.createDataFrame([(1, 1, 1.0, 1.0, 1)], "query_id long, item_id long, cov double, pop double, pos int")
+    for name in ("w_title", "w_profile"):
+        with pytest.raises(ValueError, match=name):
+            rk.rank_items(pool, F.lit(1.0), cfg=replace(DEFAULTS, **{name: 0.5}))
+
+
+def test_profiles_and_calibration_reach_the_ranking(spark):
+    d = "/root/testdata/sf0.001"
+    messages, items = tb.messages(spark, d).filter("session_id < 260"), tb.products(spark, d)
+    ledger = pipeline.build_ledger(messages, items)
+    ids = messages.select("session_id").distinct()
+    plain = {(r.session_id, r.item_id): r.rank_score for r in pipeline.top_items(messages, items, ledger=ledger).collect()}
+    tags = ids.withColumn("tags", F.array(F.lit("Jewelry")))  # every item has it
+    liked = {(r.session_id, r.item_id): r.rank_score for r in pipeline.top_items(
+        messages, items, replace(DEFAULTS, w_profile=0.25), profiles=tags, ledger=ledger).collect()}
+    assert liked.keys() == plain.keys() and all(abs(liked[k] - plain[k] - 0.25) < 2e-6 for k in plain)
+    with pytest.raises(ValueError, match="profiles"):
+        pipeline.top_items(messages, items, replace(DEFAULTS, w_profile=0.25), ledger=ledger)
+    arrivals = ids.withColumn("arrival", F.col("session_id"))
+    cfg = replace(DEFAULTS, pop_warmup=3, pop_low=100.0, pop_high=101.0)  # no prior once three sessions are seen
+    late = {r.session_id: r.w_pop for r in pipeline.population_weights(ledger, arrivals, cat.index_fields(items), cfg).collect()}
+    order = sorted(late)
+    assert late[order[0]] == cfg.w_pop and late[order[-1]] == 0.0 and len(late) == ids.count()

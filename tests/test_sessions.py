@@ -75,3 +75,56 @@ def test_stream_equals_batch_for_any_arrival_order(spark, tmp_path):
     ev = ["session_id", "turn", "seq", "phrase", "tier", "df"]
     assert sorted(map(tuple, st.evidence_rows(applied).select(*ev).collect())) == sorted(
         map(tuple, ledger.evidence.select(*ev).collect()))
+
+
+def _said(session, turn, phrases, **flags):
+    ev = [(i, p, "con", 1) for i, p in enumerate(phrases)]
+    told = dict(noinfo=False, known=True, override=False, counted=True, states_con=True) | flags
+    return (session, turn, *told.values(), ev, [turn], None)
+
+
+def _replayed(spark, folder, batches):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, st.OBSERVED).write.parquet(f"{folder}/said/batch={i}")
+    out = st.ledger_stream(st.read_analysed(spark, f"{folder}/said", 1), gap_ms=None)
+    (out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c")
+     .trigger(availableNow=True).start().awaitTermination())
+    applied = spark.read.schema(st.OUTPUT).parquet(f"{folder}/out")
+    observed = spark.read.schema(st.OBSERVED).parquet(f"{folder}/said/batch=*")
+    return applied, st.flush(observed, applied)
+
+
+def test_missing_and_late_turns(spark, tmp_path):
+    whole = [_said(1, t, [f"p{t}", "p1"]) for t in range(1, 11)]
+    gap = [_said(2, t, [f"q{t}"]) for t in (1, 2, 4, 5, 6)]
+    applied, rest = _replayed(spark, str(tmp_path), [whole[:5] + gap[:1], whole[5:] + gap[2:], [whole[2], gap[1], gap[1]], [whole[9]]])
+    got = {(r.session_id, r.turn): r for r in applied.collect()}
+    assert sorted(got) == [(1, t) for t in range(1, 11)] + [(2, 1), (2, 2)]
+    assert [got[1, t].n_evidence for t in (1, 2, 10)] == [1, 2, 10]
+    more = {(r.session_id, r.turn): r for r in rest.collect()}
+    assert sorted(more) == [(2, 4), (2, 5), (2, 6)]
+    assert (more[2, 6].n_evidence, more[2, 6].n_rejected, more[2, 6].stale) == (5, 4, 0)
+
+
+def test_null_messages_say_nothing(spark):
+    items = tb.products(spark, D)
+    rows = [(1, 1, "blah"), (1, 2, None), (1, 3, ""), (2, 1, None)]
+    states = pipeline.build_ledger(spark.createDataFrame(rows, "session_id long, turn int, user_message string"), items).states
+    got = {(r.session_id, r.turn): (r.lost, r.stale) for r in states.collect()}
+    assert got == {(1, 1): (1, 1), (1, 2): (2, 2), (1, 3): (3, 3), (2, 1): (1, 1)}
+
+
+def test_long_categories_and_long_messages(spark):
+    words = [f"word{i}" for i in range(30)]
+    items = spark.createDataFrame(
+        [(1, "thing", ["root", " ".join(words)], ["f"], ["d"], {"k": "v"}, "s", 1, None)],
+        "item_id long, title string, categories array<string>, features array<string>, description array<string>, "
+        "details map<string,string>, store string, rating_number int, price double")
+    clause = " ".join(words)
+    filler = " ".join(f"x{i}" for i in range(30_000))
+    rows = [(1, 1, f"I'm looking for {clause}, but I'm still exploring."), (2, 1, f"{filler} {clause} maybe")]
+    ledger = pipeline.build_ledger(spark.createDataFrame(rows, "session_id long, turn int, user_message string"), items)
+    found = {(r.session_id, r.phrase) for r in ledger.evidence.select("session_id", "phrase").collect()}
+    assert (1, "word7") in found and any(len(p.split()) >= 22 for s, p in found if s == 1)
+    grown = {r.session_id: r.grew for r in ledger.states.collect()}
+    assert grown == {1: 1, 2: 1}
