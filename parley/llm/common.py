@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 FILTER_WORDS = 1 << 17
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Arrow batches of a thousand rows: ten thousand long texts at once are tens of megabytes, several times per task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def work_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the session names in spark.checkpoint.dir.
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import edit_embedding, exact_dedup, html_blocks, jaccard_join, langid, mixing, oracle, packing, pii, sharding, toxicity
-from parley.llm.common import fold
+from parley.llm.common import configure, fold
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

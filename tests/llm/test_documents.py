@@ -123,7 +123,8 @@ def test_fitted_patterns_do_not_lose_to_plain_best_fit():
         for length in sorted(counts.elements(), reverse=True):
             fit = min((s for s in spaces if s >= length and spaces[s]), default=None)
             plain += fit is None
-            spaces[fit] -= fit is not None
+            if fit:
+                spaces[fit] -= 1
             spaces[(fit or 2048) - length] += 1
         made = packing.plan(dict(counts))
         assert made.sequences <= plain * 1.01 + 1
