@@ -123,8 +123,8 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     key = ["doc_id", "_source", "_crc"]
     told = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("_crc", F.crc32(text_of("text").cast("binary")))
     narrow = keep(told.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "_source", "_crc", words(text_of("text")).alias("size")), "sizes")
-    share = (laid(narrow).groupBy(*key).agg(*[F.max(c).alias(f"_{c}") for c in ("times", "head_to", "run_from", "run_to")])
-             .where("_times > 0 OR _head_to > 0 OR _run_to > _run_from"))
+    share = (laid(narrow).groupBy(*key).agg(*[F.max(c).alias(f"_{c}") for c in ("times", "head_to", "run_from", "run_to", "taken")])
+             .where("_taken > 0"))
     share = share.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_times", "_head_to", "_run_from", "_run_to")
     same = told["doc_id"].cast("long").eqNullSafe(F.col("_k0")) & (F.col("_source") == F.col("_k1")) & (F.col("_crc") == F.col("_k2"))
     found = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)

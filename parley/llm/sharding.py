@@ -45,8 +45,8 @@ def first_map(load: pd.DataFrame, shards: int = SHARDS) -> pd.DataFrame:
 
 
 def edited_map(old: pd.DataFrame, load: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """The next version for new bytes per slot or more shards: slots leave the fullest shard for the emptiest one while
-    that brings the two closer; all others stay where they are."""
+    """The next version for new bytes per slot or more shards: slots leave the fullest shard that can spare one for the
+    emptiest one while that brings the two closer; all others stay where they are. New shards are the only ones to take."""
     table = load.merge(old[["virtual_slot", "shard"]], on="virtual_slot", how="left")
     held = {s: 0 for s in range(shards)}
     members: dict[int, list[tuple[int, int]]] = {s: [] for s in range(shards)}
@@ -56,10 +56,12 @@ def edited_map(old: pd.DataFrame, load: pd.DataFrame, shards: int) -> pd.DataFra
         home[int(slot)] = to
         held[to] += int(size)
         members[to].append((int(size), int(slot)))
+    takers = [s for s in held if s not in set(old["shard"])] or list(held)  # new shards fill up first
     for _ in range(2 * len(home)):
-        full, empty = max(held, key=lambda s: (held[s], -s)), min(held, key=lambda s: (held[s], s))
-        fits = [m for m in members[full] if 0 < 2 * m[0] <= held[full] - held[empty]]
-        if not fits:
+        empty = min(takers, key=lambda s: (held[s], s))
+        found = ((s, [m for m in members[s] if 0 < 2 * m[0] <= held[s] - held[empty]]) for s in sorted(held, key=lambda s: (-held[s], s)))
+        full, fits = next(((s, f) for s, f in found if f), (None, None))
+        if full is None:
             break
         size, slot = max(fits)
         members[full].remove((size, slot))
