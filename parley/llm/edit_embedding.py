@@ -61,7 +61,7 @@ def fingerprints(found: list[str]) -> list[str]:
     starts = np.cumsum(sizes + len(gap)) - sizes - len(gap)
     ends = starts + sizes
     steps, _ = sampled()
-    bits = np.zeros((int(np.searchsorted(steps, max(1, int(sizes[0])))) + 1, len(order)), np.uint8)
+    bits = np.zeros((int(np.searchsorted(steps, int(sizes[0]) + 2 * STRIDE)) + 1, len(order)), np.uint8)
     reached = np.zeros(len(order), np.int64)
     alive = np.flatnonzero(sizes)
     at, step, sample = starts[alive], 0, 0
