@@ -45,7 +45,7 @@ def test_added_spans_mend_what_the_patterns_drop(spark):
     mail = lambda: f"{''.join(rng.choice(list('abcdef'), 5))}.{rng.integers(10, 99)}@mail{rng.integers(9)}.example.com"
     rows = []
     for i in range(400):
-        kind = i % 4
+        kind = int(rng.integers(4))
         some = [phone(), _card(rng), mail(), str(rng.integers(10 ** 6, 10 ** 12))][kind]
         rows.append((i, f"and then {some} was here, order {rng.integers(10 ** 8)} of {rng.integers(2024)}"))
     both = [(1000 + i, f"call {phone()} {_card(rng)} now") for i in range(30)]
