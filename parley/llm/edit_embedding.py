@@ -123,7 +123,7 @@ def _described(found: list[str]) -> list[tuple]:
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A sorted partition -> its rows; the last one, whose next is elsewhere, is an edge without values."""
     first, held, started = None, None, False
-    for batch in texts(batches, 4096, 6_000_000):
+    for batch in texts(batches, 2048, 1_500_000):
         ids, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         if not started:
             first, started = ids[0], True
