@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -105,6 +106,16 @@ def texts(batches: Iterator[pa.RecordBatch], rows: int, volume: int = 8_000_000)
                 start, size = i, 0
             size += int(n)
         yield batch.slice(start)
+    _release()
+
+
+def _release() -> None:
+    """Give freed memory back to the system: a worker is used again by later tasks, beside an executor near its limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def strings_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
