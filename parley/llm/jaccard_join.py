@@ -256,17 +256,18 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     names_bits = reps.select("name", _half("name").alias("h"), "bits")
     roots = keep(components(first_links), "roots")
     mixed = keep(_mixed(listed.select("g", "h", "n", "flag"), names_bits, roots), "mixed")
-    # once more a star: sets outside a list's largest component with some set of that component, another in every list
-    some = mixed.where("root = main").groupBy("g").agg(F.min_by(F.struct("h", "n", "bits"), F.xxhash64("h", "g")).alias("y"))
-    met = (mixed.where("root <> main").join(some, "g").select("h", "n", "bits", F.col("y.h").alias("head"), F.col("y.n").alias("n_y"), F.col("y.bits").alias("bits_y"))
-           .withColumn("differ", _differ("bits", "bits_y")).where(_may_link("n", "n_y", "differ")))
+    # once more a star: sets outside a list's largest component with some set of that component, by eight orders of the sets
+    some = mixed.where("root = main").groupBy("g").agg(F.min_by(F.struct("h", "n"), F.xxhash64("h", F.pmod("g", F.lit(8)))).alias("y"))
+    met = (mixed.where("root <> main").join(some, "g").select("h", "n", F.col("y.h").alias("head"), F.col("y.n").alias("n_y"))
+           .where(_may_link("n", "n_y", F.lit(0))).distinct())
+    met = (met.join(names_bits.select("h", "bits"), "h").join(names_bits.select(F.col("h").alias("head"), F.col("bits").alias("bits_y")), "head")
+           .select("h", "head", "n", "n_y", _differ("bits", "bits_y").alias("differ")).where(_may_link("n", "n_y", "differ")))
     closest = Window.partitionBy("h").orderBy("differ", "head")
-    tried = (met.groupBy("h", "head").agg(F.min("differ").alias("differ")).withColumn("_r", F.row_number().over(closest))
-             .where(F.col("_r") <= TRIES).select("head", "h"))
+    tried = met.withColumn("_r", F.row_number().over(closest)).where(F.col("_r") <= TRIES).select("head", "h").distinct()
     more = keep(_compare(by_name(tried), reps, docs), "links")
     again = keep(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
     # what is still apart: every set outside a list's largest component with all sets of other components
-    rest = keep(_mixed(mixed.select("g", "h", "n", "flag"), names_bits, again), "mixed")
+    rest = keep(_mixed(mixed.select("g", "h", "n", "flag"), names_bits, again).join(names_bits.select("h", "bits"), "h"), "mixed")
     stray, every = (rest.select("g", "main", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "n", "flag", "root", "bits")]) for k in ("x", "y"))
     apart = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main_y")) | (F.col("h_x") < F.col("h_y")))
     x_ahead = F.col("flag_x") & (F.col("n_x") <= F.col("n_y"))  # one of the two lists the shingle as the smaller set
@@ -290,14 +291,16 @@ def _may_link(m: str, n: str, differ) -> Column:
 
 
 def _mixed(listed: DataFrame, names_bits: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries (g, h, n, flag) of lists that hold more than one component, with root, the list's largest component (main)
-    and the sets' short sketches."""
-    root_of = keep(names_bits.join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
-                   .select("h", _half(F.coalesce("root", "name")).alias("root"), "bits"), "placed")
-    placed = listed.join(root_of.select("h", "root"), "h")
-    share = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("c"))
-    several = share.groupBy("g").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("g", "main")
-    return placed.join(several, "g").join(root_of.select("h", "bits"), "h")
+    """Entries (g, h, n, flag) of lists that hold more than one component, with root and the list's largest component
+    (main). Lists of two sets whose sizes exclude a link are left out."""
+    root_of = keep(names_bits.select("h", "name").join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
+                   .select("h", _half(F.coalesce("root", "name")).alias("root")), "placed")
+    placed = listed.join(root_of, "h")
+    share = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    several = (share.groupBy("g").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"),
+                                      F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+               .where((F.col("roots") > 1) & ((F.col("c") > 2) | (PERCENT * F.col("high") <= 100 * F.col("low")))).select("g", "main"))
+    return placed.join(several, "g")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
