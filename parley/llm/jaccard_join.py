@@ -133,9 +133,10 @@ def common_cells(docs: DataFrame, rows: int) -> np.ndarray:
 def entries(docs: DataFrame, cells: np.ndarray, light: int) -> DataFrame:
     """List entries of every set: g, h, meta.
 
-    g: shingle or subset; h: first half of the set's name; meta: salt * 2**40 + kind * 2**39 + 2 * n + flag. Kind 1 is a
-    subset (flag: the set has the smaller of the two sizes); kind 0 a listed shingle (flag: listed also as the smaller
-    set of a pair, which needs the rarest ninth only). Common shingles are salted by h, so a long list is dealt out.
+    g: shingle or subset; h: first half of the set's name; meta: salt * 2**40 + kind * 2**39 + dealt * 2**38 + 2 * n + flag.
+    Kind 1 is a subset (flag: the set has the smaller of the two sizes); kind 0 a listed shingle (flag: listed also as the
+    smaller set of a pair, which needs the rarest ninth only). Common shingles are salted by h, so a long list is dealt out
+    (dealt: the list has several salts).
     """
     spread = docs.sparkSession.sparkContext.broadcast(cells)
 
@@ -165,10 +166,11 @@ def entries(docs: DataFrame, cells: np.ndarray, light: int) -> DataFrame:
                 level[:counted] = levels[np.minimum(x[:counted] // np.uint64(_GRAIN), np.uint64((1 << 40) - 1)) >> np.uint64(18)]
                 listed = np.argsort(level, kind="stable")[:n - -(-PERCENT * n // 100) + 1]
                 least = n - overlap(n, n) + 1
-                salt = np.int64(h & 0xFFFFF) & ((np.int64(1) << np.maximum(level[listed].astype(np.int64) - 5, 0)) - 1)
+                salts = (np.int64(1) << np.maximum(level[listed].astype(np.int64) - 5, 0)) - 1
+                salt = np.int64(h & 0xFFFFF) & salts
                 gs.append(x[listed])
                 hs.append(np.full(len(listed), h, np.int64))
-                metas.append((salt << 40) + 2 * n + (np.arange(len(listed)) < least))
+                metas.append((salt << 40) + ((salts > 0).astype(np.int64) << 38) + 2 * n + (np.arange(len(listed)) < least))
             if gs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs).astype(np.uint64).view(np.int64)), pa.array(np.concatenate(hs)),
                                                   pa.array(np.concatenate(metas))], names=["g", "h", "meta"])
@@ -177,12 +179,14 @@ def entries(docs: DataFrame, cells: np.ndarray, light: int) -> DataFrame:
 
 
 def _lists(rows: DataFrame) -> DataFrame:
-    """Entries of lists that more than one set is in, with the list's head: kind, g, h, n, flag, hot, head."""
+    """Entries of lists that more than one set is in, with the head of the list or of the list's part of one salt: kind, g,
+    h, n, flag, head. A set alone in its part of a dealt-out list stays: others may be in the parts of other salts."""
     told = rows.select("g", "h", "meta", F.shiftright("meta", 40).alias("salt"))
     own = Window.partitionBy("g", "salt")
+    dealt = F.col("meta").bitwiseAND(F.lit(1 << 38)) != 0
     kept = (told.withColumn("head", F.min("h").over(own)).withColumn("_last", F.max("h").over(own))
-            .where("head < _last OR salt > 0"))
-    low = F.col("meta").bitwiseAND(F.lit((1 << 39) - 1))
+            .where((F.col("head") < F.col("_last")) | dealt))
+    low = F.col("meta").bitwiseAND(F.lit((1 << 38) - 1))
     return kept.select(F.shiftright("meta", 39).bitwiseAND(F.lit(1)).cast("int").alias("kind"), "g", "h", F.shiftright(low, 1).cast("int").alias("n"),
                        (low.bitwiseAND(F.lit(1)) == 1).alias("flag"), "head")
 

@@ -1,6 +1,7 @@
 """The operators over documents against plain versions, on a small table with every odd case."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -271,3 +272,25 @@ def test_empty_tables(empty, spark):
     assert sharding.shard(empty).count() == 0
     assert packing.pack(empty).count() == 0
     assert ee.describe(empty).count() == 0
+
+
+def test_common_shingles_of_few_sets_still_link(spark):
+    """Copied texts whose shingles are all counted and common, each with one longer variant: their lists are dealt out by salt, mostly one set a cell."""
+    import pyarrow as pa
+
+    rnd = random.Random(7)
+    counted = lambda words: bool((shingles.sets(pa.array([" ".join(words[-5:])]))[0] < np.uint64(jaccard_join.COUNTED)).all())
+    rows = []
+    for family in range(24):
+        words = [f"f{family}x{k}" for k in range(4)]
+        while len(words) < 13:
+            words.append(f"f{family}y{rnd.randrange(10 ** 6)}")
+            if not counted(words):
+                words.pop()
+        first = 1000 * family
+        rows += [(first + k, " ".join(words[:-1])) for k in range(70)] + [(first + 500, " ".join(words))]
+    want = linked_components(rows)
+    assert all(want[1000 * f + 500] == (9, 1000 * f) for f in range(24))
+    told = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(told) == len(rows)
+    assert [r for r in told if want[r.doc_id] != (r.n_shingles, r.component_id)] == []
