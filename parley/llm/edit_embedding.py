@@ -25,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import keep, mix, parts, text_of, texts
+from parley.llm.components import components
 
 #: Samples of a doubling, doublings (walks of up to 2**34 steps), steps between two looks at which walks have ended.
 SAMPLES, DOUBLINGS, STRIDE = 32, 34, 32
+#: Times that bands which hold several components of similar documents are tried with new heads, before all their pairs are.
+ROUNDS = 2
 COLUMNS = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
            "near_edited double, near_next double, part_first long, edge boolean")
 
@@ -173,29 +176,75 @@ def describe(docs: DataFrame) -> DataFrame:
     return whole.drop("part_first", "edge")
 
 
+def band_keys(fingerprint: str, least: float, bands: int, width: int) -> list[str]:
+    """Keys of a fingerprint's bands. Walks that can be `least` alike differ in weight by 1 / least at most, so they are in
+    one class of lengths or in neighbouring ones; every walk has the bands of its class and of the one below."""
+    found = _bits(fingerprint)
+    if not len(found):
+        return []
+    base = 1 / max(least - 1e-6, 0.01)
+    level = int(np.floor(np.log(sampled()[1][:len(found)].sum()) / np.log(base)))
+    return [f"{c}:{k}:{''.join(map(str, found[pick].tolist()))}" for c in range(max(0, level - 1), level + 1) for k, pick in enumerate(_picks(c, base, bands, width))]
+
+
+@functools.cache
+def _picks(level: int, base: float, bands: int, width: int) -> list[np.ndarray]:
+    """Bits of every band of a class, drawn by the steps they stand for from all bits that each of its walks has reached."""
+    weights = sampled()[1]
+    total = np.cumsum(weights)
+    shared = max(1, int(np.searchsorted(total, base ** level, "right")))
+    return [np.unique(np.random.default_rng([12, level, k]).choice(shared, width, p=weights[:shared] / total[shared - 1])) for k in range(bands)]
+
+
 def similar(prints: DataFrame, least: float = 0.8, bands: int = 16, width: int = 24) -> DataFrame:
-    """Documents (doc_id, fingerprint) that share a band with a lower id and whose likeness to it is `least` or more:
-    doc_id, head_id, likeness. A band samples `width` bits; each of its rows is compared with the band's least id."""
-    rng = np.random.default_rng(12)
-    picks = [np.sort(rng.choice(160, width, replace=False)) for _ in range(bands)]
+    """Pairs of documents (doc_id, fingerprint), doc_id the higher one, that share a band and are `least` or more alike:
+    doc_id, head_id, likeness. A band samples up to `width` bits of the whole walk.
 
+    Not every such pair is given, but as many as leave nothing apart that these pairs connect: equal fingerprints are one,
+    each band's rows are compared with its least id, then ROUNDS times those outside its largest component with the least
+    of them, and what is still apart with all rows of the band's other components.
+    """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, owners = [], []
             for i, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = _bits(p)
-                for k, pick in enumerate(picks):
-                    keys.append(f"{k}:{''.join(map(str, found[pick[pick < len(found)]].tolist()))}")
-                    owners.append((i, p))
+                own = band_keys(p, least, bands, width)
+                keys += own
+                owners += [(i, p)] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([o[0] for o in owners], pa.int64()), pa.array([o[1] for o in owners], pa.string())], names=["band", "doc_id", "fingerprint"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [likeness(a, b) for a, b in zip(batch.column("fingerprint").to_pylist(), batch.column("_print").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("head_id"), pa.array(values, pa.float64())], names=["doc_id", "head_id", "likeness"])
-
-    rows = keep(prints.where("doc_id IS NOT NULL").select("doc_id", "fingerprint").mapInArrow(cut, "band string, doc_id long, fingerprint string"), "bands")
-    heads = rows.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("_head"))
-    pairs = (rows.join(heads, "band").select("doc_id", "fingerprint", F.col("_head.doc_id").alias("head_id"), F.col("_head.fingerprint").alias("_print"))
-             .where("doc_id <> head_id").distinct())
-    return pairs.mapInArrow(verify, "doc_id long, head_id long, likeness double").where(F.col("likeness") >= least)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "likeness"])
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().mapInArrow(verify, "doc_id long, fingerprint string, head_id long, _print string, likeness double").where(F.col("likeness") >= least)
+
+    def other(t: DataFrame, *more: str) -> DataFrame:
+        return t.select("band", F.col("doc_id").alias("head_id"), F.col("fingerprint").alias("_print"), *[F.col(c).alias(f"_{c}") for c in more])
+
+    own = prints.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint")
+    first = keep(own.groupBy("fingerprint").agg(F.min("doc_id").alias("head_id")), "firsts")
+    rows = keep(first.select(F.col("head_id").alias("doc_id"), "fingerprint").mapInArrow(cut, "band string, doc_id long, fingerprint string"), "bands")
+    columns = ("doc_id", "fingerprint", "head_id", "_print")
+    least_of = lambda t: F.min(F.struct("doc_id", "fingerprint", *t)).alias("_least")
+    heads = rows.groupBy("band").agg(least_of(())).select("band", "_least.*")
+    found = keep(alike(rows.join(other(heads), "band").where("fingerprint <> _print").select(*columns)), "alike")
+    for k in range(ROUNDS + 1):
+        roots = keep(components(found.select(F.col("fingerprint").alias("u"), F.col("_print").alias("v"))), "roots")
+        placed = (rows.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+                  .select("band", "doc_id", "fingerprint", F.coalesce("root", "fingerprint").alias("root")))
+        main = (placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band")
+                .agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", "main"))
+        mixed = keep(placed.join(main, "band"), "mixed")
+        stray = mixed.where("root <> main")
+        if k < ROUNDS:
+            met = other(stray.groupBy("band").agg(least_of(("root",))).select("band", "_least.*"), "root")
+            pairs = stray.join(met, "band").where("root <> _root")
+        else:
+            pairs = stray.join(other(mixed, "root"), "band").where("root <> _root AND (_root = main OR fingerprint < _print)")
+        found = keep(found.unionByName(alike(pairs.select(*columns))), "alike")
+    copies = own.join(first, "fingerprint").select("doc_id", "head_id", F.lit(1.0).alias("likeness"))
+    linked = found.select(F.greatest("doc_id", "head_id").alias("doc_id"), F.least("doc_id", "head_id").alias("head_id"), "likeness")
+    return copies.unionByName(linked).where("doc_id <> head_id").distinct()

@@ -265,6 +265,29 @@ def test_similar_documents_by_bands(docs):
     assert set(range(201, 230)) <= found
 
 
+def test_similar_reads_whole_walks_and_all_of_a_band(spark):
+    """Long texts edited at their start, and texts behind one common opening, against the likeness of all pairs."""
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("abcdefghij klmnop"), n))
+    opening, found = text(1500), []
+    for _ in range(8):
+        body = text(9000)
+        found += [text(1200) + body, text(1200) + body]
+    for _ in range(8):
+        body = text(9000)
+        found += [opening + body, opening + body[:4000] + "x" + body[4000:]]
+    prints = ee.fingerprints(found)
+    want = {(j, i) for i in range(len(found)) for j in range(i + 1, len(found)) if ee.likeness(prints[i], prints[j]) >= 0.8}
+    assert len(want) >= 10
+    told = ee.similar(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()
+    assert {(r.doc_id, r.head_id) for r in told} == want
+    # one band for all: a head that is unlike the rest hides nothing
+    told = ee.similar(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string"), bands=1, width=1).collect()
+    same = [(r.doc_id, r.head_id) for r in told]
+    keys = [set(ee.band_keys(p, 0.8, 1, 1)) for p in prints]
+    assert set(same) == {(j, i) for j, i in want if keys[i] & keys[j]}
+
+
 def test_empty_tables(empty, spark):
     assert jaccard_join.jaccard_join(empty).count() == 0
     assert exact_dedup.exact_dedup(empty).count() == 0
