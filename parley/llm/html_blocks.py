@@ -13,11 +13,13 @@ Columns other than page_id, url and html are not read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -35,10 +37,11 @@ WIDTH = 2 * TAGS + CLASSES + WORDS + SHAPE
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = frozenset("script style noscript template head title svg iframe object select textarea button".split())
+_HIDDEN = frozenset("script style noscript template title svg iframe object select textarea button".split())
 _RAW = frozenset("script style textarea title".split())
 _BLOCKS = frozenset("html body div p h1 h2 h3 h4 h5 h6 ul ol li table caption thead tbody tfoot tr td th section article main aside nav header "
                     "footer form fieldset legend label blockquote pre figure figcaption dl dt dd hr address details summary center dialog".split())
+_ALONE = frozenset("noscript iframe select button".split())  # hidden elements that cannot stand in one of their own kind
 _ENDS = {"li": ("li", ("ul", "ol")), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",))}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -72,8 +75,9 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked = links = hidden = 0
-    hidden_by, at = "", 0
+    linked = links = at = passed = 0
+    tokens = _tokens(page)
+    ends = _hidden_ends(tokens, len(page))
 
     def flush() -> None:
         nonlocal linked
@@ -84,35 +88,23 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    for k, (start, end, tag, closing, attributes) in enumerate(tokens):
+        if k < passed:
             continue
-        if m.start() > at and not hidden:
-            told = html.unescape(page[at:m.start()])
+        if start > at:
+            told = html.unescape(page[at:start])
             parts.append(told)
             linked += len(told) if links else 0
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        closing = bool(m[1] or m[4])
-        if hidden:
-            hidden += (tag == hidden_by) * (-1 if closing else 1)
-            continue
-        if tag in _HIDDEN:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
-                if tag in _RAW:
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
-                else:
-                    hidden, hidden_by = 1, tag
+        at = end
+        if k in ends:
+            passed, at = ends[k]
         elif tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
             parts.append(" ")
         elif tag == "body" and not closing:
             flush()
-            stack[:] = [(tag, _names(m[3] or m[6] or ""))]
+            stack[:] = [(tag, _names(attributes))]
         elif tag in _BLOCKS:
             flush()
             if closing:
@@ -123,13 +115,70 @@ def blocks(page: str) -> list[Block]:
                 if tag in _ENDS:
                     _end_open(stack, tag)
                 if tag != "hr":
-                    stack.append((tag, _names(m[3] or m[6] or "")))
-    if at < len(page) and not hidden:
+                    stack.append((tag, _names(attributes)))
+    if at < len(page):
         parts.append(html.unescape(page[at:]))
     flush()
     return found
 
 
+def _tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """Start, end, tag ("" for a comment or declaration), whether it closes, attributes. A script and the like is one token
+    up to its end tag, the end of the page where it has none."""
+    out: list[tuple[int, int, str, bool, str]] = []
+    at = 0
+    for m in _TOKEN.finditer(page):
+        if m.start() < at:
+            continue
+        at, tag, closing, attributes = m.end(), (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag in _RAW:
+            if not closing and not attributes.endswith("/"):
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            tag = ""
+        out.append((m.start(), at, tag, closing, attributes))
+    return out
+
+
+def _hidden_ends(tokens: list[tuple[int, int, str, bool, str]], size: int) -> dict[int, tuple[int, int]]:
+    """Hidden elements by the place of their start: the token and the character after which the page goes on.
+
+    One that has its end tag within the element around it ends there. Any other was left open: it ends before the next
+    block start or end, or with the page.
+    """
+    ends: dict[int, tuple[int, int]] = {}
+    unended: list[int] = []
+    opened: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
+    for k, (_, end, tag, closing, attributes) in enumerate(tokens):
+        hides = tag in _HIDDEN
+        if not hides and (tag not in _BLOCKS or tag == "hr") or hides and not closing and attributes.endswith("/"):
+            continue
+        if closing and count[tag]:
+            while True:
+                last, at = opened.pop()
+                count[last] -= 1
+                if last == tag:
+                    break
+                if last in _HIDDEN:
+                    unended.append(at)
+            if hides:
+                ends[at] = (k + 1, end)
+        elif not closing:
+            if count[tag] and tag in _ALONE:
+                i = next(i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == tag)
+                unended.append(opened.pop(i)[1])
+                count[tag] -= 1
+            opened.append((tag, k))
+            count[tag] += 1
+    unended += [at for tag, at in opened if tag in _HIDDEN]
+    going = [k for k, (_, _, tag, _, _) in enumerate(tokens) if tag in _BLOCKS] if unended else []
+    for at in unended:
+        i = bisect.bisect(going, at)
+        ends[at] = (going[i], tokens[going[i]][0]) if i < len(going) else (len(tokens), size)
+    return ends
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()

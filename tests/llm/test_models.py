@@ -111,6 +111,18 @@ def test_blocks_of_a_page():
     assert [b.text for b in hb.blocks("<div>a<p>b<div>c</div>d</div>e<script>x")] == ["a", "b", "c", "d", "e"]
 
 
+def test_hidden_elements_left_open_do_not_hide_the_page():
+    texts = lambda page: [b.text for b in hb.blocks(page)]
+    assert texts("<html><head><title>x</title><body><article><p>a<p>b</article>") == ["a", "b"]
+    assert texts("<head><title>x</title><style>p{}</style><article><p>a</article>") == ["a"]
+    for tag in "button select svg iframe object noscript template".split():
+        assert texts(f"<body><nav><{tag}>x</nav><p>a</p><{tag}>y</{tag}><p>b</p></body>") == ["a", "b"]
+        assert texts(f"<body><{tag}>x<article><p>a</p><p>b</p></article></body>") == ["a", "b"]
+        assert texts(f"<body><p>a <{tag}><div>x</div><p>y</{tag}> b</p><p>c</p>")[-2:] == ["a b", "c"]
+    assert texts("<button>x<p>a</p><button>y</button><p>b</p>") == ["a", "b"]
+    assert texts("<template><div>x<template><p>y</p></template></div>z</template><p>a") == ["a"]
+
+
 def test_article_is_extracted(spark):
     rng = np.random.default_rng(9)
     text = lambda: " ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(int(rng.integers(3, 60)))) + "."
