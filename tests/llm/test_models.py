@@ -123,6 +123,16 @@ def test_hidden_elements_left_open_do_not_hide_the_page():
     assert texts("<template><div>x<template><p>y</p></template></div>z</template><p>a") == ["a"]
 
 
+def test_features_read_whole_blocks():
+    block = lambda text: hb.Block((("body", ()), ("p", ())), text, 0)
+    a, b, c = hb.vectors([block("word " * 600 + end) for end in ("reply " * 300 + "x", "cookie " * 300 + "x", "cookie " * 200 + ", " * 100 + "x")])
+    words = slice(2 * hb.TAGS + hb.CLASSES, -hb.SHAPE)
+    assert not np.allclose(a[words], b[words]) and abs(a[words].sum() - 1) < 1e-5
+    assert c[-hb.SHAPE + 3] > b[-hb.SHAPE + 3] == 0
+    long = [hb.vectors([block("a" * 30 + end)])[0] for end in "bcdefgh"]
+    assert any(not np.allclose(long[0][words], x[words]) for x in long)
+
+
 def test_article_is_extracted(spark):
     rng = np.random.default_rng(9)
     text = lambda: " ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(int(rng.integers(3, 60)))) + "."
