@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import fold, lowest, text_of, texts
+from parley.llm.common import fold, keep, lowest, text_of, texts
 
-#: Fitted on at most so many pages, those whose ids hash lowest, and on blocks up to SPAN of each.
+#: Fitted on at most so many pages that name the article, those whose ids hash lowest, and on blocks up to SPAN of each.
 SAMPLE, SPAN, UNITS, EPOCHS, BATCH, RATE = 300, 64, 16, 10, 48, 0.01
 TAGS, CLASSES, WORDS, SHAPE = 48, 96, 32, 10
 WIDTH = 2 * TAGS + CLASSES + WORDS + SHAPE
@@ -402,9 +402,14 @@ def _states(net: Labeller, way: int, x: np.ndarray) -> np.ndarray:
 
 
 def sample(pages: DataFrame) -> list[str]:
-    """At most SAMPLE pages, those whose ids hash lowest."""
-    known = pages.select(F.col("page_id").alias("doc_id"), "html").where("doc_id IS NOT NULL AND html IS NOT NULL")
-    chosen = lowest(known.select("doc_id").withColumn("_g", fold(1)), "_g", SAMPLE, "pages").select("doc_id").distinct()
+    """At most SAMPLE pages whose markup names the article, those whose ids hash lowest."""
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in texts(batches, 1024, 4_000_000):
+            yield batch.filter(pa.array([any(map(named_content, blocks(h))) for h in batch.column(1).to_pylist()])).select(["doc_id"])
+
+    known = (pages.select(F.col("page_id").cast("long").alias("doc_id"), F.col("html").cast("string").alias("html"))
+             .where(F.col("doc_id").isNotNull() & F.col("html").rlike("(?i)article|main")))  # other pages name none
+    chosen = lowest(keep(known.mapInArrow(named, "doc_id long"), "named").withColumn("_g", fold(1)), "_g", SAMPLE, "pages").select("doc_id").distinct()
     rows = known.join(F.broadcast(chosen), "doc_id").collect()
     return [r["html"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["html"]))][:2 * SAMPLE]
 

@@ -133,6 +133,12 @@ def test_features_read_whole_blocks():
     assert any(not np.allclose(long[0][words], x[words]) for x in long)
 
 
+def test_sample_counts_pages_to_learn_from(spark):
+    page = lambda i: f"<article><p>named {i}" if i % 100 == 0 else f"<div class=post><p>the main article {i}"
+    seen = spark.createDataFrame([(i, page(i)) for i in range(3000)], "page_id long, html string")
+    assert sorted(hb.sample(seen)) == sorted(page(i) for i in range(0, 3000, 100))
+
+
 def test_article_is_extracted(spark):
     rng = np.random.default_rng(9)
     text = lambda: " ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(int(rng.integers(3, 60)))) + "."
