@@ -40,7 +40,7 @@ COUNTED, CELLS, COMMON = int(0.4 * 2 ** 64), 1 << 22, 32
 _GRAIN, LIGHTEST = COUNTED >> 40, 16
 #: Sets compared with one head in a task, and sets of a list's largest component that one outside it is tried with first.
 CHUNK, TRIES = 500, 6
-SETS = "doc_id long, n int, name binary, sketch binary, bits array<long>"
+SETS = "doc_id long, place long, n int, name binary, sketch binary, bits array<long>"
 
 
 def overlap(m: int, n: int) -> int:
@@ -69,22 +69,27 @@ def boundary(sizes: dict[int, int]) -> int:
 
 
 def sized_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, name, sketch of every row's set."""
+    """doc_id, place, n, name, sketch of every row's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts(batches, 8192, 1_000_000):
-            found = shingles.sets(batch.column(1))
+            found = shingles.sets(batch.column(2))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array(shingles.set_ids(found), pa.binary()),
+                batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int32()), pa.array(shingles.set_ids(found), pa.binary()),
                 pa.array([shingles.parity(x) for x in found], pa.binary()),
-                pa.array([shingles.short_parity(x) for x in found], pa.list_(pa.int64()))], names=["doc_id", "n", "name", "sketch", "bits"])
+                pa.array([shingles.short_parity(x) for x in found], pa.list_(pa.int64()))], names=["doc_id", "place", "n", "name", "sketch", "bits"])
 
-    return _narrow(docs).mapInArrow(run, SETS)
+    return _narrow(docs).select("doc_id", _place(), "text").mapInArrow(run, SETS)
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
 
 
+def _place() -> Column:
+    """Where a row's text is found again: its id, or a hash of the text where that is null."""
+    return F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("place")
+
+
 def common_cells(docs: DataFrame, rows: int) -> np.ndarray:
     """The count sketch: per cell of the counted hash range, log2 of the count of its commonest shingle (0: rare).
 
@@ -212,8 +217,9 @@ def _compare(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     chunks = left.groupBy("a").agg((F.floor(F.count(F.lit(1)) / CHUNK) + 1).cast("int").alias("chunks"))
     members = left.join(chunks, "a").select("a", F.col("b").alias("name"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
     heads = chunks.select("a", F.col("a").alias("name"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
-    wanted = keep(members.unionByName(heads).join(reps.select("name", "doc_id"), "name"), "wanted")
-    found = wanted.join(maybe_in(_narrow(docs), F.col("doc_id"), wanted.select("doc_id"), "doc_id"), "doc_id")
+    wanted = keep(members.unionByName(heads).join(reps.select("name", "place"), "name"), "wanted")
+    placed = _narrow(docs).select(_place(), "text")
+    found = wanted.join(maybe_in(placed, F.col("place"), wanted.select("place"), "place"), "place")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, current = (None, None), None
@@ -222,7 +228,7 @@ def _compare(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
             links: list[tuple[bytes, bytes]] = []
             for a, chunk, role, name, x, own in zip(batch.column("a").to_pylist(), batch.column("chunk").to_pylist(), batch.column("role").to_pylist(),
                                                     batch.column("name").to_pylist(), sets, shingles.set_ids(sets)):
-                if own != name:  # another text under the same id
+                if own != name:  # another text under the same id or place
                     continue
                 if role == 0:
                     head, current = (a, chunk), x
@@ -240,7 +246,7 @@ def _compare(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct sets with one row's id each, and links (u, v) between them that make up all components."""
-    reps = keep(sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "sketch", "bits")]), "sets")
+    reps = keep(sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("place")).alias("place"), *[F.first(c).alias(c) for c in ("n", "sketch", "bits")]), "sets")
     sizes = {r["n"]: r["c"] for r in reps.groupBy(F.least("n", F.lit(4 * LIGHTEST)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     light = boundary(sizes)
     cells = common_cells(docs, sum(sizes.values()))

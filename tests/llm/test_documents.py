@@ -67,6 +67,20 @@ def test_jaccard_join(docs, rows, light, monkeypatch):
     assert all(want[r.doc_id] == (r.n_shingles, r.component_id) for r in told)
 
 
+def test_near_copies_without_an_id_link(spark):
+    """Null-id texts that no row with an id has: as near copies of one, and as the middle of a chain."""
+    rnd = random.Random(3)
+    words = [f"v{rnd.randrange(10 ** 6)}" for _ in range(90)]
+    chain = [" ".join(words[k:k + 60]) for k in (0, 5, 10, 15)]
+    rows = [(5, chain[0]), (None, chain[1]), (None, chain[2]), (9, chain[3]), (None, "alone " * 3), (None, None), (None, "")]
+    want = {t or "": c for (_, t), c in zip([(i, t) for i, t in rows], [5, 5, 5, 5, None, None, None])}
+    plain = linked_components([(k, t) for k, (_, t) in enumerate(rows)])
+    assert [plain[k][1] for k in range(4)] == [0] * 4
+    told = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(told) == len(rows)
+    assert sorted((r.n_shingles, str(r.doc_id), str(r.component_id)) for r in told) == sorted((plain[k][0], str(i), str(want[t or ""])) for k, (i, t) in enumerate(rows))
+
+
 def test_light_boundary_follows_cost():
     assert jaccard_join.boundary({100: 50}) == 0
     assert jaccard_join.boundary({1: 1000, 2: 1000, 300: 5}) >= 2
