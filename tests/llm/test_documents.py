@@ -93,11 +93,13 @@ def test_near_copies_leave_one(docs, odd):
 
 
 def test_tokens_are_those_of_the_tokenizer(rows, spark):
-    plain = Tokenizer.from_file(tokens.VOCABULARY)
+    own, plain = Tokenizer.from_file(tokens.VOCABULARY), Tokenizer.from_file(tokens.VOCABULARY)
     plain.encode_special_tokens = True
     given = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     for t in [t or "" for _, t, *_ in rows] + given + ["a" * 3000, "x\x85y \x1c z", "don't  stop\n\n\n  now"]:
-        assert tokens.ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert tokens.ids(t).tolist() == own.encode(t, add_special_tokens=False).ids
+        assert tokens.plain_ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert tokens.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
 
 def test_packing(docs, rows):
