@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.llm import mixing, sharding
+from parley.llm import importance, mixing, sharding, warc
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,4 +71,32 @@ SELECT s.doc_id, s.size, CAST(s.text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS
  row_number() OVER (PARTITION BY d.shard ORDER BY s.virtual_slot, s.doc_id, s.text_crc32, s.size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard,
  CAST(s.virtual_slot AS INTEGER) AS virtual_slot FROM sums s JOIN dealt d ON d.virtual_slot = s.virtual_slot"""
 
-ORACLES = {"op1_jaccard_join": JACCARD, "op5_exact_dedup": DEDUP, "op6_mixing": MIXING, "op9_sharding": SHARDING}
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{importance.WORD}')"
+IMPORTANCE = rf"""WITH crc_table AS (SELECT list(list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+ FROM (SELECT unnest(range(256)) AS n) x),
+raw AS (SELECT doc_id, row_number() OVER () AS line, {_WORDS} AS w FROM documents),
+told AS (SELECT line, unnest(w) AS word FROM raw), wanted AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+vocabulary AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM (SELECT word FROM told UNION SELECT word FROM wanted) x),
+bucketed AS (SELECT word, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+ lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % {importance.BUCKETS} AS bucket FROM vocabulary CROSS JOIN crc_table),
+s AS (SELECT bucket, count(*) AS n FROM told JOIN bucketed USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM wanted JOIN bucketed USING (word) GROUP BY bucket),
+sums AS (SELECT CAST((SELECT count(*) FROM told) AS DOUBLE) AS all_s, CAST((SELECT count(*) FROM wanted) AS DOUBLE) AS all_t),
+gains AS (SELECT s.bucket, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * (all_s + {importance.BUCKETS}) / (CAST(s.n + 1 AS DOUBLE) * (all_t + {importance.BUCKETS})))) AS BIGINT) AS gain
+ FROM s LEFT JOIN t ON t.bucket = s.bucket CROSS JOIN sums),
+weights AS (SELECT line, CAST(sum(gain) AS BIGINT) AS weight FROM told JOIN bucketed USING (word) JOIN gains USING (bucket) GROUP BY line),
+scored AS (SELECT doc_id, raw.line, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+ (CAST(CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM raw LEFT JOIN weights USING (line)),
+placed AS (SELECT line, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= {importance.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {importance.PERCENT} * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (line)"""
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS size,
+ sha1(coalesce(html, '')) AS h, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS place,
+ max(page_id) OVER (PARTITION BY coalesce(html, '')) AS lead FROM pages),
+d AS (SELECT *, place > 1 AND size >= {warc.LEAST_BYTES} AS again FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+ lambda s: substr('{_BASE32}', CAST((CAST('0x' || substr(h, 5 * CAST(i AS INTEGER) + 1, 5) AS BIGINT) >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+ CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN lead END AS refers_to FROM d"""
+
+ORACLES = {"op1_jaccard_join": JACCARD, "op5_exact_dedup": DEDUP, "op6_mixing": MIXING, "op9_sharding": SHARDING,
+           "op11_importance": IMPORTANCE, "op12_warc": WARC}

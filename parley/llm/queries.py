@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import edit_embedding, exact_dedup, html_blocks, jaccard_join, langid, mixing, oracle, packing, pii, sharding, toxicity
+from parley.llm import (alignment, edit_embedding, exact_dedup, html_blocks, importance, jaccard_join, langid, mixing, oracle, packing, pii,
+                        sharding, toxicity, warc)
 from parley.llm.common import configure, fold
 
 
@@ -66,6 +67,21 @@ def op10_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return html_blocks.extract(_table(spark, folder, "pages"))
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight and rank of every document for a draw towards the benchmark."""
+    return importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as its WARC record tells it, written and read back."""
+    return warc.archive(_table(spark, folder, "pages"))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between the tokens of two vocabularies in every document."""
+    return alignment.align(_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of corpus_pipeline."""
     import corpus_pipeline  # it imports this subpackage
@@ -75,7 +91,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_jaccard_join, op2_packing, op3_language_id, op4_toxicity, op5_exact_dedup, op6_mixing, op7_pii, op8_edit_embedding,
-    op9_sharding, op10_html_blocks, pipeline)}
+    op9_sharding, op10_html_blocks, op11_importance, op12_warc, op13_alignment, pipeline)}
 
 #: Checking SQL of the queries that SQL can express; tests/llm holds the others against brute force.
 ORACLES: dict[str, str] = oracle.ORACLES
