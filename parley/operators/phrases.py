@@ -4,7 +4,8 @@ One primitive serves document frequency, attestation, mining, span lookup and re
 position becomes a window of at most `max_n` tokens, windows are matched on their head (the first
 one to four tokens) against the heads of the wanted phrases, and only matching windows are expanded
 to the lengths wanted for that head. Texts never shuffle before that filter unless the phrase set
-is too large to broadcast.
+is too large to broadcast. Given a stored index in place of the catalogue, document frequency and hits
+are read from it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from parley import fixed
 from parley.functions import text as tx
 from parley.operators import catalogue as cat
+from parley.operators.index import PhraseIndex
 from parley.plans import scale
 from parley.settings import DEFAULTS, Settings
 
@@ -103,7 +105,7 @@ def only(rows: DataFrame, table: DataFrame, cfg: Settings = DEFAULTS) -> DataFra
                      "phrase", "left_semi")
 
 
-def document_frequency(indexed: DataFrame, phrases: DataFrame, min_n: int = 1, cfg: Settings = DEFAULTS) -> DataFrame:
+def document_frequency(indexed: DataFrame | PhraseIndex, phrases: DataFrame, min_n: int = 1, cfg: Settings = DEFAULTS) -> DataFrame:
     """(phrase, n, df) for every distinct phrase; df counts items holding it inside one field, capped.
 
     Phrases may be of any length: windows are as wide as the longest of them.
@@ -111,6 +113,8 @@ def document_frequency(indexed: DataFrame, phrases: DataFrame, min_n: int = 1, c
     An item contributes a phrase once: duplicates collapse inside the task that read the item, so the
     count shuffles one partial row per phrase and task, however common the phrase is.
     """
+    if isinstance(indexed, PhraseIndex):
+        return indexed.document_frequency(phrases, cfg)
     table = scale.keep(phrase_table(phrases, cfg))
     max_n = longest(table)
     found = (occurrences(item_windows(indexed, max_n), table, head_sizes(min_n, max_n, cfg), cfg)
@@ -121,8 +125,10 @@ def document_frequency(indexed: DataFrame, phrases: DataFrame, min_n: int = 1, c
         "phrase", "n", F.least(F.coalesce("found", F.lit(0)), F.lit(cfg.df_cap + 1)).cast("bigint").alias("df"))
 
 
-def phrase_hits(indexed: DataFrame, phrases: DataFrame, min_n: int = 1, cfg: Settings = DEFAULTS) -> DataFrame:
+def phrase_hits(indexed: DataFrame | PhraseIndex, phrases: DataFrame, min_n: int = 1, cfg: Settings = DEFAULTS) -> DataFrame:
     """(phrase, item, freq, len, pop): weighted in-field count; 0 when only the blob spans it."""
+    if isinstance(indexed, PhraseIndex):
+        return indexed.hits(phrases)
     table = scale.keep(phrase_table(phrases, cfg))
     max_n = longest(table)
     found = occurrences(item_windows(indexed, max_n, across_fields=True), table,

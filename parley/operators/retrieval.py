@@ -5,9 +5,9 @@ Inputs
   hits      (phrase, item_id, freq, len, pop) from `phrases.phrase_hits`
 
 Phrases at or below `strong_df` have short item lists and are joined per query. The common phrases of
-a query ("broad" ones) may match a third of the catalogue, so they are never expanded per query: queries
-that share the same broad phrases share one scored list, of which a query reads only the head it can
-need. That is exact, see `_candidates`.
+a query ("broad" ones) may match a third of the catalogue, so they are never expanded: queries that share
+the same broad phrases share one merged head, read from the phrases' lists only as deep as it takes
+(`topn.bounded_search`). That is exact, see `_candidates`.
 """
 
 from __future__ import annotations
@@ -19,30 +19,27 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.operators import catalogue as cat
+from parley.operators import topn
+from parley.operators.index import PhraseIndex
 from parley.plans import scale
 from parley.settings import DEFAULTS, Settings
 
 RUNG_OR, RUNG_OR8 = 100, 200
 
 
-def allow_limit(df: DataFrame, n: int) -> None:
-    """Let the planner prune `row_number() <= n` before the shuffle for limits of this size."""
-    conf = df.sparkSession.conf
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(conf.get(key, "1000")) < n:
-        conf.set(key, str(n))
-
-
 def top(df: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rk") -> DataFrame:
     """First n rows per key with their rank; each task drops what cannot be among them before shuffling."""
-    allow_limit(df, n)
+    scale.allow_limit(df.sparkSession, n)
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 
 
-def scored_hits(hits: DataFrame, indexed: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+def scored_hits(hits: DataFrame, indexed: DataFrame | PhraseIndex, cfg: Settings = DEFAULTS) -> DataFrame:
     """Adds the BM25 contribution `s` of every (phrase, item); 0 where the phrase only spans fields."""
-    stats = indexed.agg(F.count("*").alias("n"), F.avg(F.size(cat.all_tokens())).alias("mean"))
+    if isinstance(indexed, PhraseIndex):
+        stats = indexed.stats.select(F.col("n_items").alias("n"), F.col("mean_len").alias("mean"))
+    else:
+        stats = indexed.agg(F.count("*").alias("n"), F.avg(F.size(cat.all_tokens())).alias("mean"))
     seen = hits.groupBy("phrase").agg(F.count_if(F.col("freq") > 0).alias("seen"))
     rows = hits.join(scale.broadcast_checked(seen, cfg.broadcast_rows), "phrase")
     n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
@@ -66,17 +63,9 @@ def weight(phrase: Column, df: Column, tier: Column, cfg: Settings = DEFAULTS) -
     return base / F.pow(1.0 + df, F.lit(cfg.df_power))
 
 
-def bm25_search(scored: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+def bm25_search(scored: DataFrame, queries: DataFrame, n: int, cfg: Settings = DEFAULTS) -> DataFrame:
     """Top n items per query over any of its phrases."""
-    total = (queries.select("query_id", "phrase").distinct()
-             .join(scored.filter("s > 0").select("phrase", "item_id", "s"), "phrase")
-             .groupBy("query_id", "item_id").agg(F.sum("s").alias("raw")))
-    rows = total.select("query_id", "item_id", F.round("raw", cfg_digits()).alias("score"))
-    return top(rows, ["query_id"], [F.desc("score"), F.asc("item_id")], n)
-
-
-def cfg_digits() -> int:
-    return DEFAULTS.score_digits
+    return topn.bounded_search(topn.impact_lists(scored, cfg), queries, n, cfg)
 
 
 def distinct_queries(evidence: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -202,21 +191,23 @@ def rung_or(matches: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     return top(rows, ["query_id"], [F.desc("score"), F.asc("item_id")], cfg.pool)
 
 
-def broad_lists(marked: DataFrame, scored: DataFrame, cfg: Settings = DEFAULTS):
-    """(query -> broad set) and (broad set, item) -> score, coverage, popularity, rank in the set."""
+def broad_sets(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query -> set of broad phrases) and the members of every distinct set with their weights."""
     sets = marked.filter("broad").groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("phrase", "tier", "w"))).alias("members"))
     key = F.sha2(F.array_join(F.transform("members", lambda m: F.concat_ws(
         "|", m["phrase"], m["tier"], m["w"].cast("string"))), ";"), 256)
     sets = scale.keep(sets.withColumn("digest", key))
-    sets = sets.join(scale.dense_ids(sets, "digest", "set_id"), "digest").drop("digest")
+    sets = scale.keep(sets.join(scale.dense_ids(sets, "digest", "set_id"), "digest").drop("digest"))
     members = sets.groupBy("set_id").agg(F.any_value("members").alias("members")).select(
         "set_id", F.inline("members"))
-    lists = (members.select("set_id", "phrase", "w")
-             .join(scored.select("phrase", "item_id", "s", "pop"), "phrase")
-             .groupBy("set_id", "item_id").agg(F.sum("s").alias("bs"), F.sum("w").alias("bcov"),
-                                               F.max("pop").alias("bpop")))
-    return sets.select("query_id", "set_id"), lists
+    return sets.select("query_id", "set_id"), scale.keep(members.select("set_id", "phrase", "w"))
+
+
+def broad_parts(pairs: DataFrame, members: DataFrame, scored: DataFrame) -> DataFrame:
+    """(set, item) pairs -> score and coverage that the set's phrases give the item, and its popularity."""
+    return (pairs.join(members, "set_id").join(scored.select("phrase", "item_id", "s", "pop"), ["phrase", "item_id"])
+            .groupBy("set_id", "item_id").agg(F.sum("s").alias("bs"), F.sum("w").alias("bcov"), F.max("pop").alias("bpop")))
 
 
 def _candidates(marked: DataFrame, matches: DataFrame, scored: DataFrame,
@@ -226,31 +217,35 @@ def _candidates(marked: DataFrame, matches: DataFrame, scored: DataFrame,
 
     Scores add up over phrases, so an item without any strong phrase is ordered by its broad score
     alone. Its place in the query's list is at least its place among the set's items minus the number
-    of items with strong phrases. Reading the first pool + n_strong entries of the shared list is
-    therefore enough to fill the pool; strong items get their broad part by an equi-join. A query thus
-    has at most pool + 2 * strong_phrases * strong_df rows. Everything after the one shuffle by query
-    stays in place.
+    of items with strong phrases. The first pool + n_strong items of the shared set are therefore
+    enough to fill the pool; what the set's phrases give to those and to strong items is looked up by
+    an equi-join on phrase and item. A query thus has at most pool + 2 * strong_phrases * strong_df
+    rows. Everything after the one shuffle by query stays in place.
     """
-    per_query, lists = broad_lists(marked, scored, cfg)
-    lists = scale.keep(lists)
-    depth = cfg.pool + cfg.strong_phrases * cfg.strong_df
-    ranked = top(lists.filter("bs > 0").withColumn("bsr", F.round("bs", cfg.score_digits)),
-                 ["set_id"], [F.desc("bsr"), F.asc("item_id")], depth)
-    strong8 = _score_at(F.lit(cfg.or_phrases), cfg)
+    per_query, members = broad_sets(marked)
     stops = backoff_stops(matched(matches), marked, cfg)
     zero, none = F.lit(0.0), F.lit(0)
+    reach = scale.keep(per_query.join(stops.select("query_id", "n_strong"), "query_id", "left").select(
+        "query_id", "set_id", (F.coalesce("n_strong", none) + cfg.pool).alias("reach")))
+    depth = reach.groupBy("set_id").agg(F.max("reach").alias("depth"))
+    lists = topn.impact_lists(scored.join(members.select("phrase").distinct(), "phrase", "left_semi"), cfg)
+    asked = members.join(depth, "set_id").select(F.col("set_id").alias("query_id"), "phrase", "depth")
+    ranked = scale.keep(topn.bounded_search(lists, asked, F.col("depth"), cfg).select(
+        F.col("query_id").alias("set_id"), "item_id", "rk"))
+    strong8 = _score_at(F.lit(cfg.or_phrases), cfg)
     strong = (matches.join(stops.select("query_id", "stop"), "query_id", "left")
-              .join(per_query, "query_id", "left")
-              .join(lists.select("set_id", "item_id", "bs", "bcov"), ["set_id", "item_id"], "left"))
-    strong = strong.select(
+              .join(per_query, "query_id", "left"))
+    pairs = (ranked.select("set_id", "item_id").unionByName(strong.filter("set_id is not null").select("set_id", "item_id"))
+             .distinct())
+    parts = scale.keep(broad_parts(pairs, members, scored))
+    strong = strong.join(parts.select("set_id", "item_id", "bs", "bcov"), ["set_id", "item_id"], "left").select(
         "query_id", "item_id", "total", "prefix",
         F.round(_score_at(F.coalesce("stop", none), cfg), cfg.score_digits).alias("at_stop"),
         F.round(_score_at(F.col("prefix"), cfg), cfg.score_digits).alias("at_prefix"),
         strong8.alias("s8"), F.coalesce("bs", zero).alias("bs"), F.col("cov").alias("scov"),
         F.coalesce("bcov", zero).alias("bcov"), "pop")
-    reach = per_query.join(stops.select("query_id", "n_strong"), "query_id", "left").select(
-        "query_id", "set_id", (F.coalesce("n_strong", none) + cfg.pool).alias("reach"))
-    broad = (reach.join(ranked, "set_id").filter(F.col("rk") <= F.col("reach"))
+    heads = ranked.join(parts, ["set_id", "item_id"])
+    broad = (reach.join(heads, "set_id").filter(F.col("rk") <= F.col("reach"))
              .select("query_id", "item_id", zero.alias("total"), none.alias("prefix"), zero.alias("at_stop"),
                      zero.alias("at_prefix"), zero.alias("s8"), "bs", zero.alias("scov"), "bcov",
                      F.col("bpop").alias("pop")))
@@ -272,7 +267,7 @@ def rung_or8(marked: DataFrame, matches: DataFrame, scored: DataFrame,
     return top(rows, ["query_id"], [F.desc("score"), F.asc("item_id")], cfg.pool)
 
 
-def rung_bag(messages: DataFrame, indexed: DataFrame, n: int | None = None,
+def rung_bag(messages: DataFrame, indexed: DataFrame | PhraseIndex, n: int | None = None,
              cfg: Settings = DEFAULTS) -> DataFrame:
     """(query_id, user_message) -> items holding any of the first distinct content words."""
     from parley.operators import phrases as ph

@@ -58,6 +58,13 @@ def drop_kept(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def allow_limit(spark: SparkSession, n: int) -> None:
+    """Let the planner prune `rank <= n` windows before the shuffle for limits of this size."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(key, "1000")) < n:
+        spark.conf.set(key, str(n))
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], slice_of: Column,
             sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sums per key that never bring a whole key into one task.

@@ -25,7 +25,7 @@ def configure(spark: SparkSession) -> SparkSession:
 def local(cores: str = "8", partitions: str = "8") -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("parley")
-               .config("spark.ui.enabled", "false").config("spark.driver.memory", "16g")
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
                .config("spark.sql.shuffle.partitions", partitions))
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -61,6 +61,9 @@ class Settings:
     # scale
     broadcast_rows: int = 200_000
     broadcast_bytes: int = 64_000_000
+    part_places: int = 1_000_000
+    impact_steps: int = 4
+    impact_levels: int = 40
 
 
 DEFAULTS = Settings()
