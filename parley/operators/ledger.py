@@ -13,6 +13,7 @@ from parley import fixed
 from parley.functions import messages as ms
 from parley.functions import text as tx
 from parley.operators import mining, phrases as ph
+from parley.operators.index import PhraseIndex
 from parley.plans import scale
 from parley.settings import DEFAULTS, Settings
 
@@ -64,7 +65,7 @@ def template_candidates(texts: DataFrame, cfg: Settings = DEFAULTS, key: str = "
     return staged.select(key, F.inline(rows)).filter(F.col("phrase") != "")
 
 
-def text_evidence(messages: DataFrame, indexed: DataFrame, categories: DataFrame | None = None,
+def text_evidence(messages: DataFrame, indexed: DataFrame | PhraseIndex, categories: DataFrame | None = None,
                   attributes: DataFrame | None = None, proposals: DataFrame | None = None,
                   cleaned: DataFrame | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
     """One row per distinct message text: its flags and its evidence in order.
@@ -219,7 +220,7 @@ def last_good(rankings: DataFrame) -> DataFrame:
     return rankings.select("session_id", "turn", F.last(value, ignorenulls=True).over(w).alias("ranked"))
 
 
-def add_recovered(evidence: DataFrame, recovered: DataFrame, indexed: DataFrame,
+def add_recovered(evidence: DataFrame, recovered: DataFrame, indexed: DataFrame | PhraseIndex,
                   proposals: DataFrame | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
     """Rescue answers join the ledger after everything their turn said, at tier `sem`."""
     rows = recovered.select("session_id", "turn", (F.col("i") + F.lit(LATE + GROUP)).alias("seq"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.operators import phrases as ph
+from parley.operators.index import PhraseIndex
 from parley.plans import scale
 from parley.settings import DEFAULTS, Settings
 
@@ -24,7 +25,7 @@ def _greedy(hits: Column) -> Column:
         lambda acc: acc["out"])
 
 
-def mine(messages: DataFrame, indexed: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+def mine(messages: DataFrame, indexed: DataFrame | PhraseIndex, cfg: Settings = DEFAULTS) -> DataFrame:
     """(text_id, user_message, picks): greedy longest-match segmentation of every distinct message text.
 
     At each position the longest n-gram with 0 < df <= cap is taken and its tokens are consumed. Repeated texts are mined

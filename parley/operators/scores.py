@@ -6,12 +6,13 @@ lexical test did not settle should be sent to it, so filter first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley import fixed
 from parley.functions import text as tx
 from parley.operators import phrases as ph
+from parley.plans import scale
 from parley.settings import DEFAULTS, Settings
 
 
@@ -93,8 +94,8 @@ def rescue_eligible(states: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
 
 
 def transcripts(messages: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """One text per session, a line per turn; every message is in it."""
-    line = F.concat(F.lit("Turn "), F.col("turn").cast("string"), F.lit(", shopper: "), F.col("user_message"))
+    """One text per session, a line per turn; every message is in it, a null one as an empty line."""
+    line = F.concat(F.lit("Turn "), F.col("turn").cast("string"), F.lit(", shopper: "), F.coalesce("user_message", F.lit("")))
     lines = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))
     return messages.groupBy("session_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
 
@@ -104,14 +105,18 @@ def request_cache(requests: DataFrame) -> DataFrame:
 
     A request is a hit when an earlier one with the same body succeeded; failures are never kept.
     """
-    keyed = requests.select(F.sha2("body", 256).alias("request_key"), "request_order", "ok")
-    first = keyed.groupBy("request_key").agg(
-        F.count("*").alias("n_requests"),
-        F.min(F.when(F.col("ok"), F.col("request_order"))).alias("first_success"))
-    # misses before the first success are counted per key on partial sums, so a hot body is no hot task
-    before = (keyed.join(first.select("request_key", "first_success"), "request_key")
-              .filter(F.col("first_success").isNull() | (F.col("request_order") <= F.col("first_success")))
-              .groupBy("request_key").agg(F.count("*").alias("n_calls")))
-    return first.join(before, "request_key").select(
+    keyed = scale.by_range(requests.select(F.sha2("body", 256).alias("request_key"), "request_order", "ok"), ["request_order"])
+    # a body's requests are summed up by ranges of the order: how many, the first success, how many up to it
+    own = Window.partitionBy("request_key", "_range")
+    success = F.min(F.when(F.col("ok"), F.col("request_order"))).over(own)
+    ranges = (keyed.withColumn("first", success).groupBy("request_key", "_range", "first").agg(
+        F.count("*").alias("n"), F.count_if(F.col("request_order") <= F.col("first")).alias("upto")))
+    # one row a range and body: whole ranges before the first success count, then what is up to it
+    body = Window.partitionBy("request_key")
+    found = ranges.withColumn("found", F.min(F.when(F.col("first").isNotNull(), F.col("_range"))).over(body))
+    calls = (F.when(F.col("found").isNull() | (F.col("_range") < F.col("found")), F.col("n"))
+             .when(F.col("_range") == F.col("found"), F.col("upto")).otherwise(0))
+    whole = found.groupBy("request_key").agg(F.sum("n").alias("n_requests"), F.sum(calls).alias("n_calls"), F.min("first").alias("first_success"))
+    return whole.select(
         "request_key", "n_requests", "n_calls", (F.col("n_requests") - F.col("n_calls")).alias("n_hits"),
         "first_success")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.operators import catalogue as cat
+from parley.operators import index as ix
 from parley.operators import ledger as lg
 from parley.operators import phrases as ph
 from parley.operators import questions as qs
@@ -28,9 +29,12 @@ class Ledger:
 def build_ledger(messages: DataFrame, items: DataFrame, spans: bool = True,
                  proposals: DataFrame | None = None, cleaned: DataFrame | None = None,
                  acts: DataFrame | None = None, recovered: DataFrame | None = None,
-                 cfg: Settings = DEFAULTS) -> Ledger:
-    """Evidence ledger of every session. `recovered` holds (session_id, turn, i, phrase) of rescue answers."""
-    indexed = cat.index_fields(items)
+                 index: ix.PhraseIndex | None = None, cfg: Settings = DEFAULTS) -> Ledger:
+    """Evidence ledger of every session. `recovered` holds (session_id, turn, i, phrase) of rescue answers.
+
+    With a stored `index` of the items no phrase is looked for in the catalogue itself.
+    """
+    indexed = index or cat.index_fields(items)
     cats = attrs = None
     if spans:
         cats = cat.category_vocabulary(items, cfg)
@@ -52,7 +56,7 @@ class Retrieval:
     pool: DataFrame       # query_id, item_id, rung, score, pos, cov, pop
 
 
-def retrieve(evidence: DataFrame, keys: list[str], indexed: DataFrame, cfg: Settings = DEFAULTS) -> Retrieval:
+def retrieve(evidence: DataFrame, keys: list[str], indexed: DataFrame | ix.PhraseIndex, cfg: Settings = DEFAULTS) -> Retrieval:
     """Candidate pool of every distinct evidence state found under `keys`."""
     links, queries = rt.distinct_queries(rt.rank_evidence(evidence, keys), keys)
     queries = scale.keep(queries)
@@ -70,15 +74,15 @@ def states_by_turn(evidence: DataFrame) -> DataFrame:
         "version", F.explode(F.filter("versions", lambda v: v >= F.col("turn")))).drop("versions")
 
 
-def with_titles(found: Retrieval, indexed: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+def with_titles(found: Retrieval, indexed: DataFrame | ix.PhraseIndex, cfg: Settings = DEFAULTS) -> DataFrame:
     """The pool with column `title`: the weight of the evidence that an item's title covers."""
     weighed = found.queries.withColumn("w", rt.weight(F.col("phrase"), F.col("df"), F.col("tier"), cfg))
     pool = scale.keep(found.pool)
-    bonus = rk.title_bonus(pool, weighed, cat.blobs(indexed))
+    bonus = rk.title_bonus(pool, weighed, cat.blobs(ix.fields_of(indexed)))
     return pool.join(bonus, ["query_id", "item_id"], "left").withColumn("title", F.coalesce("title", F.lit(0.0)))
 
 
-def population_weights(ledger: Ledger, arrivals: DataFrame, indexed: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+def population_weights(ledger: Ledger, arrivals: DataFrame, indexed: DataFrame | ix.PhraseIndex, cfg: Settings = DEFAULTS) -> DataFrame:
     """(session_id, w_pop): the popularity weight in force when a session is ranked.
 
     `arrivals` holds (session_id, arrival) of every session. A session is observed at its first turn from `pop_turn` on that
@@ -95,17 +99,18 @@ def population_weights(ledger: Ledger, arrivals: DataFrame, indexed: DataFrame,
 
 
 def top_items(messages: DataFrame, items: DataFrame, cfg: Settings = DEFAULTS, profiles: DataFrame | None = None,
-              arrivals: DataFrame | None = None, ledger: Ledger | None = None, **models: DataFrame | None) -> DataFrame:
-    """Flagship: final top-k items of every session.
+              arrivals: DataFrame | None = None, ledger: Ledger | None = None, index: ix.PhraseIndex | None = None,
+              **models: DataFrame | None) -> DataFrame:
+    """Flagship: final top-k items of every session. An `index` of the items is built where none is given.
 
     `profiles` (session_id, tags) serve `w_profile`; `arrivals` (session_id, arrival) turn the popularity calibration on;
     `models` (acts, cleaned, proposals, recovered) go to the ledger.
     """
-    indexed = scale.keep(cat.index_fields(items))
-    ledger = ledger or build_ledger(messages, items, cfg=cfg, **models)
-    found = retrieve(ledger.evidence, ["session_id"], indexed, cfg)
-    max_pop = indexed.agg(F.max("pop").alias("m")).scalar()
-    pool = with_titles(found, indexed, cfg) if cfg.w_title else found.pool
+    index = index or ix.build_index(cat.index_fields(items), cfg=cfg)
+    ledger = ledger or build_ledger(messages, items, index=index, cfg=cfg, **models)
+    found = retrieve(ledger.evidence, ["session_id"], index, cfg)
+    max_pop = index.stats.select("max_pop").scalar()
+    pool = with_titles(found, index, cfg) if cfg.w_title else found.pool
     if arrivals is None and not cfg.w_profile:  # equal evidence states rank alike
         ranked = rk.rank_items(pool, max_pop, cfg=cfg)
         return found.links.join(ranked, "query_id").select("session_id", "item_id", "rank", "rank_score")
@@ -115,28 +120,29 @@ def top_items(messages: DataFrame, items: DataFrame, cfg: Settings = DEFAULTS, p
             raise ValueError("w_profile is set, but no profiles are given")
         rows = scale.keep(rows)
         share = rk.profile_overlap(rows.select(F.col("session_id").alias("query_id"), "item_id"),
-                                   profiles.select(F.col("session_id").alias("query_id"), "tags"), cat.blobs(indexed))
+                                   profiles.select(F.col("session_id").alias("query_id"), "tags"), cat.blobs(index.fields))
         share = share.select(F.col("query_id").alias("session_id"), "item_id", "profile")
         rows = rows.join(share, ["session_id", "item_id"], "left").withColumn("profile", F.coalesce("profile", F.lit(0.0)))
     prior = None
     if arrivals is not None:
-        rows = rows.join(population_weights(ledger, arrivals, indexed, cfg), "session_id", "left")
+        rows = rows.join(population_weights(ledger, arrivals, index, cfg), "session_id", "left")
         prior = F.coalesce("w_pop", F.lit(cfg.w_pop))
     ranked = rk.rank_items(rows, max_pop, w_pop=prior, cfg=cfg, by="session_id")
     return ranked.select("session_id", "item_id", "rank", "rank_score")
 
 
-def respond(messages: DataFrame, items: DataFrame, cfg: Settings = DEFAULTS, **models: DataFrame | None) -> DataFrame:
+def respond(messages: DataFrame, items: DataFrame, cfg: Settings = DEFAULTS, index: ix.PhraseIndex | None = None,
+            **models: DataFrame | None) -> DataFrame:
     """Every turn of every session: shown items, asked attribute and message text. `models` go to the ledger.
 
     Rankings and expected pools depend only on evidence, so they are computed once per distinct
     evidence state; what is shown and asked depends on earlier turns and is folded per session.
     """
-    indexed = scale.keep(cat.index_fields(items))
-    ledger = build_ledger(messages, items, cfg=cfg, **models)
-    found = retrieve(states_by_turn(ledger.evidence), ["session_id", "version"], indexed, cfg)
-    pool = scale.keep(with_titles(found, indexed, cfg) if cfg.w_title else found.pool)
-    max_pop = indexed.agg(F.max("pop").alias("m")).scalar()
+    index = index or ix.build_index(cat.index_fields(items), cfg=cfg)
+    ledger = build_ledger(messages, items, index=index, cfg=cfg, **models)
+    found = retrieve(states_by_turn(ledger.evidence), ["session_id", "version"], index, cfg)
+    pool = scale.keep(with_titles(found, index, cfg) if cfg.w_title else found.pool)
+    max_pop = index.stats.select("max_pop").scalar()
     ranked = rk.rank_items(pool, max_pop, cfg=cfg).groupBy("query_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias("ranked"))
     told = found.queries.filter("tier <> 'cat'").groupBy("query_id").agg(F.collect_set("phrase").alias("vals"))

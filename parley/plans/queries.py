@@ -14,6 +14,7 @@ from parley.functions import messages as ms
 from parley.functions import text as tx
 from parley.operators import catalogue as cat
 from parley.operators import evaluation as ev
+from parley.operators import index as ix
 from parley.operators import ledger as lg
 from parley.operators import mining, phrases as ph, questions as qs, ranking as rk, retrieval as rt
 from parley.operators import scores as sc
@@ -51,6 +52,29 @@ def micro(c) -> Column:
     return F.round(F.col(c) * 1_000_000).cast("bigint")
 
 
+_tables: dict[tuple, object] = {}
+
+
+def shared(name: str, spark, d, build):
+    """Tables that several queries read are written once per application and folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _tables:
+        _tables[key] = build()
+    return _tables[key]
+
+
+def forget() -> None:
+    _tables.clear()
+
+
+def _item_index(spark, d) -> ix.PhraseIndex:
+    return shared("item index", spark, d, lambda: ix.build_index(cat.index_fields(tb.items(spark, d))))
+
+
+def _product_index(spark, d) -> ix.PhraseIndex:
+    return shared("product index", spark, d, lambda: ix.build_index(cat.index_fields(tb.products(spark, d))))
+
+
 # ---------------------------------------------------------------- A. sources
 def _product_lines(spark, d):
     p = tb.products(spark, d)
@@ -341,25 +365,25 @@ def _free_grams(spark, d):
 
 @query("phrase_df", o.sql("fx_items dfields fx_free", "SELECT phrase, CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df FROM freq", **MINING))
 def phrase_df(spark, d):
-    f = ph.document_frequency(cat.index_fields(tb.items(spark, d)), _free_grams(spark, d), 4)
+    f = ph.document_frequency(_item_index(spark, d), _free_grams(spark, d), 4)
     return f.select("phrase", big("n").alias("n"), "df")
 
 
 _long = dict(
-    wanted=f"""SELECT DISTINCT phrase FROM (SELECT {o.join('(' + o.tok('s') + ')[1:22]')} AS phrase FROM (
+    wanted=f"""SELECT DISTINCT phrase FROM (SELECT {o.join(o.tok('s'))} AS phrase FROM (
  SELECT unnest(string_split(user_message, '.')) AS s FROM fx_free) a) b WHERE len(string_split(phrase, ' ')) >= 5""")
 
 
 def _sentences(spark, d):
     s = tb.free_messages(spark, d).select(F.explode(F.split("user_message", r"\.")).alias("s"))
-    t = s.select(F.slice(tx.tokens(F.col("s")), 1, 22).alias("t")).filter(F.size("t") >= 5)
+    t = s.select(tx.tokens(F.col("s")).alias("t")).filter(F.size("t") >= 5)
     return t.select(tx.phrase_of(F.col("t")).alias("phrase")).distinct()
 
 
 @query("long_phrase_df", o.sql("dtext fx_free", """SELECT w.phrase, count(DISTINCT t.item_id) AS df FROM wanted w
  LEFT JOIN dtext t ON contains(t.ftext, ' ' || w.phrase || ' ') GROUP BY w.phrase""", **_long))
 def long_phrase_df(spark, d):
-    return ph.document_frequency(cat.index_fields(tb.items(spark, d)), _sentences(spark, d), 5).select("phrase", "df")
+    return ph.document_frequency(_item_index(spark, d), _sentences(spark, d), 5).select("phrase", "df")
 
 
 @query("corpus_stats", o.sql("fx_items dfields", """SELECT count(*) AS n_items, round(avg(n), 6) AS mean_len,
@@ -427,7 +451,7 @@ def admit_values(spark, d):
  CAST(df AS BIGINT) AS df FROM picked""", **MINING, **PICKS))
 def mine_phrases(spark, d):
     m = tb.free_messages(spark, d)
-    mined = mining.mined_rows(mining.mine(m, cat.index_fields(tb.items(spark, d))))
+    mined = mining.mined_rows(mining.mine(m, _item_index(spark, d)))
     return m.join(mined, "user_message").select("message_id", big("start").alias("start"), big("n").alias("n"), "phrase", "df")
 
 
@@ -644,23 +668,9 @@ def dedupe_requests(spark, d):
 
 
 # ---------------------------------------------------------------- H. session ledger
-_tables: dict[tuple, object] = {}
-
-
-def shared(name: str, spark, d, build):
-    """Ledger tables are written once per application and folder and read by the queries below."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _tables:
-        _tables[key] = build()
-    return _tables[key]
-
-
-def forget() -> None:
-    _tables.clear()
-
-
 def _ledger(spark, d) -> pipeline.Ledger:
-    return shared("ledger", spark, d, lambda: pipeline.build_ledger(tb.messages(spark, d), tb.products(spark, d)))
+    return shared("ledger", spark, d, lambda: pipeline.build_ledger(
+        tb.messages(spark, d), tb.products(spark, d), index=_product_index(spark, d)))
 
 
 _LEDGER_IN = "fx_messages fx_products pfields ptext"
@@ -830,8 +840,7 @@ _sum = "count(*) AS n_items, CAST(sum(item_id) AS BIGINT) AS item_sum, CAST(sum(
 
 def _found(spark, d) -> pipeline.Retrieval:
     def build():
-        indexed = scale.keep(cat.index_fields(tb.products(spark, d)))
-        return pipeline.retrieve(_ledger(spark, d).evidence, ["session_id"], indexed)
+        return pipeline.retrieve(_ledger(spark, d).evidence, ["session_id"], _product_index(spark, d))
     return shared("found", spark, d, build)
 
 
@@ -864,8 +873,8 @@ def _per_session(spark, d, rows, score="score"):
 def bm25_search(spark, d):
     q = scale.keep(ph.message_grams(tb.free_messages(spark, d), "message_id", 2, 2).select(
         F.col("message_id").alias("query_id"), "phrase").distinct())
-    indexed = cat.index_fields(tb.items(spark, d))
-    scored = rt.scored_hits(scale.keep(ph.phrase_hits(indexed, q, 2)), indexed)
+    index = _item_index(spark, d)
+    scored = rt.scored_hits(scale.keep(ph.phrase_hits(index, q, 2)), index)
     return rt.bm25_search(scored, q, 10).select(F.col("query_id").alias("message_id"), "item_id", "score", big("rk").alias("rk"))
 
 
@@ -910,7 +919,7 @@ def rung_or8(spark, d):
     sh=f"SELECT h.phrase, h.item_id, {_bm25} AS s FROM h JOIN s ON h.phrase = s.phrase JOIN dblob b ON h.item_id = b.item_id CROSS JOIN g"))
 def rung_bag(spark, d):
     m = tb.free_messages(spark, d).withColumnRenamed("message_id", "query_id")
-    rows = rt.rung_bag(m, cat.index_fields(tb.items(spark, d)))
+    rows = rt.rung_bag(m, _item_index(spark, d))
     return rows.groupBy(F.col("query_id").alias("message_id")).agg(
         F.count("*").alias("n_items"), F.sum("item_id").alias("item_sum"), F.sum(micro("score")).alias("score_sum"))
 
@@ -979,7 +988,8 @@ _early = dict(
 def rank_full(spark, d):
     """Ranking with title bonus and calibrated popularity weight."""
     arrivals = tb.sessions(spark, d).select("session_id", F.col("session_id").alias("arrival"))
-    ranked = pipeline.top_items(tb.messages(spark, d), tb.products(spark, d), replace(rt.DEFAULTS, w_title=0.6), arrivals=arrivals, ledger=_ledger(spark, d))
+    ranked = pipeline.top_items(tb.messages(spark, d), tb.products(spark, d), replace(rt.DEFAULTS, w_title=0.6), arrivals=arrivals,
+                                ledger=_ledger(spark, d), index=_product_index(spark, d))
     return ranked.select("session_id", "item_id", big("rank").alias("rank"), "rank_score")
 
 

@@ -65,6 +65,16 @@ def allow_limit(spark: SparkSession, n: int) -> None:
         spark.conf.set(key, str(n))
 
 
+def by_range(df: DataFrame, order: list[str], name: str = "_range") -> DataFrame:
+    """Rows in ranges of an order, numbered in that order: a `slice_of` for `running` that suits any spacing of the values.
+
+    There are as many ranges as shuffle partitions, each small enough for one task. They are written once, so that all
+    reads see the same ranges.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keep(df.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()))
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], slice_of: Column,
             sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sums per key that never bring a whole key into one task.

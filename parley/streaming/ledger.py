@@ -28,6 +28,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parley.operators import catalogue as cat
+from parley.operators import index as ix
 from parley.operators import ledger as lg
 from parley.plans import scale
 from parley.settings import DEFAULTS, Settings
@@ -42,14 +43,16 @@ ADDED = lg.EVIDENCE
 
 
 def analyse(messages: DataFrame, items: DataFrame, folder: str, checkpoint: str, spans: bool = True,
-            cfg: Settings = DEFAULTS, trigger: dict | None = None) -> StreamingQuery:
+            cfg: Settings = DEFAULTS, trigger: dict | None = None, index: ix.PhraseIndex | None = None) -> StreamingQuery:
     """Stream of (session_id, turn, user_message[, shown, asked]) -> analysed rows under `folder`.
 
+    Micro-batches look phrases up in a stored `index` of the items, built here where none is given; none reads the catalogue.
+
     Each micro-batch writes its own sub-folder once; a batch repeated after a failure is skipped when
     its output is already complete. `trigger` goes to the writer; the default reads what is there and ends.
     """
     spark = messages.sparkSession
-    indexed = scale.keep(cat.index_fields(items))
+    indexed = index or ix.build_index(cat.index_fields(items), cfg=cfg)
     cats = attrs = None
     if spans:
         cats = scale.keep(cat.category_vocabulary(items, cfg))
