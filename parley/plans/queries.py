@@ -732,6 +732,65 @@ def act_effects(spark, d):
     return states.select("session_id", *[big(c).alias(c) for c in ("turn", "grew", "lost", "epoch", "stale")])
 
 
+# every model table at once: acts, a tagger's kept text, proposals for unattested values, rescue answers
+_blurred = "CASE WHEN session_id % 4 = 1 THEN replace(user_message, 'blue', 'blurple') ELSE user_message END"
+_G40 = "(1::BIGINT << 40)"
+_mined_both = ("WITH RECURSIVE fx_free AS (SELECT user_message || chr(31) || src AS message_id, text AS user_message FROM mtexts), "
+               "dfields AS (SELECT item_id, field, toks FROM pfields), "
+               + ", ".join(f"{k.removeprefix('recursive_')} AS ({v})" for k, v in {**MINING, **PICKS}.items())
+               + f""" SELECT split_part(message_id, chr(31), 1) AS user_message, CAST(split_part(message_id, chr(31), 2) AS BIGINT) * {_G40}
+ + row_number() OVER (PARTITION BY message_id ORDER BY i) - 1 AS seq, phrase, df FROM picked""")
+_before_spans = ("texts", "flags", "pieces", "tails", "said", "parts0", "stated")
+_modelled = {**o.VALUES, "mm": f"SELECT session_id, turn, {_blurred} AS user_message FROM fx_messages",
+             **{k: o.MESSAGES[k].replace("fx_messages", "mm") for k in _before_spans},
+             "mbase": """SELECT *, CASE WHEN NOT known AND length(user_message) % 4 = 0 THEN regexp_replace(user_message, '^\\S+\\s+', '')
+ WHEN NOT known AND length(user_message) % 4 = 2 THEN regexp_replace(user_message, '^\\S+\\s+\\S+\\s+', '') ELSE user_message END AS mine_text FROM said""",
+             "mtexts": """SELECT user_message, mine_text AS text, 6 AS src FROM mbase WHERE len(cons) = 0
+ UNION ALL SELECT user_message, user_message, 7 FROM mbase WHERE len(cons) = 0 AND mine_text <> user_message""",
+             **{k: v for k, v in o.MESSAGES.items() if k not in (*_before_spans, "tev", "rows0", "ledger", "wanted", "pdf")},
+             "stoks": f"SELECT user_message, {o.tok('mine_text')} AS toks FROM mbase WHERE NOT known",
+             "props": f"""SELECT DISTINCT phrase AS source_phrase, {o.join(o.tok("replace(phrase, 'blurple', 'blue')"))} AS toks FROM stated
+ WHERE contains(phrase, 'blurple')""",
+             "recov": f"""SELECT s.session_id, {o.join(o.tok('p.title'))} AS phrase FROM fx_sessions s JOIN fx_products p ON s.target = p.item_id
+ WHERE s.session_id % 5 = 0""",
+             "wanted": o.MESSAGES["wanted"] + " UNION SELECT toks FROM props UNION SELECT phrase FROM recov",
+             "pdf": o.MESSAGES["pdf"], "mined": _mined_both,
+             "tev": f"""SELECT user_message, phrase, min(seq) AS seq, min_by(tier, seq) AS tier, min_by(df, seq) AS df FROM (
+ SELECT s.user_message, s.seq, CASE WHEN d.df > 0 THEN s.phrase ELSE p.toks END AS phrase, CASE WHEN d.df > 0 THEN s.tier ELSE 'sem' END AS tier,
+ CASE WHEN d.df > 0 THEN d.df ELSE x.df END AS df FROM stated s JOIN pdf d ON s.phrase = d.phrase LEFT JOIN pdf n ON s.needs = n.phrase
+ LEFT JOIN props p ON p.source_phrase = s.phrase AND s.tier = 'con' AND s.seq < 8 * {_G40} AND len(string_split(s.phrase, ' ')) <= 8
+ LEFT JOIN pdf x ON x.phrase = p.toks WHERE (d.df > 0 OR x.df > 0) AND (s.needs IS NULL OR n.df > 0)
+ UNION ALL SELECT a.user_message, a.seq, a.phrase, a.tier, CASE WHEN d.df > 0 THEN d.df ELSE 5430 END FROM spans a JOIN pdf d ON a.phrase = d.phrase
+ UNION ALL SELECT user_message, seq, phrase, 'mined', df FROM mined) q GROUP BY user_message, phrase""",
+             "acts": _acted["acts"].replace("fx_messages", "mm"),
+             "rows0": _acted["rows0"] + f""" UNION ALL SELECT r.session_id, 5, 9 * {_G40}, r.phrase, 'sem', d.df FROM recov r
+ JOIN pdf d ON d.phrase = r.phrase WHERE d.df > 0""",
+             "ledger": o.MESSAGES["ledger"]}
+
+
+@query("ledger_models", o.sql("fx_messages fx_products pfields ptext fx_sessions", """SELECT session_id, turn, CAST(seq AS BIGINT) AS seq, phrase, tier, CAST(df AS BIGINT) AS df
+ FROM ledger""", **_modelled))
+def ledger_models(spark, d):
+    """Ledger with dialogue acts, cleaned and raw mining, proposals and rescue answers."""
+    text = F.col("user_message")
+    m = scale.keep(tb.messages(spark, d).withColumn("user_message", F.when(
+        F.col("session_id") % 4 == 1, F.replace(text, F.lit("blue"), F.lit("blurple"))).otherwise(text)))
+    turn = (F.col("session_id") + F.col("turn")) % 3
+    acts = m.select("session_id", "turn", F.when(turn == 0, _mute).when(turn == 1, _clear).alias("act")).filter("act is not null")
+    said = m.select("user_message").distinct()
+    cleaned = said.filter(F.length(text) % 2 == 0).select("user_message", F.when(
+        F.length(text) % 4 == 0, F.regexp_replace(text, r"^\S+\s+", "")).otherwise(F.regexp_replace(text, r"^\S+\s+\S+\s+", "")).alias("kept_text"))
+    unknown = lg.template_candidates(said.filter(~ms.no_preference(text))).filter(F.contains("phrase", F.lit("blurple")))
+    proposals = unknown.select(F.col("phrase").alias("source_phrase"), F.concat(
+        F.replace("phrase", F.lit("blurple"), F.lit("Blue")), F.lit(".")).alias("proposal")).distinct()
+    recovered = (tb.sessions(spark, d).filter("session_id % 5 = 0").join(
+        tb.products(spark, d).select(F.col("item_id").alias("target"), "title"), "target")
+        .select("session_id", F.lit(5).alias("turn"), F.lit(0).alias("i"), F.col("title").alias("phrase")))
+    made = pipeline.build_ledger(m, tb.products(spark, d), acts=acts, cleaned=cleaned, proposals=scale.keep(proposals), recovered=recovered,
+                                 index=_product_index(spark, d))
+    return made.evidence.select("session_id", big("turn").alias("turn"), big("seq").alias("seq"), "phrase", "tier", "df")
+
+
 @query("rescue_eligible", o.sql(_LEDGER_IN, """SELECT session_id, min(turn) AS rescue_turn FROM states
  WHERE turn >= 5 AND lost > 0 AND stale >= 2 GROUP BY session_id""", **_LEDGER, **o.STATES))
 def rescue_eligible(spark, d):
@@ -993,6 +1052,25 @@ def rank_full(spark, d):
     return ranked.select("session_id", "item_id", big("rank").alias("rank"), "rank_score")
 
 
+_profiled = dict(
+    tags="""SELECT s.session_id, lower(p.p_type) AS t1, lower(p.noun) AS t2 FROM fx_sessions s JOIN fx_products p ON s.target = p.item_id""",
+    pscored=f"""SELECT p.session_id, p.item_id, p.pos, round(c.cov + CAST({rt.DEFAULTS.w_pop} AS DOUBLE) * o.pop / o.max_pop + CAST(0.4 AS DOUBLE) * (
+ CASE WHEN contains(b.blob, ' ' || t1 || ' ') THEN 1 ELSE 0 END + CASE WHEN contains(b.blob, ' ' || t2 || ' ') THEN 1 ELSE 0 END
+ + CASE WHEN contains(b.blob, ' comfort ') THEN 1 ELSE 0 END) / CAST(3 AS DOUBLE), 6) AS rank_score FROM pool p JOIN cov c
+ ON p.session_id = c.session_id AND p.item_id = c.item_id JOIN pops o ON p.item_id = o.item_id JOIN pblob b ON p.item_id = b.item_id
+ JOIN tags t ON p.session_id = t.session_id""",
+    pranks="SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank_score DESC, pos) AS rank FROM pscored")
+
+
+@query("rank_profile", o.sql(_SEARCH_IN + " fx_sessions", "SELECT session_id, item_id, rank, rank_score FROM pranks WHERE rank <= 10",
+                             **_search_ledger, **RANK, **_profiled))
+def rank_profile(spark, d):
+    """Ranking with the profile term."""
+    ranked = pipeline.top_items(tb.messages(spark, d), tb.products(spark, d), replace(rt.DEFAULTS, w_profile=0.4), profiles=_profiles(spark, d),
+                                ledger=_ledger(spark, d), index=_product_index(spark, d))
+    return ranked.select("session_id", "item_id", big("rank").alias("rank"), "rank_score")
+
+
 @query("rank_title_bonus", o.sql(_LEDGER_IN, f"""SELECT l.session_id, l.item_id, round(sum({_w}), 6) AS title FROM (
  SELECT DISTINCT session_id, item_id FROM fx_lines WHERE turn <= 10) l JOIN ledger e ON l.session_id = e.session_id
  JOIN fx_products p ON l.item_id = p.item_id WHERE contains(' ' || {o.join(o.tok('p.title'))} || ' ', ' ' || e.phrase || ' ')
@@ -1005,15 +1083,20 @@ def rank_title_bonus(spark, d):
     return rows.select(F.col("query_id").alias("session_id"), "item_id", F.round("title", 6).alias("title"))
 
 
+def _profiles(spark, d):
+    """(session_id, tags): type and noun of the session's target, and one tag that no item has."""
+    p = tb.products(spark, d)
+    return tb.sessions(spark, d).join(p.select(F.col("item_id").alias("target"), F.array(
+        F.col("features")[1], F.split_part("title", F.lit(" "), F.lit(2)), F.lit("Comfort")).alias("tags")), "target").select("session_id", "tags")
+
+
 @query("profile_overlap", o.sql("fx_sessions fx_lines fx_products pfields pblob", """SELECT l.session_id, l.item_id, round((
  CASE WHEN contains(b.blob, ' ' || t1 || ' ') THEN 1 ELSE 0 END + CASE WHEN contains(b.blob, ' ' || t2 || ' ') THEN 1 ELSE 0 END
  + CASE WHEN contains(b.blob, ' comfort ') THEN 1 ELSE 0 END) / 3.0, 6) AS profile FROM (SELECT DISTINCT session_id, item_id FROM fx_lines
  WHERE turn <= 10) l JOIN tags s ON l.session_id = s.session_id JOIN pblob b ON l.item_id = b.item_id""",
     tags="""SELECT s.session_id, lower(p.p_type) AS t1, lower(p.noun) AS t2 FROM fx_sessions s JOIN fx_products p ON s.target = p.item_id"""))
 def profile_overlap(spark, d):
-    p = tb.products(spark, d)
-    tags = tb.sessions(spark, d).join(p.select(F.col("item_id").alias("target"), F.array(
-        F.col("features")[1], F.split_part("title", F.lit(" "), F.lit(2)), F.lit("Comfort")).alias("tags")), "target")
+    p, tags = tb.products(spark, d), _profiles(spark, d)
     pairs = tb.session_lines(spark, d).select(F.col("session_id").alias("query_id"), "item_id").distinct()
     rows = rk.profile_overlap(pairs, tags.select(F.col("session_id").alias("query_id"), "tags"), cat.blobs(cat.index_fields(p)))
     return rows.select(F.col("query_id").alias("session_id"), "item_id", F.round("profile", 6).alias("profile"))
