@@ -137,13 +137,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Groups that hold at least one row in so many are cut by their count before any exchange: there are at most that many.
+LARGE_GROUPS = 10_000
+
+
 def lowest(rows: DataFrame, group: str, most: int, seed: str) -> DataFrame:
     """At most `most` rows (group, doc_id) of each group, those whose ids hash lowest.
 
-    A first cut by the groups' counts keeps a few times `most` rows of each, so that no task ranks a whole group.
+    Rows are cut where they are read: of a large group, whose count is broadcast, only a few times `most` rows are ranked.
+    Smaller groups, with less than one row in LARGE_GROUPS each, are ranked whole.
     """
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    counts = keep(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), "groups")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    large = counts.where(F.col("_n") * LARGE_GROUPS >= total)
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    near = rows.join(counts, group).withColumn("_chance", chance).where(F.col("_chance") * F.col("_n") <= 2 * most + 200)
+    near = (rows.withColumn("_chance", chance).join(F.broadcast(large), group, "left")
+            .where(F.col("_n").isNull() | (F.col("_chance") * F.col("_n") <= 2 * most + 200)))
     order = Window.partitionBy(group).orderBy("_chance", "doc_id")
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select(group, "doc_id")

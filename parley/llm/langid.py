@@ -27,6 +27,8 @@ from parley.llm.common import fold, lowest, strings_bytes, texts
 UNITS, WINDOW, LANES = 8, 256, 2048
 #: Learned from at most this many documents of each language, those whose ids hash lowest.
 SAMPLE = 500
+#: Characters of a sampled text that the fit reads; predictions read texts whole.
+PASSAGE = 20_000
 STEPS, BATCH, SPAN, RATE = 320, 256, 64, 0.02
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -202,11 +204,11 @@ def probabilities(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 
 def samples(docs: DataFrame) -> list[tuple[str, str]]:
-    """The documents to learn from: outside the held-out fold, at most SAMPLE a language."""
+    """The documents to learn from: outside the held-out fold, at most SAMPLE a language, PASSAGE characters of each."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(4) != 2))
     chosen = lowest(known.select("lang", "doc_id"), "lang", SAMPLE, "langid").distinct()
     # at most SAMPLE ids a language are broadcast
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang").collect()
+    rows = known.select("doc_id", "lang", F.substring("text", 1, PASSAGE).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang").collect()
     return sorted((r["text"], r["lang"]) for r in rows)
 
 

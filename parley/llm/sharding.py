@@ -3,8 +3,9 @@
 Records hash into thousands of slots that never change; a versioned map says which shard holds each slot. The first map
 is balanced by the bytes of the slots; rebalancing and growing edit the map, moving whole slots, and write a new version.
 
-Null ids hash like the empty text, null texts have no bytes; every row counts one byte more, so empty rows spread too.
-Repeated rows share a slot and get places of their own. An empty table gives an empty result. Extra columns are not read.
+The slot follows from id and text, so that rows without id, or with one id, are dealt to many slots too. Null ids hash like
+the empty text, null texts have no bytes; every row counts one byte more, so empty rows spread too. Rows with equal id and
+text share a slot and get places of their own. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,16 +22,17 @@ SLOTS, SHARDS = 4096, 16
 MAP = "version int, virtual_slot int, bytes long, shard int"
 
 
-def virtual_slot(slots: int = SLOTS) -> Column:
-    """Slot of an id: 32 bits of its MD5, modulo the number of slots."""
-    return F.pmod(F.conv(F.substring(F.md5(id_key().cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
+def virtual_slot(text_crc32: Column, slots: int = SLOTS) -> Column:
+    """Slot of an id and its text: 32 bits of the MD5 of the id and the text's CRC-32, modulo the number of slots."""
+    key = F.concat(id_key(), F.lit("|"), text_crc32.cast("string")).cast("binary")
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot of every row."""
     raw = text_of("text").cast("binary")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"),
-                       F.crc32(raw).alias("text_crc32"), virtual_slot(slots).alias("virtual_slot"))
+                       F.crc32(raw).alias("text_crc32"), virtual_slot(F.crc32(raw), slots).alias("virtual_slot"))
 
 
 def first_map(load: pd.DataFrame, shards: int = SHARDS) -> pd.DataFrame:

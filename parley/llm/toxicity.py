@@ -25,6 +25,8 @@ from parley.llm.common import fold, lowest, text_of, texts
 GRAMS, BUCKETS = (4, 5), 1 << 18
 #: Fitted on at most so many labelled documents of a class, those whose ids hash lowest.
 SAMPLE = 1200
+#: Characters of a sampled text that the fit reads; predictions read texts whole.
+PASSAGE = 20_000
 #: An n-gram needs so many sampled documents; penalty, rounds of fitting, and score from which a text is toxic.
 LEAST, PENALTY, ROUNDS, TOXIC = 4, 1e-3, 150, 0.7
 PIECE = 1 << 17
@@ -142,11 +144,11 @@ def _calibrated(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def samples(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """Labelled documents outside the held-out fold, at most SAMPLE of a class."""
+    """Labelled documents outside the held-out fold, at most SAMPLE of a class, PASSAGE characters of each."""
     told = labels.where(F.col("toxic").isNotNull() & (fold(3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = lowest(told, "toxic", SAMPLE, "toxicity")
     # at most 2 * SAMPLE ids are broadcast
-    rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = docs.select("doc_id", F.substring(text_of("text"), 1, PASSAGE).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
     ordered = sorted({(r["doc_id"], r["text"], int(r["toxic"] > 0)) for r in rows})
     return [(text, label) for _, text, label in np.random.default_rng(3).permutation(np.array(ordered, object)).tolist()] if ordered else []
 

@@ -333,3 +333,32 @@ def test_common_shingles_of_few_sets_still_link(spark):
     told = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(told) == len(rows)
     assert [r for r in told if want[r.doc_id] != (r.n_shingles, r.component_id)] == []
+
+
+def test_shards_are_balanced_without_ids(spark):
+    """A third of the rows without id, a third with one id: bytes stay near equal."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * 8) for i in range(6000)]
+    told = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg({"size": "sum"}).collect()
+    sums = [r[1] for r in told]
+    assert len(sums) == 16 and max(sums) <= 1.05 * min(sums)
+
+
+@pytest.mark.parametrize("large", [10_000, 2])
+def test_lowest_of_every_group(spark, large, monkeypatch):
+    """Large groups are cut where they are read: no exchange of all their rows by group."""
+    from parley.llm import common
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(common, "LARGE_GROUPS", large)
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 < 8, "big").when(F.col("id") % 10 == 8, "mid").when(F.col("id") < 100, None).otherwise("low").alias("g"), F.col("id").alias("doc_id"))
+    got = defaultdict(set)
+    for r in common.lowest(rows, "g", 5, "seed").collect():
+        got[r.g].add(r.doc_id)
+    chance = {r.doc_id: (r.c, r.doc_id) for r in rows.select("doc_id", F.pmod(F.xxhash64(F.lit("seed"), "doc_id"), F.lit(1 << 40)).alias("c")).collect()}
+    own = defaultdict(list)
+    for r in rows.collect():
+        own[r.g].append(r.doc_id)
+    for g in ("big", "mid", "low"):
+        assert got[g] == set(sorted(own[g], key=chance.get)[:5])
+    plan = common.lowest(rows, "g", 5, "seed")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(g") < plan.index("BroadcastHashJoin")  # the join with the counts lies below the exchange

@@ -1,6 +1,8 @@
 """Trained operators: what they must get right, and their odd cases."""
 
 import hashlib
+import random
+from collections import Counter
 import re
 import zlib
 
@@ -63,6 +65,36 @@ def test_added_spans_mend_what_the_patterns_drop(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_recall_of_forms_outside_the_patterns(spark):
+    """By kind, on passages and seeds that were not learned from; look-alikes and plain prose stay."""
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text").collect()]
+    passages = [t[:1500] for t in given if len(t) > 300]
+    model = pii.learn(passages[:400])
+    hit, all_, false, shown = Counter(), Counter(), 0, 0
+    for k, passage in enumerate(passages[400:700]):
+        text, right, wrong = pii.planted(passage, random.Random(10_000 + k))
+        base, every = pii.spans(text, model)
+        for span in right:
+            all_[span[2]] += 1
+            hit[span[2]] += span in every
+        false += sum(any(a < s[1] and s[0] < b for s in every if s not in base) for a, b in wrong)
+        shown += len(wrong)
+    recall = {k: hit[k] / all_[k] for k in all_}
+    print("recall by kind", recall, "look-alikes marked", false, "of", shown)
+    assert len(all_) == 3 and min(all_.values()) > 50 and min(recall.values()) >= 0.9
+    assert false <= 0.03 * shown
+    added = sum(len(e) - len(b) for b, e in (pii.spans(p, model) for p in passages[400:700]))
+    assert added <= 15
+
+
+def test_many_groups_and_long_local_parts():
+    """A number in twelve groups inside a longer run, and a spelled-out address after more than 80 characters, are proposed."""
+    card = "4 5 3 9 1 4 8 8 0 3 4 3 6 4 6 7"
+    assert (5, 5 + len(card), "card") in {s for s, _ in pii.proposals(f"+1 2 {card}/9")}
+    local = "x" * 300
+    assert (0, 300 + len(" [at] mail.com"), "email") in {s for s, _ in pii.proposals(f"{local} [at] mail.com")}
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 32, (4000, 6))
