@@ -12,7 +12,7 @@ the same broad phrases share one merged head, read from the phrases' lists only
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -277,14 +277,29 @@ def rung_bag(messages: DataFrame, indexed: DataFrame | PhraseIndex, n: int | Non
     return bm25_search(scored_hits(hits, indexed, cfg), asked, n or cfg.pool)
 
 
-def candidate_pool(queries: DataFrame, scored: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """(query, item, rung, score, pos, cov, pop): all rungs merged, first appearance wins.
+@dataclass(frozen=True)
+class Matches:
+    """What every rung starts from, written once."""
 
-    `cov` is the summed weight of the query's evidence the item covers, over every phrase.
-    """
+    marked: DataFrame   # queries with roles and weights
+    strong: DataFrame   # strong_matches under `cfg`
+    cfg: Settings       # with `strong_phrases` lowered to what the queries have
+
+
+def prepare(queries: DataFrame, scored: DataFrame, cfg: Settings = DEFAULTS) -> Matches:
+    """Roles of the queries' phrases and the items that their strong phrases match."""
     marked = scale.keep(roles(queries, cfg))
     cfg = narrowed(marked, cfg)
-    matches = scale.keep(strong_matches(marked, scored, cfg))
+    return Matches(marked, scale.keep(strong_matches(marked, scored, cfg)), cfg)
+
+
+def candidate_pool(queries: DataFrame, scored: DataFrame, cfg: Settings = DEFAULTS, ready: Matches | None = None) -> DataFrame:
+    """(query, item, rung, score, pos, cov, pop): all rungs merged, first appearance wins.
+
+    `cov` is the summed weight of the query's evidence the item covers, over every phrase. `ready` is what `prepare` gave.
+    """
+    ready = ready or prepare(queries, scored, cfg)
+    marked, matches, cfg = ready.marked, ready.strong, ready.cfg
     stops = backoff_stops(matched(matches), marked, cfg)
     rows = _candidates(marked, matches, scored, cfg).join(
         scale.broadcast_checked(stops, cfg.broadcast_rows), "query_id", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,7 +54,17 @@ class Retrieval:
     links: DataFrame      # keys -> query_id
     queries: DataFrame    # query_id, rnk, phrase, tier, df
     scored: DataFrame     # phrase, item_id, s, pop
-    pool: DataFrame       # query_id, item_id, rung, score, pos, cov, pop
+    cfg: Settings
+
+    @cached_property
+    def ready(self) -> rt.Matches:
+        """Roles and strong matches, written when they are first asked for and shared by all rungs."""
+        return rt.prepare(self.queries, self.scored, self.cfg)
+
+    @cached_property
+    def pool(self) -> DataFrame:
+        """(query_id, item_id, rung, score, pos, cov, pop), made when it is first asked for."""
+        return rt.candidate_pool(self.queries, self.scored, self.cfg, self.ready)
 
 
 def retrieve(evidence: DataFrame, keys: list[str], indexed: DataFrame | ix.PhraseIndex, cfg: Settings = DEFAULTS) -> Retrieval:
@@ -61,7 +72,7 @@ def retrieve(evidence: DataFrame, keys: list[str], indexed: DataFrame | ix.Phras
     links, queries = rt.distinct_queries(rt.rank_evidence(evidence, keys), keys)
     queries = scale.keep(queries)
     scored = scale.keep(rt.scored_hits(ph.phrase_hits(indexed, queries, cfg=cfg), indexed, cfg))
-    return Retrieval(links, queries, scored, rt.candidate_pool(queries, scored, cfg))
+    return Retrieval(links, queries, scored, cfg)
 
 
 def states_by_turn(evidence: DataFrame) -> DataFrame:

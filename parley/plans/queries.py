@@ -903,14 +903,6 @@ def _found(spark, d) -> pipeline.Retrieval:
     return shared("found", spark, d, build)
 
 
-def _marked(spark, d):
-    def build():
-        f = _found(spark, d)
-        marked = scale.keep(rt.roles(f.queries))
-        return marked, scale.keep(rt.strong_matches(marked, f.scored))
-    return shared("marked", spark, d, build)
-
-
 def _per_session(spark, d, rows, score="score"):
     got = rows.groupBy("query_id").agg(F.count("*").alias("n_items"), F.sum("item_id").alias("item_sum"),
                                        F.sum(micro(score)).alias("score_sum"))
@@ -939,15 +931,15 @@ def bm25_search(spark, d):
 
 @query("rung_and", o.sql(_SEARCH_IN, f"SELECT session_id, {_sum.format('rtotal')} FROM items3 WHERE prefix = k GROUP BY session_id", **_search_ledger))
 def rung_and(spark, d):
-    marked, matches = _marked(spark, d)
-    return _per_session(spark, d, rt.rung_and(rt.matched(matches), marked))
+    ready = _found(spark, d).ready
+    return _per_session(spark, d, rt.rung_and(rt.matched(ready.strong), ready.marked, ready.cfg))
 
 
 @query("rung_backoff", o.sql(_SEARCH_IN, f"""SELECT session_id, {_sum.format('at_prefix')}, CAST(sum(rung) AS BIGINT) AS rung_sum
  FROM runged WHERE rung < 100 GROUP BY session_id""", **_search_ledger))
 def rung_backoff(spark, d):
-    marked, matches = _marked(spark, d)
-    rows = rt.rung_backoff(rt.matched(matches), marked)
+    ready = _found(spark, d).ready
+    rows = rt.rung_backoff(rt.matched(ready.strong), ready.marked, ready.cfg)
     got = rows.groupBy("query_id").agg(F.count("*").alias("n_items"), F.sum("item_id").alias("item_sum"),
                                        F.sum(micro("score")).alias("score_sum"), F.sum(big("rung")).alias("rung_sum"))
     return _found(spark, d).links.join(got, "query_id").drop("query_id")
@@ -955,13 +947,14 @@ def rung_backoff(spark, d):
 
 @query("rung_or", o.sql(_SEARCH_IN, f"SELECT session_id, {_sum.format('rtotal')} FROM placed WHERE total > 0 AND p_or <= 1200 GROUP BY session_id", **_search_ledger))
 def rung_or(spark, d):
-    return _per_session(spark, d, rt.rung_or(rt.matched(_marked(spark, d)[1])))
+    ready = _found(spark, d).ready
+    return _per_session(spark, d, rt.rung_or(rt.matched(ready.strong), ready.cfg))
 
 
 @query("rung_or8", o.sql(_SEARCH_IN, f"SELECT session_id, {_sum.format('score8')} FROM placed WHERE score8 > 0 AND p_8 <= 1200 GROUP BY session_id", **_search_ledger))
 def rung_or8(spark, d):
-    marked, matches = _marked(spark, d)
-    return _per_session(spark, d, rt.rung_or8(marked, matches, _found(spark, d).scored))
+    found = _found(spark, d)
+    return _per_session(spark, d, rt.rung_or8(found.ready.marked, found.ready.strong, found.scored, found.ready.cfg))
 
 
 @query("rung_bag", o.sql("fx_items dfields dblob fx_free", f"""SELECT message_id, {_sum.format('score')} FROM (
