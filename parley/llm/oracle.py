@@ -59,7 +59,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(times * s
 SHARDING = f"""WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
  FROM (SELECT unnest(range(256)) AS n) x),
 rows AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
-crcs AS (SELECT r.*, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, size - 1), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+crcs AS MATERIALIZED (SELECT r.*, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, size - 1), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM rows r CROSS JOIN crc_table),
 sums AS (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(text_crc32 AS VARCHAR)), 1, 8) AS BIGINT) % {sharding.SLOTS} AS virtual_slot FROM crcs),
 loads AS (SELECT s.slot AS virtual_slot, coalesce(sum(r.size), 0) AS bytes FROM (SELECT unnest(range({sharding.SLOTS})) AS slot) s LEFT JOIN sums r ON r.virtual_slot = s.slot GROUP BY s.slot),
