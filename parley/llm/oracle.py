@@ -63,7 +63,7 @@ crcs AS MATERIALIZED (SELECT r.*, xor(4294967295, list_reduce(list_concat([42949
  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM rows r CROSS JOIN crc_table),
 sums AS (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(text_crc32 AS VARCHAR)), 1, 8) AS BIGINT) % {sharding.SLOTS} AS virtual_slot FROM crcs),
 loads AS (SELECT s.slot AS virtual_slot, coalesce(sum(r.size), 0) AS bytes FROM (SELECT unnest(range({sharding.SLOTS})) AS slot) s LEFT JOIN sums r ON r.virtual_slot = s.slot GROUP BY s.slot),
-ordered AS (SELECT virtual_slot, CAST(bytes AS BIGINT) AS bytes, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS i FROM loads),
+ordered AS MATERIALIZED (SELECT virtual_slot, CAST(bytes AS BIGINT) AS bytes, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS i FROM loads),
 dealt AS (SELECT CAST(0 AS BIGINT) AS i, CAST(list_transform(range({sharding.SHARDS}), lambda x: 0) AS BIGINT[]) AS held, CAST(-1 AS BIGINT) AS virtual_slot, CAST(0 AS BIGINT) AS shard
  UNION ALL SELECT o.i, list_transform(d.held, lambda x, k: CASE WHEN k = list_position(d.held, list_min(d.held)) THEN x + o.bytes ELSE x END), o.virtual_slot,
  list_position(d.held, list_min(d.held)) - 1 FROM dealt d JOIN ordered o ON o.i = d.i + 1)
