@@ -127,7 +127,7 @@ def test_pool_and_ranking(spark, pool, strong_df, or_phrases):
         tops.setdefault(r.session_id, []).append(r.item_id)
     titled = replace(cfg, w_title=0.7)
     with_title = {}
-    pooled = pipeline.with_titles(pipeline.Retrieval(links, qs, scored, found), indexed, titled)
+    pooled = pipeline.with_titles(pipeline.Retrieval(links, qs, scored, cfg), indexed, titled)
     for r in links.join(rk.rank_items(pooled, F.lit(max_pop), cfg=titled), "query_id").orderBy("session_id", "rank").collect():
         with_title.setdefault(r.session_id, []).append(r.item_id)
     for q, ev in queries.items():
