@@ -3,12 +3,13 @@
 Sources in code-point order, null last, weigh 1, 2, 3, 1, 2, 3, ... and share all words; a target stops at three times
 its source's words and the excess is shared again by weight. The mix is cut into blocks of BLOCK words. Blocks go to
 the sources, and within a source to its shards, by the highest quotients target / (2k + 1), so every quota is a whole
-number. In a shard the documents are laid in an order hashed from seed and id; from a seeded block on, round and round,
-the quota takes blocks, so a document is taken up to three times and at most two documents of a shard are cut.
+number. In a shard the documents are laid in an order hashed from seed, id and text; from a seeded block on, round and
+round, the quota takes blocks, so a document is taken up to three times and at most two documents of a shard are cut.
+A source has a shard for every SHARD_WORDS words and every SHARD_ROWS rows.
 
-Null texts have no words; null sources are a source of their own; null ids hash like empty ones; repeated rows are
-laid one after another. Empty texts are taken zero times. An empty table gives an empty result. Extra columns are not
-read by `mix`; `mixed_texts` keeps them.
+Null texts have no words; null sources are a source of their own; null ids hash like empty ones, and their rows are told
+apart by text; repeated rows are laid one after another, in one shard. Empty texts are taken zero times and laid
+nowhere. An empty table gives an empty result. Extra columns are not read by `mix`; `mixed_texts` keeps them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import id_key, keep, text_of
 
-BLOCK, SHARD_WORDS, MOST, SEED = 32, 1 << 24, 3, "mix-1"
+BLOCK, SHARD_WORDS, SHARD_ROWS, MOST, SEED = 32, 1 << 24, 1 << 16, 3, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,6 +33,11 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def print_of(text: Column) -> Column:
+    """64 bits of a text's MD5, in hex."""
+    return F.substring(F.md5(text.cast("binary")), 1, 16)
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """Sources (source, source_size) -> with weight and target; one small row a source.
 
@@ -50,7 +56,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = F.max(fits).over(everything)
     return (table.withColumn("_common", level)
             .withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("_common") * F.col("weight"), F.col("cap").cast("double"))))
-            .select("source", "source_size", "weight", "target", "total"))
+            .select(*sizes.columns, "weight", "target", "total"))
 
 
 def apportion(parties: DataFrame, group: list[str], key: str, votes: str, seats: str) -> DataFrame:
@@ -78,17 +84,19 @@ def apportion(parties: DataFrame, group: list[str], key: str, votes: str, seats:
 
 
 def laid(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (doc_id, source, size, and any others) -> with source_size, target and taken; the latter is `times` times the
+    """Rows (doc_id, source, size, print, and any others) -> with source_size, target and taken; the latter is `times` times the
     document, its first `head_to` words, and its words from `run_from` to `run_to`."""
     cells = Window.partitionBy("source", "shard")
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     goal = targets(sizes).withColumn("_seats", F.round(F.col("total") / block).cast("long")).withColumn("_all", F.lit(0)).withColumn("_place", F.row_number().over(Window.partitionBy().orderBy(F.col("source").isNull(), F.col("source").cast("binary"))))
     quotas = keep(apportion(goal, ["_all"], "_place", "target", "_seats").withColumnRenamed("quota", "source_quota").drop("_all", "_seats"), "source-quotas")
-    told = quotas.select(F.col("source").alias("_s"), "source_size", "target", "source_quota")
+    told = quotas.select(F.col("source").alias("_s"), "source_size", "source_rows", "target", "source_quota")
+    text = F.concat(id_key(), F.lit("|"), F.col("print"))
+    several = (F.floor(F.col("source_size") / SHARD_WORDS) + F.floor(F.col("source_rows") / SHARD_ROWS) + 1).cast("long")
     rows = (docs.join(told, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-            .withColumn("_hash", hashed(SEED, id_key()))
-            .withColumn("shard", F.pmod(hashed(SEED + "/shard", id_key()), (F.floor(F.col("source_size") / SHARD_WORDS) + 1).cast("long"))))
-    shards = rows.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("_words"))
+            .withColumn("_hash", hashed(SEED, text)).withColumn("shard", F.pmod(hashed(SEED + "/shard", text), several)))
+    filled, empty = rows.where("size > 0"), rows.where("size = 0")
+    shards = filled.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("_words"))
     per = (apportion(shards, ["source"], "shard", "_words", "source_quota")
            .withColumn("_blocks", F.ceil(F.col("_words") / block).cast("long")).withColumn("_quota", F.least("quota", F.col("_blocks") * MOST))
            .withColumn("_full", F.when(F.col("_blocks") > 0, F.floor(F.col("_quota") / F.col("_blocks"))).otherwise(0).cast("long"))
@@ -96,22 +104,24 @@ def laid(docs: DataFrame, block: int = BLOCK) -> DataFrame:
            .withColumn("_first", F.when(F.col("_blocks") > 0, F.pmod(hashed(SEED + "/first", F.concat(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), F.lit("|"), F.col("shard").cast("string"))), F.col("_blocks"))).otherwise(0).cast("long"))
            .select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "_words", "_blocks", "_full", "_rest", "_first"))
     order = cells.orderBy("_hash", "doc_id", "size")
-    lines = (rows.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = (filled.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
              .join(per, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")), "left"))
     # the chosen blocks are one run on the circle, [first, first + rest), which may wrap once
     last, low = F.col("_first") + F.col("_rest"), F.col("_end") - F.col("size")
     inside = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), at * block - low)).cast("long")
-    return (lines.withColumn("times", F.col("_full").cast("int"))
+    found = (lines.withColumn("times", F.col("_full").cast("int"))
             .withColumn("head_to", inside(F.greatest(F.lit(0), last - F.col("_blocks"))))
             .withColumn("run_from", inside(F.col("_first"))).withColumn("run_to", inside(F.least(last, F.col("_blocks"))))
             .withColumn("taken", (F.col("times") * F.col("size") + F.col("head_to") + F.col("run_to") - F.col("run_from")).cast("long"))
-            .drop("_s", "_h", "_words", "_blocks", "_full", "_rest", "_first", "_end", "_hash", "shard", "source_quota"))
+            .drop("_s", "_h", "_words", "_blocks", "_full", "_rest", "_first", "_end", *(own := ("_hash", "shard", "source_quota", "source_rows"))))
+    nothing = {"times": F.lit(0), **{c: F.lit(0).cast("long") for c in ("head_to", "run_from", "run_to", "taken")}}
+    return found.unionByName(empty.withColumns(nothing).drop(*own))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of `docs` (doc_id, text, source)."""
     narrow = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                              words(text_of("text")).alias("size")), "sizes")
+                              print_of(text_of("text")).alias("print"), words(text_of("text")).alias("size")), "sizes")
     return laid(narrow).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -120,13 +130,13 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
 
     A cut text is its words joined by blanks. Rows equal in id, source and text are taken alike. n_chars follows the text.
     """
-    key = ["doc_id", "_source", "_crc"]
-    told = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("_crc", F.crc32(text_of("text").cast("binary")))
-    narrow = keep(told.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "_source", "_crc", words(text_of("text")).alias("size")), "sizes")
+    key = ["doc_id", "_source", "print"]
+    told = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("_print", print_of(text_of("text")))
+    narrow = keep(told.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "_source", F.col("_print").alias("print"), words(text_of("text")).alias("size")), "sizes")
     share = (laid(narrow).groupBy(*key).agg(*[F.max(c).alias(f"_{c}") for c in ("times", "head_to", "run_from", "run_to", "taken")])
              .where("_taken > 0"))
     share = share.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_times", "_head_to", "_run_from", "_run_to")
-    same = told["doc_id"].cast("long").eqNullSafe(F.col("_k0")) & (F.col("_source") == F.col("_k1")) & (F.col("_crc") == F.col("_k2"))
+    same = told["doc_id"].cast("long").eqNullSafe(F.col("_k0")) & (F.col("_source") == F.col("_k1")) & (F.col("_print") == F.col("_k2"))
     found = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
     cut = lambda a, b: F.when(F.col(b) > F.col(a), F.when((F.col(a) == 0) & (F.col(b) == F.size(found)), F.col("text")).otherwise(F.array_join(F.slice(found, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), " ")))
     parts = F.filter(F.array(cut("_zero", "_head_to"), cut("_run_from", "_run_to")), lambda t: t.isNotNull())

@@ -27,8 +27,9 @@ DEDUP = """SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kep
 FROM documents d JOIN (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1) g
 ON coalesce(d.text, '') = g.t"""
 
-MIXING = rf"""WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+MIXING = rf"""WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+ coalesce(CAST(doc_id AS VARCHAR), '') || '|' || substr(md5(coalesce(text, '')), 1, 16) AS name FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS source_rows FROM docs GROUP BY source),
 placed AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS place FROM sources),
 weighed AS (SELECT *, (place - 1) % 3 + 1 AS weight, {mixing.MOST} * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM placed),
 levels AS (SELECT a.place, CAST(a.total - coalesce((SELECT sum(b.cap) FROM weighed b WHERE (b.cap / b.weight, b.place) < (a.cap / a.weight, a.place)), 0) AS DOUBLE)
@@ -39,8 +40,8 @@ seats AS (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, place
  SELECT place, target, total, unnest(range(0, CAST(round(total / {mixing.BLOCK}) AS BIGINT) + 1)) AS k FROM goals WHERE target > 0) x),
 quotas AS (SELECT place, count(*) AS quota FROM seats WHERE r <= round(total / {mixing.BLOCK}) GROUP BY place),
 lines AS (SELECT d.*, g.source_size, g.target, coalesce(q.quota, 0) AS source_quota, g.place,
- {_hashed(mixing.SEED + '/shard', "coalesce(CAST(d.doc_id AS VARCHAR), '')")} % (g.source_size // {mixing.SHARD_WORDS} + 1) AS shard,
- {_hashed(mixing.SEED, "coalesce(CAST(d.doc_id AS VARCHAR), '')")} AS h
+ {_hashed(mixing.SEED + '/shard', "d.name")} % (g.source_size // {mixing.SHARD_WORDS} + g.source_rows // {mixing.SHARD_ROWS} + 1) AS shard,
+ {_hashed(mixing.SEED, "d.name")} AS h
  FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN quotas q ON q.place = g.place),
 shards AS (SELECT place, shard, source_quota, min(source) AS source, CAST(sum(size) AS BIGINT) AS words FROM lines GROUP BY place, shard, source_quota),
 shard_seats AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY words / (2 * k + 1) DESC, shard, k) AS r FROM (

@@ -210,6 +210,24 @@ def test_apportionment_gives_the_highest_quotients(spark):
         assert all(got[g, i] == want[i] for x, i in votes if x == g)
 
 
+def test_mixing_deals_rows_without_id_and_empty_texts(spark, monkeypatch):
+    rows = [(None, f"word{k} " * (50 * (k % 5)), "web") for k in range(300)] + [(k, f"text {k}", "book") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 100)  # four shards of the larger source
+    told = mixing.mix(docs).collect()
+    assert len(told) == len(rows) and sum(r.size == 0 for r in told) == 60
+    assert all(r.taken == 0 for r in told if r.size == 0)
+    taken, target = Counter(), {}
+    for r in told:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 4 * 3 * mixing.BLOCK for s in target)
+    from pyspark.sql import functions as F
+
+    narrow = docs.withColumns({"size": mixing.words(F.col("text")), "print": mixing.print_of(F.col("text"))}).drop("text")
+    assert mixing.laid(narrow).where("size > 0").count() == 280
+
+
 def test_mixed_texts_follow_the_takes(docs, odd):
     unique = odd.dropDuplicates(["doc_id"])
     takes = {r.doc_id: r.taken for r in mixing.mix(unique).collect()}
