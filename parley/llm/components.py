@@ -21,22 +21,28 @@ def _large(edges: DataFrame) -> DataFrame:
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     return down.join(least, "u").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is linked to one root and no root to another: then the steps would move nothing."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                             F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    ups, downs = F.sum("up"), F.max("down")
+    told = edges.select(ends.alias("e")).select("e.*").groupBy("node").agg(((ups > 1) | ((ups > 0) & (downs > 0))).alias("moves"))
+    return not told.agg(F.max("moves")).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """Links (u, v) -> (node, root) of every node that is not a root itself; a root is its component's least node.
 
-    Each round is written and read back. The steps shorten all paths and stop when nothing moves, after a number of
-    rounds that grows with the logarithm of the longest path.
+    `links` is a written table. Each round is written and read back. The steps shorten all paths and stop when only stars
+    are left, after a number of rounds that grows with the logarithm of the longest path.
     """
-    edges = keep(_small(links), "edges")
-    mark = None
+    edges = links.select("u", "v")
     while True:
         edges = keep(_small(_large(edges)), "edges")
-        row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if row == mark:
+        if _stars(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = row

@@ -202,9 +202,9 @@ def _half(name) -> Column:
 
 
 def _compare(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of set names, a the head of many -> those that link, as u, v."""
-    side = lambda k: reps.select(F.col("name").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-    told = pairs.join(side("a"), "a").join(side("b"), "b")
+    """Pairs (head, h) of halves of set names, the head that of many -> those that link, as names u, v."""
+    side = lambda half, k: reps.select(F.col("h").alias(half), F.col("name").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    told = pairs.join(side("head", "a"), "head").join(side("h", "b"), "h")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,12 +246,13 @@ def _compare(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct sets with one row's id each, and links (u, v) between them that make up all components."""
-    reps = keep(sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("place")).alias("place"), *[F.first(c).alias(c) for c in ("n", "sketch", "bits")]), "sets")
+    reps = keep(sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("place")).alias("place"), *[F.first(c).alias(c) for c in ("n", "sketch", "bits")])
+                .withColumn("h", _half("name")), "sets")
     sizes = {r["n"]: r["c"] for r in reps.groupBy(F.least("n", F.lit(4 * LIGHTEST)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     light = boundary(sizes)
     cells = common_cells(docs, sum(sizes.values()))
     lists = keep(_lists(entries(docs, cells, light)), "lists")
-    names = keep(reps.select(_half("name").alias("h"), "name"), "names")
+    names = reps.select("h", "name")
     # light sets: all sets of a subset link with the subset's first set of the smaller size
     subsets = lists.where("kind = 1").select("g", "h", "flag")
     first = subsets.where("flag").groupBy("g").agg(F.min("h").alias("head"))
@@ -260,10 +261,9 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     listed = lists.where("kind = 0").drop("kind")
     tops = listed.select("g", "head").distinct().withColumnRenamed("head", "h").join(listed.groupBy("g").agg(F.min("head").alias("head")), "g").select("head", "h")
     stars = listed.select("head", "h").distinct().unionByName(tops).where("h <> head").distinct()
-    head_names = names.select(F.col("h").alias("head"), F.col("name").alias("a"))
-    by_name = lambda t: t.join(head_names, "head").join(names.select("h", F.col("name").alias("b")), "h").select("a", "b")
-    first_links = keep(by_name(sure).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(_compare(by_name(stars), reps, docs)), "links")
-    names_bits = reps.select("name", _half("name").alias("h"), "bits")
+    named = sure.join(names.select(F.col("h").alias("head"), F.col("name").alias("u")), "head").join(names.select("h", F.col("name").alias("v")), "h").select("u", "v")
+    first_links = keep(named.unionByName(_compare(stars, reps, docs)), "links")
+    names_bits = reps.select("name", "h", "bits")
     roots = keep(components(first_links), "roots")
     mixed = keep(_mixed(listed.select("g", "h", "n", "flag"), names_bits, roots), "mixed")
     # once more a star: sets outside a list's largest component with some set of that component, by eight orders of the sets
@@ -274,7 +274,7 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
            .select("h", "head", "n", "n_y", _differ("bits", "bits_y").alias("differ")).where(_may_link("n", "n_y", "differ")))
     closest = Window.partitionBy("h").orderBy("differ", "head")
     tried = met.withColumn("_r", F.row_number().over(closest)).where(F.col("_r") <= TRIES).select("head", "h").distinct()
-    more = keep(_compare(by_name(tried), reps, docs), "links")
+    more = keep(_compare(tried, reps, docs), "links")
     again = keep(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
     # what is still apart: every set outside a list's largest component with all sets of other components
     rest = keep(_mixed(mixed.select("g", "h", "n", "flag"), names_bits, again).join(names_bits.select("h", "bits"), "h"), "mixed")
@@ -284,7 +284,7 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     y_ahead = F.col("flag_y") & (F.col("n_y") <= F.col("n_x"))
     pairs = (stray.where("root_x <> main").drop("main").join(every.withColumnRenamed("main", "main_y"), "g")
              .where(apart & (x_ahead | y_ahead) & _may_link("n_x", "n_y", _differ("bits_x", "bits_y"))).select(F.col("h_x").alias("head"), F.col("h_y").alias("h")).distinct())
-    last = _compare(by_name(keep(pairs, "pairs")), reps, docs)
+    last = keep(_compare(keep(pairs, "pairs"), reps, docs), "links")
     return reps, again.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(last)
 
 
