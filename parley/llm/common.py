@@ -106,10 +106,10 @@ def texts(batches: Iterator[pa.RecordBatch], rows: int, volume: int = 8_000_000)
                 start, size = i, 0
             size += int(n)
         yield batch.slice(start)
-    _release()
+    release()
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back to the system: a worker is used again by later tasks, beside an executor near its limit."""
     pa.default_memory_pool().release_unused()
     try:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import fold, lowest, strings_bytes, texts
+from parley.llm.common import fold, lowest, release, strings_bytes, texts
 
 #: Hidden units of a direction, bytes of a window, windows scored at once.
 UNITS, WINDOW, LANES = 8, 256, 2048
@@ -240,4 +240,6 @@ def identify(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("la
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is known: those predicted `und` go."""
-    return identify(docs, train(samples(docs)), ("_lang_pred", "_score")).where("_lang_pred <> 'und'").select(*docs.columns)
+    net = train(samples(docs))
+    release()  # the driver's process goes on with the later stages
+    return identify(docs, net, ("_lang_pred", "_score")).where("_lang_pred <> 'und'").select(*docs.columns)
