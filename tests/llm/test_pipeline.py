@@ -32,5 +32,5 @@ def test_stages(spark, rows, docs, tmp_path):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")) == list(range(1, 14))
     assert "pipeline" in queries.QUERIES or os.path.exists(corpus_pipeline.__file__)
