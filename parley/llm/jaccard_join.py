@@ -6,8 +6,8 @@ larger sets, inverted lists are scanned: a set is listed under its rarest fifth
 list. The boundary is where counting subsets costs less than scanning lists, from the histogram of set sizes.
 
 Work on large groups stays linear. Equal sets are one set. Shingles are ordered by how common they are (a bounded sketch
-of counts over all sets), so what many sets share is listed last. In a list every set is first compared with the list's
-head; in lists that then still hold several components, the sets outside the largest one are tried with a few sets of it,
+of counts over all sets), so what many sets share is listed last: sets of one boilerplate meet in it only where it is
+most of each. In a list every set is first compared with the list's head; in lists that then still hold several components, the sets outside the largest one are tried with a few sets of it,
 and in those that even then hold several, they meet all sets of other components.
 Sizes, positions and parity sketches exclude most pairs before their texts are looked at; every other pair is decided by
 its whole sets. Nothing is capped: order and sketches change the cost, never the links.
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +35,10 @@ from parley.llm.components import components
 
 #: Similarity in percent.
 PERCENT = 80
-#: Part of the hash range whose shingles are counted, cells of the count sketch, count from which a shingle is common.
-COUNTED, CELLS, COMMON = int(0.4 * 2 ** 64), 1 << 22, 32
-#: Positions of the counted range that are told apart (2**40), and the largest light size ever considered.
-_GRAIN, LIGHTEST = COUNTED >> 40, 16
+#: Cells of the count sketch, count from which a shingle is common.
+CELLS, COMMON = 1 << 22, 32
+#: Low bits of a shingle's hash that the counts do not tell apart (2**40 positions stay), and the largest light size ever considered.
+_GRAIN, LIGHTEST = 24, 16
 #: Sets compared with one head in a task, and sets of a list's largest component that one outside it is tried with first.
 CHUNK, TRIES = 500, 6
 SETS = "doc_id long, place long, n int, name binary, sketch binary, bits array<long>"
@@ -91,9 +92,9 @@ def _place() -> Column:
 
 
 def common_cells(docs: DataFrame, rows: int) -> np.ndarray:
-    """The count sketch: per cell of the counted hash range, log2 of the count of its commonest shingle (0: rare).
+    """The count sketch: per cell of the hash range, log2 of the count of its commonest shingle (0: rare).
 
-    Counts are exact up to collisions in 2**40 positions; the sketch has CELLS bytes at every size. Where common
+    Every shingle is counted. Counts are exact up to collisions in 2**40 positions; the sketch has CELLS bytes at every size. Where common
     shingles fill more than an eighth of an owner's cells, the commonest are kept.
     """
     owners = 1 << min(22, max(8, (rows // 4096).bit_length()))
@@ -101,9 +102,7 @@ def common_cells(docs: DataFrame, rows: int) -> np.ndarray:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts(batches, 8192, 1_000_000):
-            found = [x[:np.searchsorted(x, np.uint64(COUNTED))] for x in shingles.sets(batch.column(1))]
-            place = np.concatenate(found) // np.uint64(_GRAIN)
-            place, times = np.unique(np.minimum(place, np.uint64((1 << 40) - 1)), return_counts=True)
+            place, times = np.unique(np.concatenate(shingles.sets(batch.column(1))) >> np.uint64(_GRAIN), return_counts=True)
             owner = (place >> np.uint64(shift)).astype(np.int64)
             key = (place & np.uint64((1 << shift) - 1)).astype(np.uint32)
             ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
@@ -135,16 +134,14 @@ def common_cells(docs: DataFrame, rows: int) -> np.ndarray:
     return cells
 
 
-def entries(docs: DataFrame, cells: np.ndarray, light: int) -> DataFrame:
-    """List entries of every set: g, h, meta.
+def entries(docs: DataFrame, spread: Broadcast, light: int) -> DataFrame:
+    """List entries of every set: g, h, meta. `spread` is the broadcast count sketch.
 
     g: shingle or subset; h: first half of the set's name; meta: salt * 2**40 + kind * 2**39 + dealt * 2**38 + 2 * n + flag.
     Kind 1 is a subset (flag: the set has the smaller of the two sizes); kind 0 a listed shingle (flag: listed also as the
     smaller set of a pair, which needs the rarest ninth only). Common shingles are salted by h, so a long list is dealt out
     (dealt: the list has several salts).
     """
-    spread = docs.sparkSession.sparkContext.broadcast(cells)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         levels = spread.value
@@ -166,9 +163,7 @@ def entries(docs: DataFrame, cells: np.ndarray, light: int) -> DataFrame:
                             hs.append(np.array([h], np.int64))
                 if 100 * n < PERCENT * (light + 1):
                     continue
-                counted = int(np.searchsorted(x, np.uint64(COUNTED)))
-                level = np.ones(n, np.uint8)
-                level[:counted] = levels[np.minimum(x[:counted] // np.uint64(_GRAIN), np.uint64((1 << 40) - 1)) >> np.uint64(18)]
+                level = levels[x >> np.uint64(_GRAIN + 18)]
                 listed = np.argsort(level, kind="stable")[:n - -(-PERCENT * n // 100) + 1]
                 least = n - overlap(n, n) + 1
                 salts = (np.int64(1) << np.maximum(level[listed].astype(np.int64) - 5, 0)) - 1
@@ -250,8 +245,9 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                 .withColumn("h", _half("name")), "sets")
     sizes = {r["n"]: r["c"] for r in reps.groupBy(F.least("n", F.lit(4 * LIGHTEST)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     light = boundary(sizes)
-    cells = common_cells(docs, sum(sizes.values()))
-    lists = keep(_lists(entries(docs, cells, light)), "lists")
+    spread = docs.sparkSession.sparkContext.broadcast(common_cells(docs, sum(sizes.values())))
+    lists = keep(_lists(entries(docs, spread, light)), "lists")
+    spread.destroy()  # the lists are written
     names = reps.select("h", "name")
     # light sets: all sets of a subset link with the subset's first set of the smaller size
     subsets = lists.where("kind = 1").select("g", "h", "flag")
@@ -278,12 +274,13 @@ def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = keep(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
     # what is still apart: every set outside a list's largest component with all sets of other components
     rest = keep(_mixed(mixed.select("g", "h", "n", "flag"), names_bits, again).join(names_bits.select("h", "bits"), "h"), "mixed")
-    stray, every = (rest.select("g", "main", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "n", "flag", "root", "bits")]) for k in ("x", "y"))
-    apart = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main_y")) | (F.col("h_x") < F.col("h_y")))
-    x_ahead = F.col("flag_x") & (F.col("n_x") <= F.col("n_y"))  # one of the two lists the shingle as the smaller set
-    y_ahead = F.col("flag_y") & (F.col("n_y") <= F.col("n_x"))
-    pairs = (stray.where("root_x <> main").drop("main").join(every.withColumnRenamed("main", "main_y"), "g")
-             .where(apart & (x_ahead | y_ahead) & _may_link("n_x", "n_y", _differ("bits_x", "bits_y"))).select(F.col("h_x").alias("head"), F.col("h_y").alias("h")).distinct())
+    # one of the two lists the shingle as the smaller set: strays that do meet all, others that do meet the strays
+    side = lambda k, t: t.select("g", "wide", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "n", "root", "bits")])
+    ahead = side("x", rest.where("flag").withColumn("wide", F.col("root") != F.col("main")))
+    every = side("y", rest.withColumn("wide", F.explode(F.when(F.col("root") != F.col("main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))))
+    pairs = (ahead.join(every, ["g", "wide"])
+             .where((F.col("root_x") != F.col("root_y")) & (F.col("n_x") <= F.col("n_y")) & _may_link("n_x", "n_y", _differ("bits_x", "bits_y")))
+             .select(F.least("h_x", "h_y").alias("head"), F.greatest("h_x", "h_y").alias("h")).distinct())
     last = keep(_compare(keep(pairs, "pairs"), reps, docs), "links")
     return reps, again.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(last)
 
@@ -302,14 +299,15 @@ def _may_link(m: str, n: str, differ) -> Column:
 
 def _mixed(listed: DataFrame, names_bits: DataFrame, roots: DataFrame) -> DataFrame:
     """Entries (g, h, n, flag) of lists that hold more than one component, with root and the list's largest component
-    (main). Lists of two sets whose sizes exclude a link are left out."""
+    (main). Lists of two sets whose sizes exclude a link are left out, and lists in which no set can be the smaller one."""
     root_of = keep(names_bits.select("h", "name").join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
                    .select("h", _half(F.coalesce("root", "name")).alias("root")), "placed")
     placed = listed.join(root_of, "h")
-    share = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    share = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"),
+                                                F.max("flag").alias("flag"))
     several = (share.groupBy("g").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"),
-                                      F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
-               .where((F.col("roots") > 1) & ((F.col("c") > 2) | (PERCENT * F.col("high") <= 100 * F.col("low")))).select("g", "main"))
+                                      F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("flag").alias("flag"))
+               .where(F.col("flag") & (F.col("roots") > 1) & ((F.col("c") > 2) | (PERCENT * F.col("high") <= 100 * F.col("low")))).select("g", "main"))
     return placed.join(several, "g")
 
 

@@ -332,18 +332,13 @@ def test_empty_tables(empty, spark):
 
 
 def test_common_shingles_of_few_sets_still_link(spark):
-    """Copied texts whose shingles are all counted and common, each with one longer variant: their lists are dealt out by salt, mostly one set a cell."""
-    import pyarrow as pa
-
+    """Copied texts whose shingles are all common, each with one longer variant: their lists are dealt out by salt, mostly one set a cell."""
     rnd = random.Random(7)
-    counted = lambda words: bool((shingles.sets(pa.array([" ".join(words[-5:])]))[0] < np.uint64(jaccard_join.COUNTED)).all())
     rows = []
     for family in range(24):
         words = [f"f{family}x{k}" for k in range(4)]
         while len(words) < 13:
             words.append(f"f{family}y{rnd.randrange(10 ** 6)}")
-            if not counted(words):
-                words.pop()
         first = 1000 * family
         rows += [(first + k, " ".join(words[:-1])) for k in range(70)] + [(first + 500, " ".join(words))]
     want = linked_components(rows)
@@ -353,6 +348,40 @@ def test_common_shingles_of_few_sets_still_link(spark):
     assert [r for r in told if want[r.doc_id] != (r.n_shingles, r.component_id)] == []
 
 
+def _boilerplate(n, common, own, seed):
+    """n texts of one shared passage and own words; every tenth is a near copy of the one before."""
+    rnd = random.Random(seed)
+    shared, rows, words = [f"b{k}" for k in range(common)], [], []
+    for i in range(n):
+        if i % 10 != 9:
+            words = shared + [f"o{i}x{k}" for k in range(own)]
+        else:
+            words = [*words[:-1], f"z{rnd.randrange(10 ** 6)}"]
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("common,own", [(150, 80), (205, 25), (215, 12)])
+def test_boilerplate_texts_link_as_brute_force(spark, monkeypatch, common, own):
+    """Texts that share from two fifths to nearly all of their words: apart up to eight ninths, then one component."""
+    monkeypatch.setattr(jaccard_join, "COMMON", 8)
+    rows = _boilerplate(120, common, own, common)
+    want = linked_components(rows)
+    told = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in told} == want
+
+
+def test_boilerplate_lists_are_dealt_out_and_open_no_pairs(spark):
+    """Shingles that all texts share are listed last, in parts, and no set lists them as the smaller one of a pair."""
+    n = 2000
+    docs = spark.createDataFrame(_boilerplate(n, 195, 35, 1), "doc_id long, text string")
+    spread = spark.sparkContext.broadcast(jaccard_join.common_cells(docs, n))
+    told = jaccard_join.entries(docs, spread, 0).selectExpr("g", "meta >> 40 AS salt", "(meta & 1) = 1 AS flag")
+    assert told.groupBy("g", "salt").count().agg({"count": "max"}).first()[0] < n / 10
+    shared = told.groupBy("g").agg({"salt": "count", "flag": "max"}).where("`count(salt)` > 100").collect()
+    assert shared and not any(r["max(flag)"] for r in shared)
+
+
 def test_shards_are_balanced_without_ids(spark):
     """A third of the rows without id, a third with one id: bytes stay near equal."""
     rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * 8) for i in range(6000)]
