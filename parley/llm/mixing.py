@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import id_key, keep, text_of
 
-BLOCK, SHARD_WORDS, SHARD_ROWS, MOST, SEED = 32, 1 << 24, 1 << 16, 3, "mix-1"
+BLOCK, SHARD_WORDS, SHARD_ROWS, MOST, SEED = 32, 1 << 22, 1 << 13, 3, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
