@@ -172,7 +172,9 @@ def describe(docs: DataFrame) -> DataFrame:
     asked = spark.createDataFrame(ids, "pair int, role int, _id long")
     edges = narrow.join(F.broadcast(asked), F.col("doc_id").eqNullSafe(F.col("_id"))).select("pair", "role", "doc_id", "text")
     pick = edges.groupBy("pair", "role", "doc_id").agg(F.when(F.col("role") == 0, F.max("text")).otherwise(F.min("text")).alias("text"))
-    whole = told.where("NOT edge").unionByName(pick.groupBy("pair").applyInPandas(_edge, COLUMNS))
+    # two texts a pair, one pair a range: dealt out, as a whole text may be long
+    dealt_pairs = pick.repartition(parts(spark), "pair").groupBy("pair")
+    whole = told.where("NOT edge").unionByName(dealt_pairs.applyInPandas(_edge, COLUMNS))
     return whole.drop("part_first", "edge")
 
 
