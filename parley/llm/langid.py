@@ -13,6 +13,7 @@ replaced, all others are kept.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ SAMPLE = 500
 #: Characters of a sampled text that the fit reads; predictions read texts whole.
 PASSAGE = 20_000
 STEPS, BATCH, SPAN, RATE = 320, 256, 64, 0.02
+#: The language stage: one sampled text in APART is kept apart to set thresholds, each for at least FEW texts, at MARGIN of the lowest score.
+APART, FEW, MARGIN = 10, 20, 0.8
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -238,8 +241,29 @@ def identify(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("la
     return source.mapInArrow(run, schema).select(*kept, *names)
 
 
+def least_scores(net: Network, apart: list[tuple[str, str]]) -> list[float]:
+    """By length class (texts of at least 4**c bytes), the score below which a text counts as in no learned language.
+
+    It is MARGIN of the lowest score among texts kept apart from training that are at least as long; classes that fewer
+    than FEW of them reach share the threshold of the last one that enough do. [0.0] if there is none.
+    """
+    raw, offsets = strings_bytes(pa.array([t for t, _ in apart if LETTER.search(t)], pa.string()))
+    scores, sizes = probabilities(net, raw, offsets).max(axis=1), np.diff(offsets)
+    least = []
+    while (sizes >= 4 ** len(least)).sum() >= FEW:
+        least.append(MARGIN * float(scores[sizes >= 4 ** len(least)].min()))
+    return least or [0.0]
+
+
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known: those predicted `und` go."""
-    net = train(samples(docs))
+    """The documents in a learned language: those predicted `und` go, and those that score below what labelled texts of
+    their length do. A tenth of the sample, by checksum of the text, is kept apart from training to tell that."""
+    known = samples(docs)
+    apart = [x for x in known if zlib.crc32(x[0].encode()) % APART == 0]
+    net = train([x for x in known if zlib.crc32(x[0].encode()) % APART] or known)
+    least = least_scores(net, apart) if net else [0.0]
+    del known, apart
     release()  # the driver's process goes on with the later stages
-    return identify(docs, net, ("_lang_pred", "_score")).where("_lang_pred <> 'und'").select(*docs.columns)
+    told = identify(docs, net, ("_lang_pred", "_score")).where("_lang_pred <> 'und'")
+    level = sum((F.when(F.octet_length("text") >= 4 ** c, 1).otherwise(0) for c in range(1, len(least))), F.lit(0))
+    return told.where(F.col("_score") >= F.get(F.array(*map(F.lit, least)), level)).select(*docs.columns)

@@ -164,6 +164,30 @@ def test_language_of_unseen_texts(spark):
     assert kept.columns == docs.columns and kept.count() == 600
 
 
+def test_texts_in_no_learned_language_go(spark):
+    """Long texts half in one language and half in another score near a half: below what labelled long texts do, unlike short ones."""
+    rng = np.random.default_rng(2)
+    parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "er", "ei"]}
+    make = lambda k, n: " ".join("".join(rng.choice(parts[k], rng.integers(2, 5))) for _ in range(n))
+    rows = [(i, make(k, int(rng.integers(1, 200))), k) for i in range(800) for k in [sorted(parts)[i % 2]]]
+    rows += [(2000 + i, make("aa", 300) + " " + make("bb", 300 * 11 // 15), None) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.accepted(docs).collect()}
+    assert kept == {i for i, *_ in rows if i < 2000}
+
+
+def test_least_scores_follow_length():
+    """Thresholds rise with length, end with the last class that enough texts reach, and are open without any text."""
+    net = langid.train([("lolo kami tuka", "aa"), ("schung erei ung", "bb")], steps=5)
+    apart = [("kalo " * (4 ** (i % 5)), "aa") for i in range(5 * langid.FEW)] + [("12", "aa")]
+    least = langid.least_scores(net, apart)
+    score = lambda t: float(langid.probabilities(net, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).max())
+    for c, found in enumerate(least):
+        assert found == pytest.approx(langid.MARGIN * min(score(t) for t, _ in apart if len(t) >= 4 ** c and t != "12"))
+    assert len(least) == 6 and least == sorted(least)
+    assert langid.least_scores(net, apart[:3]) == [0.0] and langid.least_scores(net, []) == [0.0]
+
+
 def test_language_without_labels(docs, empty):
     from pyspark.sql import functions as F
 
