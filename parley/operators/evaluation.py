@@ -74,9 +74,17 @@ def composite(summaries: DataFrame) -> DataFrame:
 
 
 def token_totals(usage: DataFrame) -> DataFrame:
-    """(prompt_tokens, completion_tokens) of all turns; missing and negative counts are ignored."""
+    """(prompt_tokens, completion_tokens) of all turns; missing and negative counts are ignored.
+
+    In variant columns, which know the types of the JSON, only whole numbers count: numeric strings and fractions do not.
+    """
+    kinds = dict(usage.dtypes)
+
     def total(name):
-        c = F.col(name).cast("string")
+        c = F.col(name)
+        if kinds[name] == "variant":
+            c = F.when(F.schema_of_variant(c) == "BIGINT", F.try_variant_get(c, "$", "bigint"))
+        c = c.cast("string")
         n = F.when(c.rlike("^[0-9]+$"), c.try_cast("bigint"))
         return F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(name)
     return usage.agg(total("prompt_tokens"), total("completion_tokens")).withColumn(

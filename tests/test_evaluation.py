@@ -35,6 +35,14 @@ def test_composite(spark, hr, mrr, mttc, eff, score):
     assert (r.efficiency, r.technical_score) == (eff, score)
 
 
+def test_token_counts_of_json_are_whole_numbers_only(spark):
+    rows = [('{"p": 5, "c": "7"}',), ('{"p": 2.5, "c": 3}',), ('{"p": -4, "c": null}',), ('{"c": 1e2}',), ("{}",), (None,)]
+    v = F.parse_json("raw")
+    usage = spark.createDataFrame(rows, "raw string").select(
+        F.try_variant_get(v, "$.p", "variant").alias("prompt_tokens"), F.try_variant_get(v, "$.c", "variant").alias("completion_tokens"))
+    assert ev.token_totals(usage).first().asDict() == {"prompt_tokens": 5, "completion_tokens": 3, "total_tokens": 8}
+
+
 def test_hit_waits_for_the_override(spark):
     ranked = spark.createDataFrame([(1, 1, 9, 1), (1, 3, 9, 2), (1, 4, 9, 1)],
                                    "session_id int, turn int, item_id int, rank int")
