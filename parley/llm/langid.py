@@ -32,7 +32,7 @@ SAMPLE = 500
 PASSAGE = 20_000
 STEPS, BATCH, SPAN, RATE = 320, 256, 64, 0.02
 #: The language stage: one sampled text in APART is kept apart to set thresholds, each for at least FEW texts, at MARGIN of the lowest score.
-APART, FEW, MARGIN = 10, 20, 0.8
+APART, FEW, MARGIN = 10, 20, 0.7
 LETTER = re.compile(r"[^\W\d_]")
 
 
